@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, simhash_dedup
-from .common import table
+from . import exact_dedup, language_id, line_dedup, packing, quality, simhash_dedup, toxicity
+from .common import fold_of, table
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict:
+    """Fitted on the labelled rows whose crc32 remainder is not 1."""
+    known = labels.select("doc_id", F.col("toxic").alias("label")).filter(fold_of(F.col("doc_id"), 3) != 1)
+    return toxicity.fit(docs.select("doc_id", "text").join(known, "doc_id"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "clauses")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +30,21 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of(F.col("doc_id"), 3) == 1
+    found = language_id.predict(docs, language_id.fit(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    found = quality.score(docs, quality.fit(docs.filter(~held_out), labels.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -33,7 +60,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_packing, op7_exact_dedup, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_packing, op4_language_id, op6_quality, op7_exact_dedup, op8_line_dedup)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""

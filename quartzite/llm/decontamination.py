@@ -105,8 +105,9 @@ def contaminated(
             hits = hits.select("doc_id", "item_id", "s", "n", "pos", "start").join(rows, "doc_id").withColumn("window", cut("hs"))
         part = hits.select("doc_id", "s", F.lit(k).alias("k"), "start", "window")
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        return docs.select(F.col(id_col).alias("doc_id")).limit(0).crossJoin(items.select("item_id").limit(0)).withColumns({"similarity": F.lit(0.0), "start": F.lit(0)})
+    if found is None:  # no items
+        item_type = items.schema["item_id"].dataType
+        return docs.select(F.col(id_col).alias("doc_id"), F.lit(None).cast(item_type).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start")).filter(F.lit(False))
     found = found.dropDuplicates(["doc_id", "k", "s", "start"])
     windows = found.withColumn("print", fingerprint("window"))
     probes = windows.select("*", F.posexplode(F.array(*[block(F.col("print"), b) for b in range(BLOCKS)])).alias("block", "value"))
@@ -126,9 +127,9 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that :func:`contaminated` finds."""
-    gone = contaminated(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """``docs`` without the documents that :func:`contaminated` finds. Rows with a null id stay."""
+    gone = contaminated(docs, benchmark, id_col, text_col, **how).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
 assert math.comb(WIDTH, 2) + WIDTH + 1 == 37  # values within NEAR bits of a block

@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import SPACE
 
 
+def _number(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(20,0)")
+
+
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACE, "")
 
@@ -27,15 +31,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when they are identical without the characters of [\\x20\\x09-\\x0D]. The row with the most code points
     in the original text stays, then the one with the smallest id. Null text counts as empty; empty texts are one group.
-    Repeated rows of one id each give a row, all kept or all dropped together; an empty table gives no rows; other columns are ignored.
+    A null id counts as larger than any other. Repeated rows of one id each give a row, all kept or all dropped together; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         normalised(F.col(text_col)).alias("content"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"),
     ).withColumns({"text_sha256": F.sha2(F.col("content"), 256), "mix": F.xxhash64("content"), "size": F.length("content")})
-    # Most points first, then the smallest id, as one number: 2^64 is above any id's range.
-    rank = F.col("points").cast("decimal(38,0)") * F.lit("18446744073709551616").cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)")
+    # Most points first, then the smallest id, as one number: 2^64 is above any id's range, and a null id counts as the largest.
+    rank = F.col("points").cast("decimal(38,0)") * _number(2**64) - F.coalesce(F.col("doc_id").cast("decimal(20,0)"), _number(2**63))
     key = ["text_sha256", "mix", "size"]
     salted = (
         rows.select(*key, "content", F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"), rank.cast("decimal(38,0)").alias("rank"), F.col("points"))
@@ -49,12 +53,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.max("rank").alias("rank"), F.max("points").alias("points"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("texts"))
         .withColumn("sure", F.when(F.col("texts") == 1, True).otherwise(F.raise_error(F.lit("two texts share both digests")).cast("boolean")))
         .filter("sure")
-        .select(*key, "group_size", (F.col("points").cast("decimal(38,0)") * F.lit("18446744073709551616").cast("decimal(20,0)") - F.col("rank")).cast("long").alias("keep_id"))
+        .select(*key, "group_size", (F.col("points").cast("decimal(38,0)") * _number(2**64) - F.col("rank")).alias("id"))
+        .select(*key, "group_size", F.when(F.col("id") < _number(2**63), F.col("id").cast("long")).alias("keep_id"))
     )
-    return rows.select("doc_id", *key).join(winners, key).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return rows.select("doc_id", *key).join(winners, key).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """``docs`` without the rows that :func:`exact_groups` drops."""
-    keep = exact_groups(docs, id_col, text_col, salts).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    keep = exact_groups(docs, id_col, text_col, salts).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")

@@ -17,7 +17,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -123,17 +123,22 @@ def _steps(blocks: int, field: int, radius: int) -> list[int]:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (long), component_id (the smallest id reachable over links of ``radius`` bits or less).
 
-    Null and blank texts have fingerprint 0 and link like others. Repeated rows of one id each give a row. An empty table gives
-    no rows; other columns are ignored.
+    Null and blank texts have fingerprint 0 and link like others. Repeated rows of one id each give a row; rows with a null id are in no
+    group, their component_id is null. An empty table gives no rows; other columns are ignored.
     """
     per_doc = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = stored(per_doc.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = stored(per_doc.filter("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "nodes")
     found = components(links(nodes, radius, blocks))
     named = nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    return per_doc.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return per_doc.join(named, "fingerprint", "left").select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one document of each group, the one of smallest id; of its repeated rows one stays."""
-    keep = near_groups(docs, id_col, text_col, **how).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(keep.distinct(), id_col, "left_semi").dropDuplicates([id_col])
+    """``docs`` with one document of each group, the one of smallest id.
+
+    Of its repeated rows the one of least text stays. Rows with a null id stay.
+    """
+    keep = near_groups(docs, id_col, text_col, **how).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    one = F.row_number().over(Window.partitionBy("_keep").orderBy(F.col(text_col)))
+    kept = docs.join(keep, docs[id_col] == keep["_keep"]).withColumn("_row", one).filter("_row = 1").select(docs.columns)
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))

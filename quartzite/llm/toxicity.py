@@ -226,3 +226,18 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(np.rint(np.expm1(x[:, 3])).astype(np.int64))], names=["doc_id", "score", "clauses"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, score double, clauses long")
+
+
+def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more, all columns and repeated rows kept; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, beta = Lexicon(model), np.array(model["beta"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                x = np.array([[1.0, *features(t, lexicon)] for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

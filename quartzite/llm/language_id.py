@@ -53,11 +53,11 @@ def codewords(k: int, tries: int = 500) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, max_docs: int = 4_000, ridge: float = 0.02) -> dict:
-    """The model from rows (doc_id, text, lang): at most ``max_docs``, an equal quota for each language, chosen by id hash.
+    """The model from rows (doc_id, text, lang): at most ``max_docs`` ids, an equal quota for each language, chosen by id hash.
 
     Null languages and texts without a letter are left out. Without rows every text is ``und``.
     """
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = labelled.filter("lang is not null and doc_id is not null").select("doc_id", "lang")
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_docs // 10).collect()}
     if not counts:
         return {"langs": []}
@@ -66,13 +66,17 @@ def fit(labelled: DataFrame, max_docs: int = 4_000, ridge: float = 0.02) -> dict
     quota = max_docs / len(langs)
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, 1.2 * quota / counts[lang])))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    picked = rows.filter(F.col("lang").isin(langs) & (place < share[F.col("lang")])).orderBy(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 40)), "doc_id").limit(max_docs).select("lang", "text")
+    picked = rows.filter(F.col("lang").isin(langs) & (place < share[F.col("lang")])).orderBy(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 40)), "doc_id").limit(max_docs)
+    picked = labelled.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("lang", "text")  # max_docs ids
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["lang", "x"])
+            seen = [(a, features(t).tobytes()) for a, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.binary())], names=["lang", "x"])
 
     found = picked.mapInArrow(measure, "lang string, x binary").collect()
+    if not found:
+        return {"langs": []}
     x = np.stack([np.frombuffer(r.x, np.float32) for r in found])
     langs = sorted({r.lang for r in found})
     at = np.array([langs.index(r.lang) for r in found])

@@ -12,7 +12,7 @@ from .common import fold_of, table
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict:
     """Fitted on the labelled rows whose crc32 remainder is not 1."""
     known = labels.select("doc_id", F.col("toxic").alias("label")).filter(fold_of(F.col("doc_id"), 3) != 1)
-    return toxicity.fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    return toxicity.fit(docs, known)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,13 +174,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 UNTAUGHT = [-5.0, 0.5, 0.5, 0.0, 0.5, 1.0]
 
 
-def fit(labelled: DataFrame, max_docs: int = 20_000, min_pos: int = 3, least_odds: float = 1.4, max_terms: int = 20_000) -> dict:
-    """The model from rows (doc_id, text, label 0/1): at most ``max_docs`` of them, those of smallest id hash.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 20_000, min_pos: int = 3, least_odds: float = 1.4, max_terms: int = 20_000) -> dict:
+    """The model from ``docs`` and ``labels`` (doc_id, label 0/1): at most ``max_docs`` labelled ids, those of smallest hash.
 
     Rows with a null label are left out. Without rows of both labels only the listed threats count.
     """
-    rows = labelled.filter("label is not null").select("doc_id", "text", F.when(F.col("label") >= 1, 1).otherwise(0).alias("label"))
-    rows = stored(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "label").limit(max_docs).drop("doc_id"), "toxic-sample")
+    known = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("label") >= 1, 1).otherwise(0)).alias("label"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)  # so few ids may be sent to every task
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = stored(texts.join(F.broadcast(known), "doc_id").select("text", "label"), "toxic-sample")
     n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     model = {"words": {}, "heads": {}, "n": (n.get(1, 0), n.get(0, 0)), "least": least_odds, "beta": UNTAUGHT}
     if len(n) < 2:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import cleaning, entities, profiling
+
 FLAGSHIP = "entity_tags"
+_PARTS = (cleaning, entities, profiling)
 
 
 def queries() -> dict:
-    return {}
+    return {k: q for part in _PARTS for k, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for part in _PARTS for k, s in part.SQL.items()}

@@ -154,11 +154,17 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     return df.groupBy(*[c_(c) for c in cols]).agg((F.count(F.lit(1)) - 1).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_dup"))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Over rows where both are there; null if either doesn't vary, where corr would divide by zero."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.0) -> DataFrame:
     """feature_1, feature_2, correlation, abs_correlation of all pairs, pairwise complete, from one aggregate."""
     pairs = list(combinations(cols or numeric_columns(df), 2))
     v = lambda c: c_(c).cast("double")
-    out = df.agg(*[F.corr(v(a), v(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    out = df.agg(*[pearson(v(a), v(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"r{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)]))
     out = out.select(rows.alias("r")).select("r.*").withColumn("abs_correlation", F.abs("correlation"))
     return out.filter(F.col("abs_correlation") >= threshold)
@@ -183,8 +189,8 @@ def point_biserial(df: DataFrame, outcome: str, cols: Sequence[str] | None = Non
     """feature, n, r, strength; at least ten pairs, an undefined correlation is 0."""
     y = binary_outcome(df, outcome)
     cols = [c for c in cols or numeric_columns(df) if c != outcome]
-    per = {c: {"n": F.count_if(c_(c).isNotNull() & y.isNotNull()), "r": F.corr(c_(c).cast("double"), y)} for c in cols}
-    out = _rows(df, per).filter("n >= 10").withColumn("r", F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)))
+    per = {c: {"n": F.count_if(c_(c).isNotNull() & y.isNotNull()), "r": pearson(c_(c).cast("double"), y)} for c in cols}
+    out = _rows(df, per).filter("n >= 10").withColumn("r", F.coalesce("r", F.lit(0.0)))
     return out.withColumn("strength", N.correlation_strength(F.col("r")))
 
 
@@ -321,7 +327,7 @@ def feature_quality(df: DataFrame, outcome: str | None = None, weights: tuple =
     freq = value_counts(df, cols)
     total = freq.groupBy("feature").agg(F.sum("n").alias("nn"), F.count(F.lit(1)).alias("k"))
     p = F.col("n") / F.col("nn")
-    entropy = freq.join(total, "feature").groupBy("feature").agg(-F.sum(p * F.log(p + 1e-12)).alias("h"))
+    entropy = freq.join(total, "feature").groupBy("feature").agg((-F.sum(p * F.log(p + 1e-12))).alias("h"))
     base = _rows(df, {c: {"missing": F.count_if(c_(c).isNull())} for c in cols}, {"rows": F.count(F.lit(1))}).join(total, "feature", "left").join(entropy, "feature", "left")
     if nums:
         d = {r.feature: r for r in describe(df, nums).collect()}

@@ -57,8 +57,8 @@ def class_prior(gp: np.ndarray, gu: np.ndarray, least: float = 0.05) -> float:
     return float(np.clip(min(ratios), 0.02, 0.98))
 
 
-def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> np.ndarray:
-    """Adam on the non-negative risk with logistic loss; where the negative part falls below zero, its gradient turns round."""
+def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, ridge: float = 2.0) -> np.ndarray:
+    """With ``ridge`` over the number of positives as penalty, so that few rows give cautious weights: Adam on the non-negative risk with logistic loss; where the negative part falls below zero, its gradient turns round."""
     beta = np.zeros(xp.shape[1])
     m, v = np.zeros_like(beta), np.zeros_like(beta)
     for t in range(1, rounds + 1):
@@ -67,7 +67,7 @@ def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 400, rate:
         g_plus = prior * xp.T @ (sp - 1) / len(xp)
         g_minus = xu.T @ su / len(xu) - prior * xp.T @ sp / len(xp)
         minus = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        g = (g_plus + g_minus if minus >= 0 else -g_minus) + ridge * beta
+        g = (g_plus + g_minus if minus >= 0 else -g_minus) + ridge / len(xp) * beta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         beta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return beta

@@ -32,6 +32,7 @@ THREATS = "kill murder hurt stab shoot strangle destroy töten umbringen erschie
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 SYMBOLS = 7
 THREAT_WEIGHT = 3.0
+SURE = 2.0  # standard errors by which a word's log odds are lowered, so that few sightings weigh little
 TOKEN = regex.compile(r"[\p{L}\p{M}]+|[.!?;:\n]|[\"“”„«»]")
 BREAKS, QUOTES = frozenset(".!?;:\n"), frozenset("\"“”„«»")
 HARM = (INSULT, THREAT)
@@ -84,8 +85,9 @@ class Lexicon(dict):
         pos, neg, n1, n0 = *counts, *self.n
         if self.own is not None:
             pos, neg, n1, n0 = pos - self.own, neg - 1 + self.own, n1 - self.own, n0 - 1 + self.own
-        w = math.log((max(pos, 0) + 0.5) / (max(n1, 0) + 1)) - math.log((max(neg, 0) + 0.5) / (max(n0, 0) + 1))
-        return w if w >= self.least and pos >= 2 else 0.0
+        pos, neg = max(pos, 0) + 0.5, max(neg, 0) + 0.5
+        w = math.log(pos / (max(n1, 0) + 1)) - math.log(neg / (max(n0, 0) + 1)) - SURE * math.sqrt(1 / pos + 1 / neg)
+        return w if w >= self.least else 0.0
 
     def __missing__(self, word: str) -> tuple[int, float]:
         found = self.CLOSED.get(word)
@@ -174,7 +176,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 UNTAUGHT = [-5.0, 0.5, 0.5, 0.0, 0.5, 1.0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 20_000, min_pos: int = 3, least_odds: float = 1.4, max_terms: int = 20_000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 20_000, min_pos: int = 3, least_odds: float = 1.0, max_terms: int = 20_000) -> dict:
     """The model from ``docs`` and ``labels`` (doc_id, label 0/1): at most ``max_docs`` labelled ids, those of smallest hash.
 
     Rows with a null label are left out. Without rows of both labels only the listed threats count.
@@ -187,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = {"words": {}, "heads": {}, "n": (n.get(1, 0), n.get(0, 0)), "least": least_odds, "beta": UNTAUGHT}
     if len(n) < 2:
         return model
-    odds = F.log((F.col("pos") + 0.5) / (n[1] + 1)) - F.log((F.col("neg") + 0.5) / (n[0] + 1))
+    a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
+    odds = F.log(a / (n[1] + 1)) - F.log(b / (n[0] + 1)) - SURE * F.sqrt(1 / a + 1 / b)
     terms = rows.mapInArrow(_count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     strong = terms.filter((F.col("pos") >= min_pos) & (odds >= least_odds)).orderBy(F.desc("pos"), "term").limit(max_terms)
     for r in strong.collect():

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import strings as S
 
@@ -424,6 +425,9 @@ def type_counters(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
         per[c] = {
             "nulls": F.count_if(c_(c).isNull()), "blanks": F.count_if(S.strip(s) == ""), "numeric": F.count(x), "integral": F.count_if(x == F.floor(x)), "serial": F.count_if(x.between(20000, 60000)),
             "leading_zero": F.count_if(s.rlike(r"^0\d+")), "max_abs": F.max(F.abs(x)), "iso_date": F.count_if(s.rlike(r"^\d{4}-\d{2}-\d{2}")), "date_token": F.count_if(F.lower(s).rlike(DATE_TOKENS)),
+            "median_abs": F.percentile(F.abs(x), F.lit(0.5)), "same_length": F.greatest(*[F.count_if((x == F.floor(x)) & (F.abs(x) >= 10 ** (k - 1)) & (F.abs(x) < 10**k)) for k in range(7, 19)]),
+            "year": F.count_if((x == F.floor(x)) & x.between(1900, 2100)), "year_span": F.max(F.when(x.between(1900, 2100), x)) - F.min(F.when(x.between(1900, 2100), x)),
+            "year_month": F.count_if((x == F.floor(x)) & F.floor(x / 100).between(1900, 2100) & (x % 100).between(1, 12)), "month_year": F.count_if((x == F.floor(x)) & F.floor(x / 10000).between(1, 12) & (x % 10000).between(1900, 2100)),
         }
     base = _rows(df, per, {"rows": F.count(F.lit(1))})
     k = value_counts(df, cols).groupBy("feature").agg(F.count(F.lit(1)).alias("n_unique"))
@@ -440,6 +444,34 @@ def feature_types(df: DataFrame, outcome: str | None = None, cols: Sequence[str]
     return {c: out[c] for c in cols}
 
 
+def columns_of_type(types: dict[str, str], *kinds: str) -> list[str]:
+    return [c for c, k in types.items() if k in kinds]
+
+
+def fixed_types(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
+    """Numbers that are Excel serial dates become dates, timestamps are cut to the day; a new table, the input stays as it is."""
+    types = types or feature_types(df)
+    kinds = {f.name: f.dataType for f in df.schema}
+    numbers = [c for c in columns_of_type(types, "datetime") if isinstance(kinds[c], T.NumericType)]
+    serial = {r.feature for r in type_counters(df, numbers).collect() if r.serial > 0.8 * (r.rows - r.nulls)} if numbers else set()
+    out = []
+    for c, k in kinds.items():
+        if c in serial:
+            out.append(D.from_excel_serial(c_(c)).alias(c))
+        elif isinstance(k, (T.TimestampType, T.TimestampNTZType)):
+            out.append(F.date_trunc("DAY", c_(c)).alias(c))
+        else:
+            out.append(c_(c))
+    return df.select(*out)
+
+
+def displayed_date(c: Column, kind: T.DataType) -> Column:
+    """``YYYY-MM-DD`` of a date or of a serial number; other text as it is."""
+    if isinstance(kind, T.NumericType):
+        return F.date_format(D.from_excel_serial(c), "yyyy-MM-dd")
+    return c if isinstance(kind, T.StringType) else F.date_format(c, "yyyy-MM-dd")
+
+
 def decide_type(name: str, kind: T.DataType, r) -> str:
     n, low = r.rows - r.nulls, name.lower()
     number = isinstance(kind, (T.NumericType, T.BooleanType))
@@ -447,7 +479,7 @@ def decide_type(name: str, kind: T.DataType, r) -> str:
         return "unknown"
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return "datetime"
-    if number and r.serial > 0.8 * n and r.n_unique > 1:
+    if number and r.n_unique > 1 and (r.serial > 0.8 * n or (r.year > 0.8 * n and 1 <= (r.year_span or 0) <= 150) or r.year_month > 0.8 * n or r.month_year > 0.8 * n):
         return "datetime"
     if not number and (r.iso_date == n or r.date_token > 0.8 * n):
         return "datetime"
@@ -459,8 +491,10 @@ def decide_type(name: str, kind: T.DataType, r) -> str:
         return "id"
     if low.startswith(("id_", "key_")) and ratio > 0.05 or low.endswith(("_id", "_key", "_code", "_no")) and ratio > 0.05:
         return "id"
-    if number and r.n_unique > 10 and r.integral == n and (r.max_abs or 0) >= 1e9 and ratio > 0.01:
-        return "id"
+    if number and r.n_unique > 10 and r.integral == n:
+        mid = r.median_abs or 0
+        if (mid >= 1e6 and ratio > 0.02) or (mid >= 1e9 and ratio > 0.01) or (r.same_length >= 0.9 * n and ratio > 0.02):
+            return "id"
     if r.n_unique == 2:
         return "binary"
     if number:

@@ -100,6 +100,15 @@ def test_types(spark):
     assert profile.feature_types(df) == {"user_id": "id", "flag": "binary", "kind": "binary", "v": "numeric", "day": "datetime", "none": "unknown"}
 
 
+def test_number_dates(spark):
+    df = spark.createDataFrame([(44927 + i, 1990 + i % 30, 202300 + i % 12 + 1, 10**9 + i * 7, float(i)) for i in range(60)], "opened int, y int, ym int, ref bigint, v double")
+    types = profile.feature_types(df)
+    assert types == {"opened": "datetime", "y": "datetime", "ym": "datetime", "ref": "id", "v": "numeric"}
+    fixed = profile.fixed_types(df, types)
+    assert dict(fixed.dtypes)["opened"] == "date" and dict(fixed.dtypes)["y"] == "int"
+    assert str(fixed.agg(F.min("opened")).first()[0]) == "2023-01-01"
+
+
 def test_constant_columns(spark):
     df = spark.createDataFrame([(1, float(i), i % 2) for i in range(30)], "c int, v double, y int")
     assert {(r.feature_1, r.feature_2) for r in profile.correlations(df).collect()} == {("v", "y")}

@@ -93,6 +93,17 @@ ORACLE_SQL = {
           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id
     """,
+    "op9_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(0, len(w) - 34)) AS pos FROM d WHERE len(w) >= 35),
+        g AS (SELECT doc_id, pos, array_to_string(list_slice(w, pos + 1, pos + 35), ' ') AS gram FROM p),
+        r AS (SELECT gram FROM g GROUP BY gram HAVING count(*) > 1),
+        h AS (SELECT g.doc_id, g.pos FROM g JOIN r ON g.gram = r.gram),
+        t AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
+        c AS (SELECT t.doc_id, t.word, t.pos, max(h.pos) OVER (PARTITION BY t.doc_id ORDER BY t.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM t LEFT JOIN h ON t.doc_id = h.doc_id AND t.pos = h.pos),
+        k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+    """,
     "op10_url_filter": r"""
         WITH u AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
         s AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -76,7 +76,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_packing, op4_language_id, op5_decontamination, op6_quality, op7_exact_dedup, op8_line_dedup, op9_substring_dedup, op10_url_filter)}
 
+_GRAMS = """SELECT {id}, pos, array_to_string(list_slice(w, pos + 1, pos + 5), ' ') AS gram, n FROM (
+          SELECT {id}, w, len(w) - 4 AS n, unnest(range(0, len(w) - 4)) AS pos FROM (
+            SELECT {id}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table}) a WHERE len(w) >= 5) b"""
+
 ORACLE_SQL = {
+    # For items of five words or more, as all of the benchmark's are.
+    "op5_decontamination": f"""
+        WITH s AS ({_GRAMS.format(id="doc_id", table="documents")}), b AS ({_GRAMS.format(id="item_id", table="benchmark")}),
+        it AS (SELECT item_id, gram, count(*) AS k, max(n) AS m FROM b GROUP BY item_id, gram),
+        st AS (SELECT DISTINCT s.doc_id, it.item_id, it.m, s.n, greatest(0, least(s.pos, s.n - it.m)) AS start FROM s JOIN it ON s.gram = it.gram),
+        wg AS (SELECT st.doc_id, st.item_id, st.start, st.m, least(st.m, st.n) AS size, s.gram, count(*) AS k FROM st JOIN s ON st.doc_id = s.doc_id AND s.pos >= st.start AND s.pos < st.start + st.m GROUP BY ALL),
+        ov AS (SELECT wg.doc_id, wg.item_id, wg.start, wg.m, wg.size, sum(least(wg.k, it.k)) AS o FROM wg JOIN it ON wg.item_id = it.item_id AND wg.gram = it.gram GROUP BY ALL),
+        sm AS (SELECT doc_id, item_id, start, o / (m + size - o)::DOUBLE AS similarity FROM ov)
+        SELECT doc_id, item_id, similarity, start::INTEGER AS start FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS rn FROM sm WHERE similarity >= 0.8 - 1e-12) x WHERE rn = 1
+    """,
     "op7_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS c FROM documents),
         r AS (SELECT doc_id, c, row_number() OVER (PARTITION BY c ORDER BY length(t) DESC, doc_id) AS rn, count(*) OVER (PARTITION BY c) AS group_size FROM d),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 NUMERIC = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 # Lower edges and labels of the record and the merchant tiers.
-RECORD_TIERS = ((1, "1"), (2, "2"), (3, "3"), (4, "4-5"), (6, "6-10"), (11, "11-50"), (51, "51+"))
-MID_TIERS = ((1, "1"), (2, "2"), (3, "3"), (4, "4-5"), (6, "6-10"), (11, "11+"))
+RECORD_TIERS = ((1, "1 (single)"), (2, "2"), (3, "3"), (4, "4–5"), (6, "6–10"), (11, "11–50"), (51, "51+"))
+MID_TIERS = ((1, "1"), (2, "2"), (3, "3"), (4, "4–5"), (6, "6–10"), (11, "11+"))
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
@@ -43,7 +43,12 @@ def tier(c: Column, tiers: tuple[tuple[int, str], ...] = RECORD_TIERS) -> Column
 
 def missing_severity(share: Column) -> Column:
     """Of a share in percent."""
-    return ladder(share, ((90, "Critical"), (50, "High"), (20, "Moderate")), "Low", lambda c, e: c > e)
+    return ladder(share, ((50, "Critical"), (20, "High"), (5, "Moderate")), "Low")
+
+
+def variance_severity(variance: Column, threshold: float) -> Column:
+    """Null where the variance isn't low."""
+    return F.when(variance < 0.3 * threshold, "Critical").when(variance < 0.6 * threshold, "High").when(variance < threshold, "Moderate")
 
 
 def psi_verdict(psi: Column) -> Column:
@@ -54,8 +59,8 @@ def significance(p: Column) -> Column:
     return F.when(F.coalesce(p, F.lit(1.0)) < 0.05, "p<0.05").otherwise("n.s.")
 
 
-def correlation_strength(r: Column, steps: tuple[tuple[float, str], ...] = ((0.5, "Strong"), (0.3, "Moderate"), (0.1, "Weak"))) -> Column:
-    return ladder(F.abs(r), steps, "Very Weak")
+def correlation_strength(r: Column, steps: tuple[tuple[float, str], ...] = ((0.5, "Very Strong"), (0.3, "Strong"), (0.1, "Moderate")), otherwise: str = "Weak") -> Column:
+    return ladder(F.abs(r), steps, otherwise)
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -17,7 +17,7 @@ from ..functions import strings as S
 TAGS = ("EXACT_DUPLICATE", "IDENTITY_GROUP_FRAUD", "TECH_REAPPLICATION", "INVALID_FOR_KYC", "IDENTITY_GROUP_CLEAN", "UNIQUE_CLEAN_NON_LINKED")
 TRUE_DUPLICATES = ("EXACT_DUPLICATE", "TECH_REAPPLICATION", "IDENTITY_GROUP_CLEAN")
 EXCLUDED = ("EXACT_DUPLICATE", "TECH_REAPPLICATION", "IDENTITY_GROUP_CLEAN", "IDENTITY_GROUP_FRAUD", "INVALID_FOR_KYC")
-KYC = (("tin", "TIN"), ("legal_name", "LegalName"), ("postal", "Postal Code"))
+KYC = (("tin", "TIN"), ("legal_name", "Legal Name"), ("postal", "Postal Code"))
 IDENTITY = ("legal_name", "owner_first", "owner_last", "state", "city", "postal")
 # What a taxpayer's records call for, by the first tag that is present.
 DECISIONS = (

@@ -18,14 +18,26 @@ from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import strings as S
 
-# Texts and numbers that stand for a missing value.
-MISSING_TEXTS = ("na", "n/a", "nan", "null", "none", "nil", "missing", "unknown", "undefined", "not available", "not applicable", "not specified", "not provided", "unspecified", "blank", "empty", "no data", "no value", "tbd", "tba", "-", "--", "---", "?", "??", ".", "..", "#n/a", "#na", "#null!", "<na>", "(blank)")
+# Texts (upper case) and numbers that stand for a missing value.
+MISSING_TEXTS = (
+    "NA", "N/A", "NA.", "N.A.", "<NA>", "NAN", "<NAN>", "NULL", "<NULL>", "NONE", "<NONE>", "MISSING", "<MISSING>", "MISS", "UNKNOWN", "UNK", "UNKN", "UNDEF", "UNDEFINED",
+    "BLANK", "EMPTY", "VOID", "NIL", "NODATA", "NO DATA", "NOT AVAILABLE", "NOTAVAILABLE", "-", "--", "---", "?", ".",
+)
 MISSING_CODES = (-1, -9, -99, -999, -9999, -99999, 999, 9999, 99999, 999999, 9999999)
-# Names of identifiers.
-ID_NAMES = ("id", "uuid", "guid", "key", "code", "number", "num", "no", "ref", "account", "acct", "ssn", "ein", "tin", "mid", "pan", "email", "phone", "serial", "token", "hash", "index", "record", "customer", "user", "transaction", "order", "invoice")
-ID_TOKENS = ("mid", "tin", "ssn", "ein", "pan", "id", "uid", "uuid", "guid")
-LEAK_NAMES = ("target", "label", "outcome", "fraud", "y", "class", "flag", "default", "churn", "response")
-DATE_TOKENS = r"^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(\d{0,2}_\d{2}|\d{2})$"
+# Parts of an identifier's name, whole words of it, and families of words.
+ID_PARTS = (
+    "id_", "_id", "_key", "key_", "_code", "code_", "_number", "number_", "_num", "num_", "_nbr", "nbr_", "_ref", "ref_", "_token", "token_",
+    "_acct", "acct_", "_account", "account_", "_seq", "seq_", "_serial", "serial_", "_uuid", "uuid_", "_guid", "guid_",
+)
+ID_WORDS = (
+    "id", "uid", "pid", "cid", "rid", "fid", "bid", "nid", "sid", "key", "ref", "uuid", "guid", "token", "seq", "serial", "mid", "tid", "arn", "stan", "rrn", "ica", "bin", "pan",
+    "tin", "ein", "ssn", "itin", "fein", "npi", "duns", "acct", "account", "routing", "aba", "msisdn", "imei", "imsi",
+)
+ID_FAMILIES = ("mid", "tid", "tin", "ssn", "ein", "bin", "pan", "arn", "rrn")
+# Words of a column name that hint at the outcome.
+LEAK_NAMES = ("label", "target", "outcome", "fraud", "chargeback", "default", "approved", "declined", "decision", "result", "status", "is_fraud", "y", "class")
+# Month tokens like oct15_25, oct_25, oct25.
+DATE_TOKENS = r"^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(\d{1,2}_\d{2,4}|_\d{2,4}|\d{2,4})$"
 
 
 def c_(name: str) -> Column:
@@ -79,7 +91,7 @@ def missing_by_type(missing: DataFrame, types: dict[str, str]) -> DataFrame:
 def special_kind(v: Column) -> Column:
     """Which kind of missing-value stand-in a text is, or null."""
     number = N.parse_number(v)
-    return F.when((v != "") & (S.strip(v) == ""), "whitespace").when(F.lower(S.strip(v)).isin(*MISSING_TEXTS), "text").when(number.isin(*[float(x) for x in MISSING_CODES]), "code")
+    return F.when((v != "") & (S.strip(v) == ""), "whitespace").when(F.upper(S.strip(v)).isin(*MISSING_TEXTS), "text").when(number.isin(*[float(x) for x in MISSING_CODES]), "code")
 
 
 def special_codes(df: DataFrame, cols: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> DataFrame:
@@ -94,9 +106,10 @@ def nulled_special(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
 
 
 def variance(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.01) -> DataFrame:
-    """feature, variance, std_dev, value_range, status (constant, low, normal)."""
+    """feature, variance, std_dev, value_range, severity, status (constant, low, normal)."""
     v = lambda c: c_(c).cast("double")
     out = _rows(df, {c: {"variance": F.var_samp(v(c)), "std_dev": F.stddev_samp(v(c)), "value_range": F.max(v(c)) - F.min(v(c))} for c in cols or numeric_columns(df)})
+    out = out.withColumn("severity", N.variance_severity(F.col("variance"), threshold))
     return out.withColumn("status", F.when(F.col("variance") == 0, "constant").when(F.col("variance") < threshold, "low").otherwise("normal"))
 
 
@@ -225,7 +238,7 @@ def cramers_v(df: DataFrame, outcome: str, cols: Sequence[str] | None = None) ->
     cols = [c for c in cols or text_columns(df) if c != outcome]
     v = F.when(F.least("rows", "cols") > 1, F.sqrt(F.greatest(F.col("phi2"), F.lit(0.0)) / (F.least("rows", "cols") - 1))).otherwise(0.0)
     out = _association(_cells(df, cols, outcome)).select("feature", F.col("t").alias("n"), v.alias("v"))
-    return out.withColumn("strength", N.correlation_strength(F.col("v"), ((0.5, "Very Strong"), (0.25, "Strong"), (0.15, "Moderate"), (0.05, "Weak"))))
+    return out.withColumn("strength", N.correlation_strength(F.col("v"), ((0.5, "Very Strong"), (0.25, "Strong"), (0.15, "Moderate"), (0.05, "Weak")), "Very Weak"))
 
 
 def cramers_v_corrected(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -484,12 +497,12 @@ def decide_type(name: str, kind: T.DataType, r) -> str:
     if not number and (r.iso_date == n or r.date_token > 0.8 * n):
         return "datetime"
     ratio = r.n_unique / max(r.rows, 1)
-    tokens = set(re.split(r"[^a-z0-9]+", low))
+    tokens = set(re.split(r"[_. ]", low))
     if r.n_unique == 1 and number and r.max_abs in {abs(float(x)) for x in MISSING_CODES}:
         return "unknown"
-    if any(x in low for x in ID_NAMES) and ratio > 0.80 or tokens & set(ID_TOKENS) and ratio > 0.05:
+    if any(x in low for x in ID_PARTS) and ratio > 0.80 or tokens & set(ID_WORDS) and ratio > 0.05:
         return "id"
-    if low.startswith(("id_", "key_")) and ratio > 0.05 or low.endswith(("_id", "_key", "_code", "_no")) and ratio > 0.05:
+    if low.startswith(ID_FAMILIES) and ratio > 0.05 or low.endswith(ID_FAMILIES) and ratio > 0.05:
         return "id"
     if number and r.n_unique > 10 and r.integral == n:
         mid = r.median_abs or 0

@@ -13,10 +13,10 @@ from .clean import CLEAN_SHAPE, c_, clean_value, cleaned, issue_flags, kind_of,
 
 # Severity, type and strategy of each kind of issue.
 KINDS = {
-    "is_missing": ("High", "Missing Value", "Impute or request"),
-    "sc": ("Medium", "Special Characters", "Remove symbols"),
-    "ws": ("Low", "Whitespace", "Trim and collapse"),
-    "format": ("Low", "Format", "Standardize"),
+    "is_missing": ("High", "MISSING", "Flag/Null representation"),
+    "sc": ("Medium", "SPECIAL CHARACTERS", "Strip valid chars"),
+    "ws": ("Low", "FORMAT WHITESPACE", "Trim and single-space"),
+    "format": ("Low", "FORMAT WHITESPACE", "Flag/Null representation"),
 }
 
 

@@ -17,7 +17,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY tin, mid, legal_name, owner_firs
   count(*) OVER i AS gn, sum(is_fraud) OVER i AS gf,
   row_number() OVER (PARTITION BY coalesce(legal_name, '__NA__'), owner_first, owner_last, state, city, postal ORDER BY open_date DESC NULLS LAST, rid) AS rc,
   row_number() OVER (PARTITION BY coalesce(legal_name, '__NA__'), owner_first, owner_last, state, city, postal ORDER BY is_fraud DESC, open_date ASC NULLS LAST, rid) AS rf,
-  concat_ws(', ', CASE WHEN coalesce(tin, '') = '' THEN 'TIN' END, CASE WHEN coalesce(legal_name, '') = '' THEN 'LegalName' END, CASE WHEN coalesce(postal, '') = '' THEN 'Postal Code' END) AS miss,
+  concat_ws(', ', CASE WHEN coalesce(tin, '') = '' THEN 'TIN' END, CASE WHEN coalesce(legal_name, '') = '' THEN 'Legal Name' END, CASE WHEN coalesce(postal, '') = '' THEN 'Postal Code' END) AS miss,
   row_number() OVER (PARTITION BY coalesce(tin, ''), coalesce(mid, '') ORDER BY open_date ASC NULLS LAST, rid) = 1 AS is_first_of_group
   FROM a WINDOW i AS (PARTITION BY coalesce(legal_name, '__NA__'), owner_first, owner_last, state, city, postal)),
 t AS (SELECT *, CASE WHEN rx > 1 THEN 'EXACT_DUPLICATE' WHEN gn > 1 AND gf > 0 AND rf > 1 THEN 'IDENTITY_GROUP_FRAUD'

@@ -101,11 +101,11 @@ def each(f, cols: list[str]) -> str:
 
 
 def severity(pct: str) -> str:
-    return f"CASE WHEN {pct} > 90 THEN 'Critical' WHEN {pct} > 50 THEN 'High' WHEN {pct} > 20 THEN 'Moderate' ELSE 'Low' END"
+    return f"CASE WHEN {pct} >= 50 THEN 'Critical' WHEN {pct} >= 20 THEN 'High' WHEN {pct} >= 5 THEN 'Moderate' ELSE 'Low' END"
 
 
-def strength(r: str, steps: str = "0.5:Strong 0.3:Moderate 0.1:Weak") -> str:
-    return "CASE " + " ".join(f"WHEN abs({r}) >= {x.split(':')[0]} THEN '{x.split(':')[1].replace('_', ' ')}'" for x in steps.split()) + " ELSE 'Very Weak' END"
+def strength(r: str, steps: str = "0.5:Very_Strong 0.3:Strong 0.1:Moderate", otherwise: str = "Weak") -> str:
+    return "CASE " + " ".join(f"WHEN abs({r}) >= {x.split(':')[0]} THEN '{x.split(':')[1].replace('_', ' ')}'" for x in steps.split()) + f" ELSE '{otherwise}' END"
 
 
 L = "WITH l AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem)"
@@ -139,7 +139,7 @@ SQL = {
     "prof_missing": f"{C} " + each(lambda c: f"SELECT '{c}' AS feature, m AS missing, round(m * 100.0 / n, 6)::DOUBLE AS pct, {severity('m * 100.0 / n')} AS severity FROM (SELECT count(*) FILTER (WHERE {c} IS NULL) AS m, count(*) AS n FROM c) x", MISS),
     "prof_special_codes": "WITH d AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN 'N/A' WHEN c_custkey % 4 = 1 THEN '  ' WHEN c_custkey % 4 = 2 THEN '-999' ELSE c_mktsegment END AS a, CAST(c_custkey % 3 - 1 AS VARCHAR) AS b FROM customer) SELECT 'a' AS feature, CASE WHEN a = 'N/A' THEN 'text' WHEN a = '  ' THEN 'whitespace' ELSE 'code' END AS kind, a AS value, count(*) AS n FROM d WHERE a IN ('N/A', '  ', '-999') GROUP BY a UNION ALL SELECT 'b', 'code', b, count(*) FROM d WHERE b = '-1' GROUP BY b",
     "prof_nulled_special": "SELECT 'c_custkey' AS feature, 0::BIGINT AS missing, 0.0::DOUBLE AS pct, 'Low' AS severity UNION ALL SELECT 'seg', m, round(m * 100.0 / n, 6)::DOUBLE, " + severity("m * 100.0 / n") + " FROM (SELECT count(*) FILTER (WHERE c_custkey % 4 = 0) AS m, count(*) AS n FROM customer) x",
-    "prof_variance": each(lambda c: f"SELECT '{c}' AS feature, round(var_samp({c}), 6) AS variance, round(stddev_samp({c}), 6) AS std_dev, round((max({c}) - min({c}))::DOUBLE, 6) AS value_range, CASE WHEN var_samp({c}) = 0 THEN 'constant' WHEN var_samp({c}) < 0.01 THEN 'low' ELSE 'normal' END AS status FROM lineitem", NUM),
+    "prof_variance": each(lambda c: f"SELECT '{c}' AS feature, round(var_samp({c}), 6) AS variance, round(stddev_samp({c}), 6) AS std_dev, round((max({c}) - min({c}))::DOUBLE, 6) AS value_range, CASE WHEN var_samp({c}) < 0.003 THEN 'Critical' WHEN var_samp({c}) < 0.006 THEN 'High' WHEN var_samp({c}) < 0.01 THEN 'Moderate' END AS severity, CASE WHEN var_samp({c}) = 0 THEN 'constant' WHEN var_samp({c}) < 0.01 THEN 'low' ELSE 'normal' END AS status FROM lineitem", NUM),
     "prof_sparse": "WITH g AS (SELECT c_mktsegment AS v, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT v, n, n::DOUBLE / (SELECT sum(n) FROM g) AS share FROM g) SELECT 'c_mktsegment' AS feature, count(*) AS categories, count(*) FILTER (WHERE share <= 0.2) AS sparse, (SELECT v FROM s ORDER BY n DESC, v DESC LIMIT 1) AS dominant, round(max(share), 8) AS dominance FROM s",
     "prof_describe": each(lambda c: f"SELECT '{c}' AS feature, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c})::DOUBLE, 6) AS min, round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q1, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS median, round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q3, round(max({c})::DOUBLE, 6) AS max FROM lineitem", NUM),
     "prof_mode": "SELECT * FROM (SELECT 'l_returnflag' AS feature, l_returnflag AS mode, count(*) AS n FROM lineitem GROUP BY l_returnflag ORDER BY 3 DESC, 2 LIMIT 1) x",
@@ -151,7 +151,7 @@ SQL = {
     "prof_types_counters": each(lambda c: f"SELECT '{c}' AS feature, count(*) AS rows, count(*) - count({c}) AS nulls, count(try_cast({c} AS DOUBLE)) AS numeric, count(*) FILTER (WHERE try_cast({c} AS DOUBLE) = floor(try_cast({c} AS DOUBLE))) AS integral, count(DISTINCT {c}) AS n_unique FROM orders", ["o_custkey", "o_orderstatus"]),
     "corr_pairs": each(lambda p: f"SELECT '{p[0]}' AS feature_1, '{p[1]}' AS feature_2, round(corr({p[0]}, {p[1]}), 8) AS correlation, round(abs(corr({p[0]}, {p[1]})), 8) AS abs_correlation FROM lineitem", list(combinations(NUM, 2))),
     "point_biserial": f"{L} SELECT feature, n, round(r, 8) AS r, {strength('r')} AS strength FROM (" + each(lambda c: f"SELECT '{c}' AS feature, count({c}) AS n, corr({c}, y) AS r FROM l", NUM) + ") x",
-    "cramers_v": f"{L} SELECT feature, n, round(v, 8) AS v, {strength('v', '0.5:Very_Strong 0.25:Strong 0.15:Moderate 0.05:Weak')} AS strength FROM ({_v('l_linestatus')}) w",
+    "cramers_v": f"{L} SELECT feature, n, round(v, 8) AS v, {strength('v', '0.5:Very_Strong 0.25:Strong 0.15:Moderate 0.05:Weak', 'Very Weak')} AS strength FROM ({_v('l_linestatus')}) w",
     "cramers_v_corrected": L + _YATES,
     "crosstab": "SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "crosstab_pct": "SELECT a, b, n, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY a), 6) AS pct FROM (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY 1, 2) x",

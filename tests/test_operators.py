@@ -117,8 +117,8 @@ def test_constant_columns(spark):
 
 
 def test_leak_names():
-    assert profile.leak_names(["key", "amount"], "fraud") == ["key"]
-    assert profile.leak_names(["key", "amount"], "fraud", strict=True) == []
+    assert profile.leak_names(["city", "amount"], "fraud") == ["city"]  # it holds a y
+    assert profile.leak_names(["city", "amount"], "fraud", strict=True) == []
 
 
 def test_analyzer(spark, sf_dir, tmp_path):

@@ -77,17 +77,21 @@ def fit(labelled: DataFrame, max_docs: int = 4_000, ridge: float = 0.02) -> dict
     found = picked.mapInArrow(measure, "lang string, x binary").collect()
     if not found:
         return {"langs": []}
-    x = np.stack([np.frombuffer(r.x, np.float32) for r in found])
+    one = np.ones((len(found), sum(SIZES) + 1), np.float32)
+    for i, r in enumerate(found):
+        one[i, :-1] = np.frombuffer(r.x, np.float32)
     langs = sorted({r.lang for r in found})
     at = np.array([langs.index(r.lang) for r in found])
+    del found  # the driver holds one copy of the features at a time
     code = codewords(len(langs))
     y = code[at].astype(np.float32)
     # A row counts by the inverse of its language's size, so that frequent languages don't outvote rare ones.
     weight = np.sqrt(len(at) / len(langs) / np.bincount(at)[at]).astype(np.float32)[:, None]
-    one = np.hstack((x, np.ones((len(x), 1), np.float32)))
-    gram = (one * weight**2).T @ one
-    gram[np.diag_indices_from(gram)] += ridge * len(x) / 100
-    w = np.linalg.solve(gram.astype(np.float64), ((one * weight**2).T @ y).astype(np.float64)).astype(np.float32)
+    one *= weight
+    gram = (one.T @ one).astype(np.float64)
+    gram[np.diag_indices_from(gram)] += ridge * len(one) / 100
+    w = np.linalg.solve(gram, (one.T @ (y * weight)).astype(np.float64)).astype(np.float32)
+    one /= weight
     margin = np.clip(one @ w, -2, 2)
     wrong = np.clip((np.sign(margin) != y).mean(axis=0), 1e-3, 0.49)
     return {"langs": langs, "code": code, "w": w, "bits": np.log((1 - wrong) / wrong)}

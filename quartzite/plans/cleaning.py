@@ -122,9 +122,9 @@ def dup_tin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dup_address(spark: SparkSession, d: str) -> DataFrame:
-    df = K.with_parsed_address(contacts(spark, d), "business_address", "lgl_nm", "dba_nm", fuzzy=False)
+    df = K.with_parsed_address(contacts(spark, d), "business_address", "lgl_nm", "dba_nm")
     out = K.duplicate_flag(df, [S.match_key(F.col("address_1_std")), S.match_key(S.standardize_zip(F.col("zip_code_std"))), S.match_key(F.col("city_std"))], "Duplicate_Address_CHECK")
-    return out.groupBy("Duplicate_Address_CHECK").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("rid", "Duplicate_Address_CHECK")
 
 
 def dup_tin_rows(spark: SparkSession, d: str) -> DataFrame:

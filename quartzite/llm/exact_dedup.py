@@ -13,10 +13,10 @@ look their winner up by two digests and the length; should two texts ever agree
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, fresh
 
 
 def _number(n: int) -> Column:
@@ -34,6 +34,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in the original text stays, then the one with the smallest id. Null text counts as empty; empty texts are one group.
     A null id counts as larger than any other. Repeated rows of one id each give a row, all kept or all dropped together; an empty table gives no rows; other columns are ignored.
     """
+    if not 1 <= salts <= 63:
+        raise ValueError("salts must be 1 to 63")
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         normalised(F.col(text_col)).alias("content"),
@@ -61,6 +63,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` drops."""
-    keep = exact_groups(docs, id_col, text_col, salts).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
+    """``docs`` with one row of each group of equal texts, the one that :func:`exact_groups` keeps; all columns stay.
+
+    Of repeated rows of that id and text, the first in the order of their original texts stays.
+    """
+    digest, same, place = fresh("digest", docs), fresh("same_id", docs), fresh("place", docs)
+    keep = exact_groups(docs, id_col, text_col, salts).filter("kept").select(F.col("doc_id").alias(same), F.col("text_sha256").alias(digest)).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    met = docs.join(keep, docs[id_col].eqNullSafe(keep[same]) & (F.sha2(normalised(docs[text_col]), 256) == keep[digest]))
+    one = F.row_number().over(Window.partitionBy(same, digest).orderBy(F.desc(F.length(text)), text))
+    return met.withColumn(place, one).filter(F.col(place) == 1).select(docs.columns)

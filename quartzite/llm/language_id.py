@@ -2,7 +2,9 @@
 
 Every language gets a binary codeword. One linear classifier per bit reads hashed byte n-grams of the whole text and predicts
 that bit. Decoding sums, over the bits, the loss of a codeword's bit under the predicted margin, weighted by how reliable the bit
-was in training; the language of least loss wins. A small lead over the second best marks a text as ambiguous.
+was in training; the language of least loss wins. A small lead over the second best marks a text as ambiguous. Two or three
+languages have too few distinct bits to correct an error, so there each bit is learned four times: from all n-grams and from those of
+each length alone.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTER = regex.compile(r"\p{L}")
@@ -52,22 +54,30 @@ def codewords(k: int, tries: int = 500) -> np.ndarray:
     return best[1]
 
 
-def fit(labelled: DataFrame, max_docs: int = 4_000, ridge: float = 0.02) -> dict:
-    """The model from rows (doc_id, text, lang): at most ``max_docs`` ids, an equal quota for each language, chosen by id hash.
+def views(k: int) -> list[np.ndarray]:
+    """Feature columns that the copies of each bit are learned from; the last column is the intercept."""
+    ends = np.cumsum((0, *SIZES))
+    own = [np.append(np.arange(a, b), ends[-1]) for a, b in zip(ends, ends[1:], strict=False)]
+    return [np.arange(ends[-1] + 1), *(own if k <= 3 else [])]
 
-    Null languages and texts without a letter are left out. Without rows every text is ``und``.
+
+def fit(labelled: DataFrame, max_docs: int = 4_000, ridge: float = 0.02, least: int = 20) -> dict:
+    """The model from rows (doc_id, text, lang): at most ``max_docs`` ids, an equal quota for each language (``least`` ids at least), by id hash.
+
+    Every language that occurs is learned. Null languages and texts without a letter are left out; of several texts of one id and
+    language the first in their order is read. Without rows every text is ``und``.
     """
     rows = labelled.filter("lang is not null and doc_id is not null").select("doc_id", "lang")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_docs // 10).collect()}
-    if not counts:
-        return {"langs": []}
-    langs = sorted(counts)
-    # Smallest hashes first: what each language's share of the table would give of its quota, times 1.2.
-    quota = max_docs / len(langs)
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, 1.2 * quota / counts[lang])))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    picked = rows.filter(F.col("lang").isin(langs) & (place < share[F.col("lang")])).orderBy(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 40)), "doc_id").limit(max_docs)
-    picked = labelled.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("lang", "text")  # max_docs ids
+    counts = rows.groupBy("lang").count()
+    n_langs = counts.count()
+    quota = max(least, max_docs // max(1, n_langs))
+    # What each language's share of the table would give of its quota, times 1.2 and 20 more; of these the smallest hashes.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    near = rows.join(F.broadcast(counts) if n_langs <= 10_000 else counts, "lang").filter(place * F.col("count") < 1.2 * quota + 20)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id"))
+    picked = near.distinct().withColumn("rank", rank).filter(F.col("rank") <= quota).select("doc_id", "lang")
+    texts = labelled.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    picked = texts.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,14 +93,18 @@ def fit(labelled: DataFrame, max_docs: int = 4_000, ridge: float = 0.02) -> dict
     langs = sorted({r.lang for r in found})
     at = np.array([langs.index(r.lang) for r in found])
     del found  # the driver holds one copy of the features at a time
-    code = codewords(len(langs))
+    parts = views(len(langs))
+    code = np.tile(codewords(len(langs)), (1, len(parts)))
     y = code[at].astype(np.float32)
     # A row counts by the inverse of its language's size, so that frequent languages don't outvote rare ones.
     weight = np.sqrt(len(at) / len(langs) / np.bincount(at)[at]).astype(np.float32)[:, None]
     one *= weight
     gram = (one.T @ one).astype(np.float64)
     gram[np.diag_indices_from(gram)] += ridge * len(one) / 100
-    w = np.linalg.solve(gram, (one.T @ (y * weight)).astype(np.float64)).astype(np.float32)
+    right = (one.T @ (y * weight)).astype(np.float64)
+    w, n = np.zeros(right.shape, np.float32), code.shape[1] // len(parts)
+    for i, cols in enumerate(parts):
+        w[cols, i * n : (i + 1) * n] = np.linalg.solve(gram[np.ix_(cols, cols)], right[cols, i * n : (i + 1) * n])
     one /= weight
     margin = np.clip(one @ w, -2, 2)
     wrong = np.clip((np.sign(margin) != y).mean(axis=0), 1e-3, 0.49)

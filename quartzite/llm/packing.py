@@ -30,7 +30,8 @@ class Encoder:
     """Ids of a byte-level BPE file as ``tokenizers`` gives them (add_special_tokens=False).
 
     The file's vocabulary and merges run in ``tiktoken``, several times faster and with the same ids where merges are ranked by id
-    and the pre-tokenizer is the plain byte-level one; a text that holds the string of an added token goes through ``tokenizers``.
+    and the pre-tokenizer is the plain byte-level one. A text that holds the string of an added token goes through ``tokenizers``, and so
+    does one that ``tiktoken`` refuses: its pattern engine fails on runs of some hundred thousand blanks.
     """
 
     def __init__(self, path: str):
@@ -63,7 +64,10 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or any(a in text for a in self.added):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype)
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype)
+        except ValueError:
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
 
 @lru_cache(maxsize=2)

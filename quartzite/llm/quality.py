@@ -2,7 +2,7 @@
 
 A linear model over binned surface features minimises the non-negative unbiased risk
 ``prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))`` on trusted positives and unlabelled texts. The class prior is estimated from the
-same two samples: no set can hold a larger share of positives than ``prior`` allows, so the least ratio of the unlabelled to the
+same positives and all unlabelled texts: no set can hold a larger share of positives than ``prior`` allows, so the least ratio of the unlabelled to the
 positive share over the upper sets of a first classifier bounds it. Labelled rows then set the scale of the score (Platt).
 """
 
@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
 from .toxicity import logistic
 
 KINDS = ["upper", "lower", "digit", "blank", "newline", "stop", "comma", "bang", "bar", "mark", "bracket", "quote", "other", "high"]
@@ -50,10 +49,14 @@ def binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def class_prior(gp: np.ndarray, gu: np.ndarray, least: float = 0.05) -> float:
-    """The least ratio of the unlabelled to the positive share over upper sets that hold ``least`` of the positives."""
-    cuts = np.quantile(gp, np.linspace(0, 1 - least, 50))
-    ratios = [((gu >= c).mean() + 1 / np.sqrt(len(gu)) * 0.5) / max((gp >= c).mean(), least) for c in cuts]
+def prior_cuts(gp: np.ndarray, least: float = 0.05) -> np.ndarray:
+    """Scores of the positives that bound the upper sets, the last of which holds ``least`` of them."""
+    return np.quantile(gp, np.linspace(0, 1 - least, 50))
+
+
+def class_prior(gp: np.ndarray, cuts: np.ndarray, above: np.ndarray, n: int, least: float = 0.05) -> float:
+    """The least ratio of the unlabelled to the positive share over the upper sets; ``above`` of the ``n`` unlabelled lie in each."""
+    ratios = [(u / n + 0.5 / np.sqrt(n)) / max((gp >= c).mean(), least) for c, u in zip(cuts, above, strict=True)]
     return float(np.clip(min(ratios), 0.02, 0.98))
 
 
@@ -76,21 +79,22 @@ def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 400, rate:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 20_000, bins: int = 12) -> dict:
     """The model from ``docs`` and ``labels`` (doc_id, label), both of the rows to learn from.
 
-    At most ``max_docs`` labelled and as many unlabelled texts are read, those of smallest id hash. Null labels are left out. Without
-    trusted positives every score is the prior of 0.5.
+    The risk is minimised over at most ``max_docs`` labelled and as many unlabelled ids, those of smallest id hash, a row of each; the class
+    prior is estimated over all rows of ``docs``. Null labels and ids are left out. Without trusted positives every score is the prior of 0.5.
     """
-    known = labels.filter("label is not null").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    free = docs.select(F.col(id_col).alias("doc_id")).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_docs).distinct()
+    known = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    free = docs.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_docs)
     # Both lists have max_docs ids at most, so they may be sent to every task.
     picked = known.withColumn("u", F.lit(0)).unionByName(free.withColumns({"label": F.lit(None).cast("int"), "u": F.lit(1)}).select("doc_id", "label", "u"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id").select("text", F.when(F.col("u") == 1, -1).otherwise(F.col("label").cast("int")).alias("kind"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.when(F.col("u") == 1, -1).otherwise(F.col("label").cast("int")).alias("kind"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [np.append(features(t), k) for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64()))], names=["x"])
+            x = [np.append(features(t), k) for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "kind", "x"])
 
-    x = np.array([r.x for r in stored(rows.mapInArrow(measure, "x array<double>"), "quality-sample").collect()])
+    measured = rows.mapInArrow(measure, "doc_id long, kind int, x array<double>").groupBy("doc_id", "kind").agg(F.min("x").alias("x"))
+    x = np.array([r.x for r in measured.select("x").collect()])  # 2 * max_docs rows at most
     if not len(x) or not (x[:, -1] >= 1).any() or not (x[:, -1] == -1).any():
         return {"edges": None, "beta": None, "scale": (0.0, 0.0), "prior": 0.5}
     x, kind = x[:, :-1], x[:, -1]
@@ -98,7 +102,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     z = binned(x, edges)
     xp, xu = z[kind >= 1], z[kind == -1]
     first = logistic(np.vstack((xp, xu)), np.concatenate((np.ones(len(xp)), np.zeros(len(xu)))), ridge=1.0)
-    prior = class_prior(xp @ first, xu @ first)
+    gp = xp @ first
+    cuts = prior_cuts(gp)
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above, n = np.zeros(len(cuts), np.int64), 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024).column(0).to_pylist()
+                g = binned(np.stack([features(t) for t in part]), edges) @ first
+                above += (g[:, None] >= cuts).sum(axis=0)
+                n += len(part)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([above.tolist()], pa.list_(pa.int64()))], names=["n", "above"])
+
+    shares = docs.select(text_col).mapInArrow(share, "n long, above array<long>").select("n", F.posexplode("above").alias("cut", "a")).groupBy("cut").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).orderBy("cut").collect()
+    prior = class_prior(gp, cuts, np.array([r.a for r in shares]), shares[0].n)
     beta = nn_pu(xp, xu, prior)
     both = kind >= 0
     scale = (0.0, 1.0)

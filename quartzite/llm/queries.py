@@ -54,13 +54,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    maps = line_dedup.line_bitmaps(docs)
-    return docs.join(maps, "doc_id", "left").select(
+    joined, kept, dropped = line_dedup.with_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return joined.select(
         "doc_id",
         F.size(line_dedup.lines_of(F.col("text"))).cast("long").alias("n_lines"),
-        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
-        F.sha2(line_dedup.keep_lines(F.col("text"), F.col("dropped")), 256).alias("kept_sha256"),
+        F.col(dropped).alias("n_dropped"),
+        F.sha2(line_dedup.keep_lines(F.col("text"), F.col(kept)), 256).alias("kept_sha256"),
     )
 
 

@@ -13,6 +13,7 @@ entry of each, so no passage, however common, grows into one task, and nothing i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 CHUNK_BYTES, CHUNK_DOCS = 3 << 20, 4096
-PER_BUCKET = 2_000_000  # hashes that meet in one task
+PER_BUCKET = 1_000_000  # hashes that meet in one task
 B = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 B_INV = np.uint64(pow(int(B), -1, 1 << 64))
 
@@ -107,13 +108,14 @@ SENT = "bucket int, chunk long, n int, data binary, many binary, block binary"
 
 
 def send(chunk: int, distinct: np.ndarray, many: np.ndarray, block: np.ndarray, width: int, buckets: int) -> Iterator[tuple]:
-    """The rows of one chunk's sorted distinct hashes of ``width`` bytes; ``many``: found again in the chunk; ``block``: indexed here."""
-    edges = np.array([(b << (8 * width)) // buckets for b in range(1, buckets)], dtype=np.uint64)
-    cuts = [0, *np.searchsorted(distinct, edges).tolist(), len(distinct)]
-    for b in range(buckets):
-        lo, hi = cuts[b], cuts[b + 1]
-        if hi > lo:
-            yield b, chunk, hi - lo, pack(distinct[lo:hi], width), bits(many[lo:hi]), bits(block[lo:hi])
+    """The rows of one chunk's sorted distinct hashes of ``width`` bytes, by the range of their upper 32 bits; ``many``: found again in the chunk; ``block``: indexed here."""
+    if len(distinct) == 0:
+        return
+    # Only buckets that the chunk has hashes for, so the work is linear in its hashes however many buckets there are.
+    of = ((distinct >> np.uint64(8 * width - 32)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(distinct)])).tolist()
+    for lo, hi in pairwise(cuts):
+        yield int(of[lo]), chunk, hi - lo, pack(distinct[lo:hi], width), bits(many[lo:hi]), bits(block[lo:hi])
 
 
 def sent_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, report, quote). Four small transducers read them: one emits the weight
-of insults and threats, one raises it near a target, one lowers it in the scope of a negation, one in reported speech. They are
-composed into one machine; a clause's score is the weight along its path. Documents are judged by their matched clauses.
-
-Target, negation, report and threat words are listed below. Insults and their weights are learned from labelled rows: log odds of
-words and of word beginnings. A logistic model over clause scores gives the probability; while it is fitted, each row's own
+Words become symbols (insult, threat, target, negation, report, quote). Five transducers read them in a cascade, each reading what
+the one before it has written: the target machine marks harms with a target within four symbols (its look-ahead half reads from the
+right), the negation and reported-speech machines mark those in their scope, the insult and the threat machine turn marked harms into
+factors. All that read from the left are composed into one machine. A clause's score is the weight of its harms times their factors, and
+documents are judged by their matched clauses.
+
+Target, negation, report and threat words are listed below. Insults and their weights, and those of threats seen often enough, are learned
+from labelled rows: log odds of words and of word beginnings. A logistic model over clause scores gives the probability; while it is fitted, each row's own
 counts are left out of the odds, so that the lexicon can't vouch for the rows it was read from.
 """
 
@@ -36,40 +38,60 @@ SURE = 2.0  # standard errors by which a word's log odds are lowered, so that fe
 TOKEN = regex.compile(r"[\p{L}\p{M}]+|[.!?;:\n]|[\"“”„«»]")
 BREAKS, QUOTES = frozenset(".!?;:\n"), frozenset("\"“”„«»")
 HARM = (INSULT, THREAT)
+#: A letter is a symbol with marks: ``symbol + SYMBOLS * marks``.
+AIMED, NEGATED, REPORTED = 1, 2, 4
+LETTERS = SYMBOLS * 8
+NEAR, SCOPE = 4, 3
+
+
+def marked(letter: int, mark: int) -> int:
+    return letter if letter // SYMBOLS & mark else letter + SYMBOLS * mark
 
 
 class Machine:
-    """A deterministic weighted transducer: ``move[state][symbol]`` and the factor ``gain[state][symbol]`` of that arc."""
+    """A deterministic transducer: ``move[state][letter]`` and the letter ``out[state][letter]`` that it writes."""
 
-    def __init__(self, move: list[list[int]], gain: list[list[float]]):
-        self.move, self.gain = move, gain
+    def __init__(self, move: list[list[int]], out: list[list[int]]):
+        self.move, self.out = move, out
 
-    def __matmul__(self, other: Machine) -> Machine:
-        """Composition on a shared input: pairs of states, products of factors."""
+    def __or__(self, other: Machine) -> Machine:
+        """Composition: ``other`` reads what this one writes."""
         n = len(other.move)
         pairs = [(a, b) for a in range(len(self.move)) for b in range(n)]
         return Machine(
-            [[self.move[a][s] * n + other.move[b][s] for s in range(SYMBOLS)] for a, b in pairs],
-            [[self.gain[a][s] * other.gain[b][s] for s in range(SYMBOLS)] for a, b in pairs],
+            [[self.move[a][x] * n + other.move[b][self.out[a][x]] for x in range(LETTERS)] for a, b in pairs],
+            [[other.out[b][self.out[a][x]] for x in range(LETTERS)] for a, b in pairs],
         )
 
 
-def scope(opens: int, length: int, inside: dict[int, float], outside: dict[int, float]) -> Machine:
-    """After the symbol ``opens``, the factors ``inside`` hold for ``length`` symbols, else ``outside``."""
-    move = [[length if s == opens else max(0, left - 1) for s in range(SYMBOLS)] for left in range(length + 1)]
-    return Machine(move, [[(inside if left else outside).get(s, 1.0) for s in range(SYMBOLS)] for left in range(length + 1)])
+def scope(opens: int, length: int, mark: int) -> Machine:
+    """Marks the harms among the ``length`` symbols after ``opens``."""
+    kinds = [x % SYMBOLS for x in range(LETTERS)]
+    move = [[length if s == opens else max(0, left - 1) for s in kinds] for left in range(length + 1)]
+    return Machine(move, [[marked(x, mark) if left and s in HARM else x for x, s in enumerate(kinds)] for left in range(length + 1)])
+
 
+def speech() -> Machine:
+    """Marks harms between quotes, and after a reporting word up to the quote that ends its quotation, else to the clause's end."""
+    plain, quoted, told = range(3)
+    turn = {plain: {QUOTE: quoted, REPORT: told}, quoted: {QUOTE: plain}, told: {QUOTE: quoted}}
+    kinds = [x % SYMBOLS for x in range(LETTERS)]
+    return Machine([[turn[q].get(s, q) for s in kinds] for q in range(3)], [[marked(x, REPORTED) if q and s in HARM else x for x, s in enumerate(kinds)] for q in range(3)])
 
-def latch(opens: tuple[int, ...], inside: dict[int, float]) -> Machine:
-    """From a symbol in ``opens`` on, the factors ``inside`` hold up to the clause's end."""
-    return Machine([[int(s in opens) for s in range(SYMBOLS)], [1] * SYMBOLS], [[1.0] * SYMBOLS, [inside.get(s, 1.0) for s in range(SYMBOLS)]])
 
+def factors(symbol: int, aimed: float, alone: float, negated: float, reported: float) -> list[float | None]:
+    """One-state machine from the marked letters of ``symbol`` to numbers."""
+    found: list[float | None] = [None] * LETTERS
+    for marks in range(8):
+        found[symbol + SYMBOLS * marks] = (aimed if marks & AIMED else alone) * (negated if marks & NEGATED else 1.0) * (reported if marks & REPORTED else 1.0)
+    return found
 
-HARMS = Machine([[0] * SYMBOLS], [[float(s in HARM) for s in range(SYMBOLS)]])
-AIMED = scope(TARGET, 4, {INSULT: 1.5, THREAT: 1.5}, {THREAT: 0.5})
-NEGATED = scope(NEGATION, 3, {INSULT: 0.3, THREAT: 0.2}, {})
-REPORTED = latch((REPORT, QUOTE), {INSULT: 0.5, THREAT: 0.4})
-GRAMMAR = HARMS @ AIMED @ NEGATED @ REPORTED
+
+AHEAD = scope(TARGET, NEAR, AIMED)  # reads from the right
+GRAMMAR = scope(TARGET, NEAR, AIMED) | scope(NEGATION, SCOPE, NEGATED) | speech()
+INSULTED = factors(INSULT, 1.5, 1.0, 0.3, 0.5)
+THREATENED = factors(THREAT, 1.5, 0.5, 0.2, 0.4)
+GAIN = [a if a is not None else b if b is not None else 0.0 for a, b in zip(INSULTED, THREATENED, strict=True)]
 
 
 class Lexicon(dict):
@@ -93,7 +115,7 @@ class Lexicon(dict):
         found = self.CLOSED.get(word)
         if found is None:
             w = self.weight(self.words[word]) if word in self.words else max((self.weight(self.heads[word[:k]]) for k in range(HEAD[0], min(HEAD[1], len(word) - 1) + 1) if word[:k] in self.heads), default=0.0)
-            found = (INSULT, w) if w else (THREAT, THREAT_WEIGHT) if word in self.threats else (OTHER, 0.0)
+            found = (THREAT, w or THREAT_WEIGHT) if word in self.threats else (INSULT, w) if w else (OTHER, 0.0)
         if len(self) > 400_000:
             self.clear()
         self[word] = found
@@ -106,14 +128,16 @@ HEAD = (3, 9)
 def clauses(text: str, lexicon: Lexicon) -> tuple[list[float], int]:
     """(scores of the clauses that the grammar matches, number of words)."""
     scores: list[float] = []
-    n, clause, harm = 0, [], False
+    n, clause, harm, quoted = 0, [], False, False
     for t in TOKEN.findall(text.lower()):
         if t in BREAKS:
             if harm:
                 scores.append(_walk(clause))
-            clause, harm = [], False
+            quoted = quoted and t != "\n"
+            clause, harm = [(QUOTE, 0.0)] if quoted else [], False  # a quotation goes on after a full stop, but not on a new line
         elif t in QUOTES:
             clause.append((QUOTE, 0.0))
+            quoted = not quoted
         else:
             n += 1
             x = lexicon[t]
@@ -125,10 +149,13 @@ def clauses(text: str, lexicon: Lexicon) -> tuple[list[float], int]:
 
 
 def _walk(clause: list[tuple[int, float]]) -> float:
+    letters, state = [symbol for symbol, _ in clause], 0
+    for i in range(len(letters) - 1, -1, -1):
+        state, letters[i] = AHEAD.move[state][letters[i]], AHEAD.out[state][letters[i]]
     state, total = 0, 0.0
-    for symbol, weight in clause:
-        total += weight * GRAMMAR.gain[state][symbol]
-        state = GRAMMAR.move[state][symbol]
+    for x, (_, weight) in zip(letters, clause, strict=True):
+        total += weight * GAIN[GRAMMAR.out[state][x]]
+        state = GRAMMAR.move[state][x]
     return total
 
 
@@ -176,15 +203,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 UNTAUGHT = [-5.0, 0.5, 0.5, 0.0, 0.5, 1.0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 20_000, min_pos: int = 3, least_odds: float = 1.0, max_terms: int = 20_000) -> dict:
-    """The model from ``docs`` and ``labels`` (doc_id, label 0/1): at most ``max_docs`` labelled ids, those of smallest hash.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 20_000, min_pos: int = 3, least_odds: float = 1.0) -> dict:
+    """The model from ``docs`` and ``labels`` (doc_id, label 0/1): at most ``max_docs`` labelled ids, those of smallest hash, a row of each.
 
-    Rows with a null label are left out. Without rows of both labels only the listed threats count.
+    Rows with a null label are left out. Of several texts of one id the first in their order is read. Without rows of both labels only
+    the listed threats count.
     """
     known = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("label") >= 1, 1).otherwise(0)).alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)  # so few ids may be sent to every task
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(texts.join(F.broadcast(known), "doc_id").select("text", "label"), "toxic-sample")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = stored(texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label"), "toxic-sample")
     n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     model = {"words": {}, "heads": {}, "n": (n.get(1, 0), n.get(0, 0)), "least": least_odds, "beta": UNTAUGHT}
     if len(n) < 2:
@@ -192,14 +220,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
     odds = F.log(a / (n[1] + 1)) - F.log(b / (n[0] + 1)) - SURE * F.sqrt(1 / a + 1 / b)
     terms = rows.mapInArrow(_count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    strong = terms.filter((F.col("pos") >= min_pos) & (odds >= least_odds)).orderBy(F.desc("pos"), "term").limit(max_terms)
-    for r in strong.collect():
-        model["heads" if r.term.endswith("*") else "words"][r.term.rstrip("*")] = (r.pos, r.neg)
+    terms = stored(terms.filter("pos >= 1").withColumn("odds", odds), "toxic-terms")
+    strong = terms.filter((F.col("pos") >= min_pos) & (F.col("odds") >= least_odds))
     # A word with evidence of its own against it doesn't fall back on its beginning.
-    weak = terms.filter((odds < least_odds) & (F.col("pos") + F.col("neg") >= 5) & ~F.col("term").endswith("*") & (F.col("pos") >= 1)).orderBy(F.desc(F.col("pos") + F.col("neg")), "term").limit(max_terms)
-    for r in weak.collect():
-        if any(r.term[:k] in model["heads"] for k in range(HEAD[0], HEAD[1] + 1)):
-            model["words"][r.term] = (r.pos, r.neg)
+    heads = strong.filter(F.col("term").endswith("*")).select("term")
+    weak = terms.filter((F.col("odds") < least_odds) & (F.col("pos") + F.col("neg") >= 5) & ~F.col("term").endswith("*"))
+    starts = F.array(*[F.concat(F.substring("term", 1, k), F.lit("*")) for k in range(HEAD[0], HEAD[1] + 1)])
+    weak = weak.select("term", "pos", "neg", F.explode(starts).alias("start")).join(heads.withColumnRenamed("term", "start"), "start", "left_semi").select("term", "pos", "neg").distinct()
+    for r in strong.select("term", "pos", "neg").union(weak).collect():  # of the words of max_docs texts those that matter
+        model["heads" if r.term.endswith("*") else "words"][r.term.rstrip("*")] = (r.pos, r.neg)
     base = {k: v for k, v in model.items() if k != "beta"}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

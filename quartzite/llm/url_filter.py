@@ -5,8 +5,8 @@ subdomains, so each rule host is an interval of the sorted keys. One sweep over
 interval is open; they are nested, so the stack is the chain of a url's rule hosts. Of their rules the longest that fits wins.
 
 A rule table of up to ``local_rules`` rows goes to every task and is swept against the urls of each batch, without a shuffle. A larger one
-is cut into key ranges of about that size; a rule goes to each range its interval meets, urls of a range are dealt over salts, and each
-(range, salt) is swept by itself.
+is cut into key ranges of about that size. A range gets as many salts as it has ``urls_per_task`` urls, its urls are dealt over them, a rule
+goes to each range its interval meets, and each (range, salt) is swept by itself. Urls without a host meet no rule and stay out of it.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stored
 
 # The production rules (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -122,7 +122,6 @@ def _by_ranges(urls: DataFrame, listed: DataFrame, default: str, local_rules: in
     ranges = -(-listed.count() // max(1, local_rules // 2))
     # A sample of 64 keys a range sets the cuts; it decides how even the ranges are, not what they return.
     cuts = sorted(key_of(r.host) for r in listed.select("host").orderBy(F.xxhash64("host"), "host").limit(64 * ranges).collect())[63::64]
-    salts = max(1, -(-urls.count() // (urls_per_task * ranges)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,9 +130,9 @@ def _by_ranges(urls: DataFrame, listed: DataFrame, default: str, local_rules: in
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(a, s, v, h, p) for v, h, p in zip(*[c.to_pylist() for c in batch.columns], strict=True) for a in range(bisect_right(cuts, key_of(h)), bisect_right(cuts, key_of(h) + chr(0x10FFFF)) + 1) for s in range(salts)]
+            rows = [(a, v, h, p) for v, h, p in zip(*[c.to_pylist() for c in batch.columns], strict=True) for a in range(bisect_right(cuts, key_of(h)), bisect_right(cuts, key_of(h) + chr(0x10FFFF)) + 1)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=pa.schema([("at", pa.int32()), ("salt", pa.int32()), ("verdict", pa.string()), ("host", pa.string()), ("path", pa.string())]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=pa.schema([("at", pa.int32()), ("verdict", pa.string()), ("host", pa.string()), ("path", pa.string())]))
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         nodes = nodes_of(list(zip(*[right.column(c).to_pylist() for c in ("verdict", "host", "path")], strict=True)))
@@ -141,6 +140,10 @@ def _by_ranges(urls: DataFrame, listed: DataFrame, default: str, local_rules: in
         cols = [pa.concat_arrays(own.column(c).chunks) if own.num_rows else pa.array([], own.schema.field(c).type) for c in ("page_id", "host", "path")]
         return pa.Table.from_arrays(_swept(*cols, nodes, default), names=NAMES)
 
-    dealt = urls.mapInArrow(place, "at int, page_id long, host string, path string").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
-    copies = listed.mapInArrow(spread, "at int, salt int, verdict string, host string, path string")
-    return dealt.groupBy("at", "salt").cogroup(copies.groupBy("at", "salt")).applyInArrow(judge, OUT)
+    placed = stored(urls.filter("host <> ''").mapInArrow(place, "at int, page_id long, host string, path string"), "urls")
+    salts = F.broadcast(placed.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / urls_per_task).cast("int").alias("salts")))  # a row per range
+    # The number keeps even copies of one url apart.
+    dealt = placed.join(salts, "at").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts")).cast("int")).drop("salts")
+    copies = listed.mapInArrow(spread, "at int, verdict string, host string, path string").join(salts, "at").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    found = dealt.groupBy("at", "salt").cogroup(copies.groupBy("at", "salt")).applyInArrow(judge, OUT)
+    return found.unionByName(urls.filter("host = ''").select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))

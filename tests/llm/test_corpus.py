@@ -91,7 +91,7 @@ def test_lines(docs, texts, none):
     assert [got[i].text for i in range(len(texts))] == [w if t is not None else None for w, t in zip(want, texts, strict=True)]
     assert line_dedup.drop_lines(docs).columns == docs.columns
     maps = by_id(line_dedup.line_bitmaps(docs))
-    assert all(sum(d.bits.bit_count() if d.bits >= 0 else 64 - (~d.bits).bit_count() for d in m.dropped) == m.n_dropped for m in maps.values())
+    assert all(sum(64 - (k.bits & (2**64 - 1)).bit_count() for k in m.kept) == m.n_dropped > 0 for m in maps.values())
     assert line_dedup.line_bitmaps(none).count() == 0
 
 
@@ -125,8 +125,9 @@ def test_links_lose_none(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     prints = np.unique(np.concatenate([base, *[base ^ np.uint64(1 << a) ^ np.uint64(1 << b) for a, b in rng.integers(0, 64, (12, 2)).tolist()]]))
-    df = spark.createDataFrame([(i, int(p.astype(np.int64))) for i, p in enumerate(prints)], "node long, fingerprint long")
-    found = {(r.u, r.v) for r in simhash_dedup.links(df, 2, 4, piece=16).collect()}
+    df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fingerprint long")
+    at = {int(p): i for i, p in enumerate(prints.view(np.int64))}
+    found = {(at[r.u], at[r.v]) for r in simhash_dedup.links(df, 2, 4, piece=16).collect()}
     parent = list(range(len(prints)))
 
     def root(i):
@@ -248,12 +249,35 @@ def test_urls(spark, local):
 
 
 def test_grammar():
-    lexicon = toxicity.Lexicon({"words": {"idiot": (50, 0)}, "heads": {}, "n": (100, 900), "least": 1.4})
+    lexicon = toxicity.Lexicon({"words": {"idiot": (50, 0), "kill": (50, 0)}, "heads": {}, "n": (100, 900), "least": 1.4})
     score = lambda t: sum(toxicity.clauses(t, lexicon)[0])
     assert score("You are an idiot.") > score("An idiot.") > score("He is not an idiot.") > 0
     assert score("She said he is an idiot.") < score("He is an idiot.")
     assert score("He said so. An idiot.") == score("An idiot.")
-    assert score("I will kill you.") < score("You, I will kill.") and score("Nothing here.") == 0
+    assert score("I will kill you.") == score("You, I will kill.") > score("I will kill.") > 0 == score("Nothing here.")
+    assert lexicon["kill"][0] == toxicity.THREAT and lexicon["murder"] == (toxicity.THREAT, toxicity.THREAT_WEIGHT)
+    assert score('He wrote "hi" you are an idiot') == score("He is one, you are an idiot") > score('He wrote "you are an idiot"')
+    assert score('"Well. You are an idiot." ') == score('He: "you are an idiot"') < score('"Well.\nYou are an idiot.')
+
+
+def test_grammar_against_plain_rules():
+    """The composed machines against the rules said in words."""
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        n = int(rng.integers(1, 16))
+        clause = list(zip(rng.choice(7, n, p=(0.3, 0.15, 0.15, 0.1, 0.1, 0.1, 0.1)).tolist(), rng.random(n).tolist(), strict=True))
+        want, quoted, told = 0.0, False, False
+        for i, (s, w) in enumerate(clause):
+            if s == toxicity.QUOTE:
+                quoted, told = not quoted, False
+            elif s == toxicity.REPORT and not quoted:
+                told = True
+            elif s in (toxicity.INSULT, toxicity.THREAT):
+                aimed = any(x == toxicity.TARGET for x, _ in clause[max(0, i - 4) : i + 5])
+                negated = any(x == toxicity.NEGATION for x, _ in clause[max(0, i - 3) : i])
+                a, b, c, d = (1.5, 1.0, 0.3, 0.5) if s == toxicity.INSULT else (1.5, 0.5, 0.2, 0.4)
+                want += w * (a if aimed else b) * (c if negated else 1) * (d if quoted or told else 1)
+        assert toxicity._walk(clause) == pytest.approx(want)
 
 
 def test_classifiers_learn(spark):
@@ -292,16 +316,18 @@ def test_classifiers_without_labels(spark):
         assert df.count() == 0
 
 
-@pytest.mark.parametrize("k", [1, 2, 4, 5, 9])
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5, 9])
 def test_codewords(k):
-    c = language_id.codewords(k)
+    c = np.tile(language_id.codewords(k), (1, len(language_id.views(k))))
+    assert k == 1 or min((c[i] != c[j]).sum() for i in range(k) for j in range(i)) >= 4
     assert c.shape[0] == k and all((c[i] != c[j]).any() for i in range(k) for j in range(i))
 
 
 def test_prior_and_risk():
     rng = np.random.default_rng(0)
     p, u = rng.normal(2, 1, 4000), np.concatenate([rng.normal(2, 1, 2800), rng.normal(-2, 1, 1200)])
-    assert abs(quality.class_prior(p, u) - 0.7) < 0.06
+    cuts = quality.prior_cuts(p)
+    assert abs(quality.class_prior(p, cuts, (u[:, None] >= cuts).sum(axis=0), len(u)) - 0.7) < 0.06
     x = lambda v: np.stack([np.ones_like(v), v], axis=1)
     beta = quality.nn_pu(x(p), x(u), 0.7)
     assert ((x(rng.normal(-2, 1, 500)) @ beta) < 0).mean() > 0.9 and ((x(rng.normal(2, 1, 500)) @ beta) > 0).mean() > 0.9

@@ -5,9 +5,10 @@ from fractions import Fraction
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_corpus import LOWER, SCHEMA, vocabulary, words
 
-from quartzite.llm import near_dedup
+from quartzite.llm import near_dedup, simhash_dedup
 
 
 def grams(text, k=5):
@@ -59,8 +60,17 @@ def test_near_stage(spark, rows):
 
 
 def test_groups(spark, rows):
-    empty = spark.createDataFrame([(None, "no id")], "doc_id long, text string")
+    empty = spark.createDataFrame([(None, "no id"), (None, "no id")], "doc_id long, text string")
     docs = spark.createDataFrame(rows, "doc_id long, text string").union(empty)
-    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()} == brute(rows)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()} == {None: None, **brute(rows)}
     assert [r.text for r in near_dedup.drop_near(empty).collect()] == ["no id"]
-    assert near_dedup.near_groups(empty.limit(0)).collect() == []
+    assert near_dedup.near_groups(empty.limit(0)).collect() == [] == near_dedup.drop_near(empty.limit(0)).collect()
+
+
+@pytest.mark.parametrize("drop", [near_dedup.drop_near, simhash_dedup.drop_near])
+def test_rows_of_one_id(spark, drop):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "quite another text of seven words"), (2, "quite another text of seven words"), (None, "a b c d e f g"), (None, "no id but unique")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_keep", "_row", "row", "label", "place", "same_id", "same_row", "component_id")})
+    kept = drop(docs)
+    assert kept.columns == docs.columns and all(r.label == "label" and r.row == "row" for r in kept.collect())
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", rows[0][1]), ("2", rows[2][1]), ("None", rows[5][1])]

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 import numpy as np  # noqa: E402
-from test_corpus import LOWER, keep_lines, simhash, weighted, words  # noqa: E402
+from test_corpus import LOWER, keep_lines, weighted, words  # noqa: E402
+from test_near import brute  # noqa: E402
 
 from quartzite.llm import packing, queries, toxicity  # noqa: E402
 from quartzite.llm.common import stored, table  # noqa: E402
@@ -58,11 +59,7 @@ def test_against_brute_force(spark, sf_dir):
         elif name == "line_dedup":
             want = dict(zip(before, keep_lines(list(before.values())), strict=True))
         elif name == "near_dedup":
-            prints, ids = np.array([simhash(t, 3) for t in before.values()], dtype=np.uint64), np.array(list(before))
-            near, label = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 2, ids
-            for _ in ids:
-                label = np.where(near, label[None, :], ids.max()).min(axis=1)
-            want = {i: before[i] for i in set(label.tolist())}
+            want = {i: before[i] for i in set(brute(list(before.items())).values())}
         else:
             want = {i: t for i, t in before.items() if not leaks(t)}
         assert got == want, name

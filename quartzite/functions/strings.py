@@ -162,10 +162,9 @@ def normalized_upper(c: Column) -> Column:
 
 
 def normalized_id(c: Column) -> Column:
-    """Digits of an integral number given as text or float; blank, nan and null are empty. Other text gives an error."""
-    v = strip(c)
-    number = v.cast("double").cast("bigint").cast("string")
-    return F.when(c.isNull() | F.lower(v).isin("", "nan"), "").otherwise(number)
+    """Digits of an integral number given as text or float; blank, nan, null and what is no number are empty."""
+    v = strip(text(c))
+    return F.coalesce(F.when(~F.lower(v).isin("", "nan"), v.try_cast("double").try_cast("bigint").cast("string")), F.lit(""))
 
 
 def trim_if_content(c: Column) -> Column:

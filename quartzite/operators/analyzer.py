@@ -59,7 +59,8 @@ class Analyzer:
     def report_type_issues(self) -> list[dict]:
         """Numbers in the range of Excel's serial dates."""
         kinds = dict(self.data.dtypes)
-        return [{"feature": c, "issue": "EXCEL_SERIAL_DATE", "type": kinds[c]} for c in self._of("datetime") if kinds[c] in ("int", "bigint", "double", "float")]
+        numbers = [c for c in self._of("datetime") if c in P.numeric_columns(self.data)]
+        return [{"feature": c, "issue": "EXCEL_SERIAL_DATE", "type": kinds[c]} for c in P.serial_dates(self.data, numbers)]
 
     def inspect_feature(self, feature: str | Sequence[str]) -> dict:
         names = [feature] if isinstance(feature, str) else list(feature)
@@ -69,7 +70,7 @@ class Analyzer:
         out = {}
         for c in names:
             kind = dict(self.data.dtypes)[c]
-            out[c] = {"type": self._types()[c], "dtype": kind, "total": n, "missing": missing[c]["missing"], "missing_pct": missing[c]["pct"], "unique": unique[c]}
+            out[c] = {"type": P.single_type(self.data, c, self.outcome_feature), "dtype": kind, "total": n, "missing": missing[c]["missing"], "missing_pct": missing[c]["pct"], "unique": unique[c]}
             if c in P.numeric_columns(self.data):
                 out[c]["statistics"] = self._rows(P.describe(self.data, [c]))[0]
             elif kind in ("date", "timestamp", "timestamp_ntz"):

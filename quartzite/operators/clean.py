@@ -6,6 +6,7 @@ duplicate flags are two hash shuffles, the scores one aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -168,12 +169,14 @@ def duplicate_flag(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     full = F.lit(True)
     for m in marks:
         full = full & (F.col(m) != "")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*marks))
-    return df.withColumns(dict(zip(marks, keys, strict=True))).withColumn(name, F.when(full & (n > 1), "Yes").otherwise("No")).drop(*marks)
+    # Rows with a blank key are alone in a window each, or all of them would meet in one task.
+    alone = F.when(~full, F.monotonically_increasing_id())
+    n = F.count(F.lit(1)).over(Window.partitionBy(*marks, "_alone"))
+    return df.withColumns(dict(zip(marks, keys, strict=True))).withColumn("_alone", alone).withColumn(name, F.when(full & (n > 1), "Yes").otherwise("No")).drop(*marks, "_alone")
 
 
-def cleaned(df: DataFrame, roles: dict[str, str], suffix: str = "_std", fuzzy: bool = True) -> DataFrame:
-    """Raw columns standardized in place, parsed address columns, name and TIN columns, and the two duplicate flags.
+def cleaned(df: DataFrame, roles: dict[str, str], suffix: str = "_std", fuzzy: bool = True, untouched: Sequence[str] = ()) -> DataFrame:
+    """Raw columns but the ``untouched`` ones standardized in place, parsed address columns, name and TIN columns, and the two duplicate flags.
 
     Format checks and the address read the raw value, standardizers the cleaned one.
     """
@@ -184,7 +187,7 @@ def cleaned(df: DataFrame, roles: dict[str, str], suffix: str = "_std", fuzzy: b
         legal = find(lambda c: "lgl_nm" in c)
         dba = find(lambda c: "dba_nm" in c or ("dba" in c and "lgl" not in c))
         out = with_parsed_address(out, addr, legal, dba, suffix, fuzzy)
-    out = out.withColumns({c: clean_value(df, roles, c) for c in df.columns})
+    out = out.withColumns({c: clean_value(df, roles, c) for c in df.columns if c not in untouched})
     tin, legal, dba = (find(lambda c, n=n: c == n) for n in ("tin", "lgl_nm", "dba_nm"))
     empty = F.lit("")
     out = out.withColumns({

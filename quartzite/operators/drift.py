@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import numbers as N
+from .ranks import long_values, quantiles, running
 from .stats_math import chi2_sf, ks_sf
 
 FLOOR = 1e-6
@@ -57,11 +58,11 @@ def psi_numeric(pool: DataFrame, sample: DataFrame, cols: Sequence[str] | str, b
     than ten values or there are fewer than two edges. ``approximate`` takes percentile_approx, for columns too large for exact quantiles.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
-    steps = F.array(*[F.lit(i / buckets) for i in range(buckets + 1)])
-    q = lambda c: F.percentile_approx(c, [i / buckets for i in range(buckets + 1)], 100_000) if approximate else F.percentile(c, steps)
+    steps = [i / buckets for i in range(buckets + 1)]
     value = {c: _c(c).cast("double") for c in cols}
-    row = pool.agg(*[F.array_distinct(q(value[c])).alias(str(i)) for i, c in enumerate(cols)]).first()
-    edges = {c: row[i] or [] for i, c in enumerate(cols)}
+    rows = long_values(pool, value)
+    found = rows.groupBy("feature").agg(F.percentile_approx("v", steps, 100_000).alias("q")) if approximate else quantiles(rows, ["feature"], "v", steps)
+    edges = {c: [] for c in cols} | {r.feature: list(dict.fromkeys(r.q or [])) for r in found.collect()}
 
     def counts(df: DataFrame, side: str) -> DataFrame:
         aggs = []
@@ -85,20 +86,21 @@ def psi_numeric(pool: DataFrame, sample: DataFrame, cols: Sequence[str] | str, b
     return both.select(F.explode(F.array(*out)).alias("r")).select("r.*")
 
 
+def ks_statistics(pool: DataFrame, sample: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """col_name, ks, n, m of all columns in one job, over running totals of distinct values."""
+    value = {c: _c(c) for c in cols}
+    side = lambda df, p, s: long_values(df, value).filter("v is not null").withColumns({"p": F.lit(p), "s": F.lit(s)})
+    both = side(pool, 1, 0).unionByName(side(sample, 0, 1))
+    counted = both.groupBy("feature", "v").agg(F.sum("p").alias("p"), F.sum("s").alias("s"))
+    totals = counted.groupBy("feature").agg(F.sum("p").alias("n"), F.sum("s").alias("m"))
+    run = running(counted, both, ["feature"], "v", ["p", "s"]).join(F.broadcast(totals), "feature")  # a row per column
+    gap = F.abs(F.try_divide(F.col("p_upto"), F.col("n")) - F.try_divide(F.col("s_upto"), F.col("m")))
+    return run.groupBy(F.col("feature").alias("col_name")).agg(F.max(gap).alias("ks"), F.max("n").alias("n"), F.max("m").alias("m"))
+
+
 def ks_statistic(pool: DataFrame, sample: DataFrame, col: str) -> DataFrame:
-    """ks, n, m. Values are counted per distinct value first; running sums over ranges of values are added up by range totals."""
-    both = pool.select(_c(col).cast("double").alias("v"), F.lit(1).alias("p"), F.lit(0).alias("s")).union(sample.select(_c(col).cast("double"), F.lit(0), F.lit(1))).filter("v is not null")
-    by_value = both.groupBy("v").agg(F.sum("p").alias("p"), F.sum("s").alias("s"))
-    span = by_value.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("p").alias("n"), F.sum("s").alias("m"))
-    parts = 256
-    ranged = by_value.join(F.broadcast(span)).withColumn("r", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(parts - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts))).otherwise(0).cast("int"))
-    own = Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = ranged.groupBy("r").agg(F.sum("p").alias("tp"), F.sum("s").alias("ts"))
-    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows at most
-    base = totals.select("r", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("ts").over(before), F.lit(0)).alias("bs"))
-    run = ranged.withColumns({"cp": F.sum("p").over(own), "cs": F.sum("s").over(own)}).join(F.broadcast(base), "r")
-    gap = F.abs((F.col("cp") + F.col("bp")) / F.col("n") - (F.col("cs") + F.col("bs")) / F.col("m"))
-    return run.agg(F.max(gap).alias("ks"), F.max("n").alias("n"), F.max("m").alias("m"))
+    """ks, n, m of one column."""
+    return ks_statistics(pool, sample, [col]).drop("col_name")
 
 
 def ks_test(pool: DataFrame, sample: DataFrame, col: str) -> tuple[float, float]:
@@ -138,28 +140,74 @@ def cardinality_ratio(pool: DataFrame, sample: DataFrame, col: str) -> DataFrame
     return p.join(s).select("u_p", "u_s", r.alias("ratio")).withColumn("verdict", F.when(F.col("ratio").between(0.7, 1.3), "Good").when(F.col("ratio").between(0.4, 1.6), "Check").otherwise("Sparse"))
 
 
-def drift_table(pool: DataFrame, sample: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (), dates: Sequence[str] = (), max_categories: int = 40_000) -> DataFrame:
-    """Feature, type, psi, stat, p_value, sig, test, verdict. One row per feature, dates two (quarter, weekday)."""
-    rows = []
+def category_tests(pool: DataFrame, sample: DataFrame, keys: dict[str, Column], dates: Sequence[str] = (), pool_rows: int = 0, sample_rows: int = 0) -> DataFrame:
+    """feature, psi, chi2, dof of all ``keys``, from one shuffle over (feature, category).
+
+    Null keys count as __NA__, but are left out of ``dates``, whose cells are the shares times the rows of the whole tables; their PSI is
+    null where either side has fewer than ten values.
+    """
+    dated = F.col("feature").isin(list(dates)) if dates else F.lit(False)
+
+    def side(df: DataFrame, is_sample: int) -> DataFrame:
+        rows = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), c.cast("string").alias("cat")) for k, c in keys.items()]))
+        rows = df.select(rows.alias("x")).select("x.*").filter(~dated | F.col("cat").isNotNull())
+        return rows.select("feature", F.coalesce("cat", F.lit("__NA__")).alias("cat"), F.lit(is_sample).alias("side"))
+
+    counts = side(pool, 0).union(side(sample, 1)).groupBy("feature", "cat").agg(F.count_if(F.col("side") == 0).alias("p_n"), F.count_if(F.col("side") == 1).alias("s_n"))
+    totals = F.broadcast(counts.groupBy("feature").agg(F.sum("p_n").alias("p_t"), F.sum("s_n").alias("s_t")))  # a row per feature
+    share = lambda x, t: F.coalesce(N.ratio(F.col(x), F.col(t)), F.lit(0.0))
+    cell = lambda x, n, rows: F.greatest(F.lit(1.0), F.when(dated, F.bround(F.col(x) * rows)).otherwise(F.col(n).cast("double")))
+    shares = counts.join(totals, "feature").withColumns({"p": share("p_n", "p_t"), "s": share("s_n", "s_t")})
+    cells = shares.select("feature", "p_t", "s_t", F.greatest("p", F.lit(FLOOR)).alias("e"), F.greatest("s", F.lit(FLOOR)).alias("f"), cell("p", "p_n", pool_rows).alias("a"), cell("s", "s_n", sample_rows).alias("b"))
+    sums = F.broadcast(cells.groupBy("feature").agg(*[F.sum(c).alias(f"t{c}") for c in "efab"], F.count(F.lit(1)).alias("k")))  # a row per feature
+    e, f = F.col("e") / F.col("te"), F.col("f") / F.col("tf")
+    n, col = F.col("ta") + F.col("tb"), F.col("a") + F.col("b")
+
+    def part(o: str) -> Column:
+        want = F.col(f"t{o}") * col / n
+        d = F.abs(F.col(o) - want)
+        return F.pow(F.when(F.col("k") == 2, d - F.least(F.lit(0.5), d)).otherwise(d), 2) / want
+
+    out = cells.join(sums, "feature").groupBy("feature").agg(F.sum((f - e) * F.log(f / e)).alias("psi"), F.sum(part("a") + part("b")).alias("chi2"), F.max("k").alias("k"), F.least(F.max("p_t"), F.max("s_t")).alias("least"))
+    return out.select("feature", F.when((F.col("k") >= 2) & (~dated | (F.col("least") >= 10)), F.col("psi")).alias("psi"), "chi2", (F.col("k") - 1).cast("int").alias("dof"))
+
+
+def drift_table(pool: DataFrame, sample: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (), dates: Sequence[str] = ()) -> DataFrame:
+    """Feature, type, psi, stat, p_value, sig, test, verdict. One row per feature, dates two (quarter, weekday).
+
+    The number of jobs does not depend on the number of features.
+    """
+    nan, rows = float("nan"), []
     if numeric:
         psi = {r.col_name: r.psi for r in psi_numeric(pool, sample, numeric).collect()}
-        rows += [(c, "numeric", psi[c], *ks_test(pool, sample, c), "KS") for c in numeric]
-    for c in categorical:
-        k = pool.select(F.approx_count_distinct(_c(c))).first()[0]
-        stat = chi2_test(pool, sample, _c(c)) if k <= max_categories else (float("nan"), float("nan"))
-        rows.append((c, "categorical", psi_categorical(pool, sample, c).first().psi if k <= max_categories else None, *stat, "Chi-square"))
-    if dates:
-        n_p, n_s = pool.count(), sample.count()
-    for c in dates:
-        p, s = pool.filter(_c(c).isNotNull()), sample.filter(_c(c).isNotNull())
-        for name, at in (("quarter", D.quarter), ("weekday", D.weekday)):
-            # Shares of the non-null dates, counts of all rows.
-            rows.append((f"{c} ({name})", "datetime", psi_date(pool, sample, c, name).first().psi, *chi2_test(p, s, at(_c(c)), pool_rows=n_p, sample_rows=n_s), "Chi-square"))
+        ks = {r.col_name: r for r in ks_statistics(pool, sample, numeric).collect()}
+        stat = lambda r: (r.ks, ks_sf(r.ks, r.n, r.m)) if r is not None and r.ks is not None else (nan, nan)
+        rows += [(c, "numeric", psi[c], *stat(ks.get(c)), "KS") for c in numeric]
+    bins = {f"{c} ({name})": at(_c(c)) for c in dates for name, at in (("quarter", D.quarter), ("weekday", D.weekday))}
+    keys = {c: _c(c) for c in categorical} | bins
+    if keys:
+        n = (pool.count(), sample.count()) if bins else (0, 0)
+        found = {r.feature: r for r in category_tests(pool, sample, keys, list(bins), *n).collect()}
+        for c in keys:
+            r = found.get(c)
+            test = (r.chi2, chi2_sf(r.chi2, r.dof)) if r is not None and r.chi2 is not None and r.dof else (nan, nan)
+            rows.append((c, "datetime" if c in bins else "categorical", r.psi if r is not None else None, *test, "Chi-square"))
     out = pool.sparkSession.createDataFrame(rows, "feature string, type string, psi double, stat double, p_value double, test string")
     keep = lambda c, places: F.round(F.when(~F.isnan(c), F.col(c)), places).alias(c)
     return out.select("feature", "type", keep("psi", 4), keep("stat", 4), keep("p_value", 4), N.significance(F.when(~F.isnan("p_value"), F.col("p_value"))).alias("sig"), "test", N.psi_verdict(F.col("psi")).alias("verdict"))
 
 
+def top_psi(table: DataFrame, most: int = 30) -> DataFrame:
+    """The features of largest PSI, largest first."""
+    return table.filter(F.col("psi").isNotNull()).orderBy(F.desc("psi"), "feature").limit(most)
+
+
+def top_categories(pool: DataFrame, sample: DataFrame, col: str, most: int = 25) -> DataFrame:
+    """cat, p, s: shares of the categories most frequent in the pool."""
+    shares = category_shares(pool, sample, _c(col)).select("cat", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in "ps"])
+    return shares.orderBy(F.desc("p"), "cat").limit(most)
+
+
 def overall_verdict(table: DataFrame) -> DataFrame:
     """Mean and largest PSI, and the features of each verdict."""
     named = lambda v: F.array_sort(F.collect_list(F.when(F.col("verdict") == v, F.col("feature"))))
@@ -170,8 +218,9 @@ def overall_verdict(table: DataFrame) -> DataFrame:
 def max_psi(pool: DataFrame, sample: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (), dates: Sequence[str] = (), outcome: Sequence[str] = ()) -> tuple[float, bool]:
     """(largest PSI, whether every feature is below its threshold: 0.20 for outcome columns, else 0.10)."""
     found = [(r.col_name, r.psi) for r in psi_numeric(pool, sample, numeric).collect()] if numeric else []
-    found += [(c, psi_categorical(pool, sample, c).first().psi) for c in (*categorical, *outcome)]
-    found += [(c, psi_date(pool, sample, c, b).first().psi) for c in dates for b in ("quarter", "weekday")]
+    bins = {f"{c} ({name})": at(_c(c)) for c in dates for name, at in (("quarter", D.quarter), ("weekday", D.weekday))}
+    keys = {c: _c(c) for c in (*categorical, *outcome)} | bins
+    found += [(r.feature, r.psi) for r in category_tests(pool, sample, keys, list(bins)).collect()] if keys else []
     known = [(c, v) for c, v in found if v is not None]
     return max([0.0, *(v for _, v in known)]), all(v <= (0.20 if c in outcome else 0.10) for c, v in known)
 

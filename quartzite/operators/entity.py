@@ -9,15 +9,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numbers as N
 from ..functions import strings as S
+from .profile import fixed_types
 
 # The tags by priority.
 TAGS = ("EXACT_DUPLICATE", "IDENTITY_GROUP_FRAUD", "TECH_REAPPLICATION", "INVALID_FOR_KYC", "IDENTITY_GROUP_CLEAN", "UNIQUE_CLEAN_NON_LINKED")
 TRUE_DUPLICATES = ("EXACT_DUPLICATE", "TECH_REAPPLICATION", "IDENTITY_GROUP_CLEAN")
 EXCLUDED = ("EXACT_DUPLICATE", "TECH_REAPPLICATION", "IDENTITY_GROUP_CLEAN", "IDENTITY_GROUP_FRAUD", "INVALID_FOR_KYC")
-KYC = (("tin", "TIN"), ("legal_name", "Legal Name"), ("postal", "Postal Code"))
+KYC = (("legal_name", "Legal Name"), ("postal", "Postal Code"))  # beside the TIN
 IDENTITY = ("legal_name", "owner_first", "owner_last", "state", "city", "postal")
 # What a taxpayer's records call for, by the first tag that is present.
 DECISIONS = (
@@ -31,41 +33,58 @@ def blank(c: str) -> Column:
 
 
 def normalized(df: DataFrame) -> DataFrame:
-    """Key columns as the tags see them: trimmed upper case, null as empty."""
-    keys = {c: F.upper(S.strip(F.col(c))) for c in ("legal_name", "owner_first", "owner_last")}
-    return df.withColumns(keys | {"_tin": S.normalized_id(F.col("tin")), "_mid": S.normalized_id(F.col("mid")), "_state": S.normalized_upper(F.col("state")), "_city": S.normalized_upper(F.col("city")), "_postal": S.strip(F.coalesce("postal", F.lit("")))})
+    """Texts of the key columns trimmed and in upper case; beside them _tin and _mid as integral text and _state and _city without nulls."""
+    texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    keys = {c: F.upper(S.strip(F.col(c))) for c in ("tin", "mid", *IDENTITY) if c in texts}
+    return df.withColumns({"_tin": S.normalized_id(F.col("tin")), "_mid": S.normalized_id(F.col("mid")), "_state": S.normalized_upper(F.col("state")), "_city": S.normalized_upper(F.col("city"))} | keys)
 
 
-def tagged(df: DataFrame, rid: str = "rid", target: str = "is_fraud", date: str = "open_date", identity: Sequence[str] = IDENTITY) -> DataFrame:
-    """``df`` with duplicate_tag, tag_reason and is_first_of_group. The exact-duplicate key is every column but ``rid``."""
+def keyed(df: DataFrame) -> DataFrame:
+    """The normalized values as tin, mid, state and city; tin and mid as given stay as tin_given and mid_given."""
+    out = df.withColumnsRenamed({"tin": "tin_given", "mid": "mid_given"}).drop("state", "city")
+    return out.withColumnsRenamed({"_tin": "tin", "_mid": "mid", "_state": "state", "_city": "city"})
+
+
+def tagged(df: DataFrame, rid: str = "rid", target: str = "is_fraud", date: str = "open_date", identity: Sequence[str] = IDENTITY, tin: str = "tin", mid: str = "mid") -> DataFrame:
+    """``df`` with duplicate_tag, tag_reason and is_first_of_group.
+
+    The exact-duplicate key is every column but ``rid`` and those that begin with an underscore. Dates given as text are parsed, others
+    count as missing. Rows without TIN or MID are no re-applications, so they don't meet in one task.
+    """
     for need in (target, date):
         if need not in df.columns:
             raise ValueError(f"column {need} is needed")
-    whole = [c for c in df.columns if c != rid]
+    whole = [c for c in df.columns if c != rid and not c.startswith("_")]
     present = [c for c in identity if c in df.columns]
-    pair = Window.partitionBy("tin", "mid")
+    day = F.try_to_timestamp(F.col(date)) if isinstance(df.schema[date].dataType, T.StringType) else F.col(date)
+    neither, either = blank(tin) & blank(mid), blank(tin) | blank(mid)
+    pair = Window.partitionBy(tin, mid, F.when(either, F.col(rid)))
     key = Window.partitionBy(*[F.coalesce(F.col(c).cast("string"), F.lit("__NA__")) for c in present])
     rn = lambda w, *order: F.row_number().over(w.orderBy(*order, F.col(rid)))
-    first, last = F.col(date).asc_nulls_last(), F.col(date).desc_nulls_last()
+    first, last = day.asc_nulls_last(), day.desc_nulls_last()
     out = df.withColumn("_exact", rn(Window.partitionBy(*whole))).withColumn("_tech", rn(pair, first))
     if len(present) >= 3:
         out = out.withColumns({"_n": F.count(F.lit(1)).over(key), "_fraud": F.coalesce(F.sum(target).over(key), F.lit(0)), "_igc": rn(key, last), "_igf": rn(key, F.col(target).desc_nulls_last(), first)})
     else:
         out = out.withColumns({"_n": F.lit(1), "_fraud": F.lit(0), "_igc": F.lit(1), "_igf": F.lit(1)})
-    missing = F.array_join(F.filter(F.array(*[F.when(blank(c), label) for c, label in KYC]), lambda x: x.isNotNull()), ", ")
+    labels = ((tin, "TIN"), *KYC)
+    missing = F.array_join(F.filter(F.array(*[F.when(blank(c), label) for c, label in labels]), lambda x: x.isNotNull()), ", ")
     out = out.withColumn("_missing", missing)
     rules = [
         (F.col("_exact") > 1, TAGS[0], F.lit("Identical to an earlier row")),
         ((F.col("_n") > 1) & (F.col("_fraud") > 0) & (F.col("_igf") > 1), TAGS[1], F.lit("Identity group with fraud")),
-        (~blank("tin") & ~blank("mid") & (F.col("_tech") > 1), TAGS[2], F.lit("Later application of the same TIN and MID")),
+        (~either & (F.col("_tech") > 1), TAGS[2], F.lit("Later application of the same TIN and MID")),
         (F.col("_missing") != "", TAGS[3], F.concat(F.lit("Missing: "), F.col("_missing"))),
         ((F.col("_n") > 1) & (F.col("_fraud") == 0) & (F.col("_igc") > 1), TAGS[4], F.lit("Identity group without fraud")),
     ]
     tag = reason = None
     for hit, name, why in rules:
         tag, reason = (F.when(hit, name), F.when(hit, why)) if tag is None else (tag.when(hit, name), reason.when(hit, why))
-    group_first = F.row_number().over(Window.partitionBy(F.coalesce("tin", F.lit("")), F.coalesce("mid", F.lit(""))).orderBy(first, F.col(rid))) == 1
-    return out.withColumns({"duplicate_tag": tag.otherwise(TAGS[5]), "tag_reason": reason.otherwise(""), "is_first_of_group": group_first}).drop("_exact", "_tech", "_n", "_fraud", "_igc", "_igf", "_missing")
+    # Rows with neither are one group too, and may be many: its first row comes from an aggregate.
+    group = Window.partitionBy(F.coalesce(tin, F.lit("")), F.coalesce(mid, F.lit("")), F.when(neither, F.col(rid))).orderBy(first, F.col(rid))
+    lead = df.filter(neither).agg(F.min_by(rid, F.struct(day.isNull(), day, F.col(rid))).alias("_lead"))
+    out = out.join(F.broadcast(lead)).withColumn("is_first_of_group", F.when(neither, F.col(rid) == F.col("_lead")).otherwise(F.row_number().over(group) == 1))
+    return out.withColumns({"duplicate_tag": tag.otherwise(TAGS[5]), "tag_reason": reason.otherwise("")}).drop("_exact", "_tech", "_n", "_fraud", "_igc", "_igf", "_missing", "_lead")
 
 
 def tin_stats(df: DataFrame, target: str = "is_fraud") -> DataFrame:
@@ -83,20 +102,29 @@ def with_tin_stats(df: DataFrame, target: str = "is_fraud") -> DataFrame:
     return df.join(tin_stats(df, target), "tin", "left")
 
 
-def _firsts(df: DataFrame, c: str, rid: str, most: int) -> DataFrame:
-    """Per TIN the first values of a column in physical order, joined."""
-    seen = df.filter(~blank("tin") & ~blank(c)).groupBy("tin", c).agg(F.min(rid).alias("at"))
-    rows = seen.withColumn("rn", F.row_number().over(Window.partitionBy("tin").orderBy("at"))).filter(F.col("rn") <= most)
-    return rows.groupBy("tin").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(c).alias("v")))), lambda x: x["v"]), ", ").alias(c))
-
-
 def tin_summary(tags: DataFrame, rid: str = "rid", target: str = "is_fraud") -> DataFrame:
-    """Per TIN: statistics, fraud percent, its tags, first 3 legal names, 5 states, 5 cities."""
-    out = tin_stats(tags, target).withColumn("fraud_pct", F.round(F.col("fraud_rate") * 100, 2)).drop("fraud_rate")
-    names = tags.filter(~blank("tin")).groupBy("tin").agg(F.array_join(F.array_sort(F.collect_set("duplicate_tag")), ", ").alias("tags"))
-    for part in (names, _firsts(tags, "legal_name", rid, 3), _firsts(tags, "state", rid, 5), _firsts(tags, "city", rid, 5)):
-        out = out.join(part, "tin", "left")
-    return out
+    """Per TIN: statistics, fraud percent, its tags, first 3 legal names, 5 states, 5 cities.
+
+    All come from one table of the distinct values of each TIN, so the tags are computed once.
+    """
+    most = {"legal_name": 3, "state": 5, "city": 5}
+    kinds = ("duplicate_tag", "mid", *most)
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = tags.filter(~blank("tin")).select("tin", rid, target, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), value(k).alias("value")) for k in kinds])).alias("x"))
+    seen = rows.groupBy("tin", "x.kind", "x.value").agg(F.min(rid).alias("at"), F.count(F.lit(1)).alias("n"), F.sum(target).alias("fraud"), F.count(target).alias("known"))
+    seen = seen.repartition("tin").withColumn("rn", F.row_number().over(Window.partitionBy("tin", "kind").orderBy(F.col("value") == "", "at")))
+    of = lambda k, c: F.when(F.col("kind") == k, F.col(c))
+    firsts = lambda k: F.array_sort(F.collect_list(F.when((F.col("kind") == k) & (F.col("rn") <= most[k]) & (F.col("value") != ""), F.struct("at", "value"))))
+    joined = lambda a: F.when(F.size(a) > 0, F.array_join(F.transform(a, lambda x: x["value"]), ", "))
+    out = seen.groupBy("tin").agg(
+        F.sum(of("duplicate_tag", "n")).alias("record_count"),
+        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("mid", "state", "city")],
+        F.coalesce(F.sum(of("duplicate_tag", "fraud")), F.lit(0)).cast("long").alias("fraud_count"),
+        F.round(F.sum(of("duplicate_tag", "fraud")) / F.sum(of("duplicate_tag", "known")) * 100, 2).alias("fraud_pct"),
+        F.array_join(F.array_sort(F.collect_set(of("duplicate_tag", "value"))), ", ").alias("tags"),
+        *[firsts(k).alias(k) for k in most],
+    )
+    return out.withColumns({k: joined(F.col(k)) for k in most})
 
 
 def tag_counts(tags: DataFrame) -> DataFrame:
@@ -106,9 +134,12 @@ def tag_counts(tags: DataFrame) -> DataFrame:
 
 
 def kpis(tags: DataFrame, target: str = "is_fraud") -> DataFrame:
-    per_tin = tags.filter(~blank("tin")).groupBy("tin").agg(F.countDistinct(F.when(~blank("mid"), F.col("mid"))).alias("mids"), F.max(target).alias("fraud"))
+    """unique_tin, multi_mid_tins, fraud_tins, unique_mid, n_rows; from the distinct pairs of TIN and MID."""
+    value = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    pairs = tags.groupBy(value("tin"), value("mid")).agg(F.count(F.lit(1)).alias("n"), F.max(target).alias("fraud"))
+    per_tin = pairs.filter("tin <> ''").groupBy("tin").agg(F.count_if(F.col("mid") != "").alias("mids"), F.max("fraud").alias("fraud"))
     a = per_tin.agg(F.count(F.lit(1)).alias("unique_tin"), F.count_if(F.col("mids") >= 2).alias("multi_mid_tins"), F.count_if(F.col("fraud") > 0).alias("fraud_tins"))
-    b = tags.agg(F.countDistinct(F.when(~blank("mid"), F.col("mid"))).alias("unique_mid"), F.count(F.lit(1)).alias("n_rows"))
+    b = pairs.agg(F.countDistinct(F.when(F.col("mid") != "", F.col("mid"))).alias("unique_mid"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
     return a.join(b)  # one row each
 
 
@@ -121,12 +152,11 @@ def tiers(df: DataFrame, size: str = "record_count", tiers_: tuple = N.RECORD_TI
 
 def exclusion_breakdown(tags: DataFrame, target: str = "is_fraud") -> DataFrame:
     """Per tag, and for rows without TIN or MID: rows, fraud, non-fraud, fraud percent, share of all rows."""
-    total = tags.agg(F.count(F.lit(1)).alias("total"))
-    fraud = F.count_if(F.col(target) == 1).alias("fraud")
-    n = F.count(F.lit(1)).alias("n")
-    rows = tags.groupBy(F.col("duplicate_tag").alias("reason")).agg(n, fraud)
-    gone = tags.filter(blank("tin") | blank("mid")).agg(n, fraud).select(F.lit("MISSING_ID").alias("reason"), "n", "fraud")
-    out = rows.unionByName(gone).join(total)
+    reasons = F.array_compact(F.array(F.lit("(all)"), F.col("duplicate_tag"), F.when(blank("tin") | blank("mid"), "MISSING_ID")))
+    rows = tags.select(F.explode(reasons).alias("reason"), target).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(target) == 1).alias("fraud"))
+    gone = F.lit("MISSING_ID")
+    fixed = rows.filter("reason <> '(all)'").unionByName(rows.agg(F.count_if(F.col("reason") == gone).alias("k")).filter("k = 0").select(gone.alias("reason"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("fraud")))
+    out = fixed.join(F.broadcast(rows.filter("reason = '(all)'").select(F.col("n").alias("total"))), how="left")
     return out.select("reason", "n", "fraud", (F.col("n") - F.col("fraud")).alias("non_fraud"), F.round(F.coalesce(N.ratio(F.col("fraud"), F.col("n")), F.lit(0.0)) * 100, 2).alias("fraud_pct"), F.round(N.ratio(F.col("n"), F.col("total")) * 100, 2).alias("pct_of_total"))
 
 
@@ -136,14 +166,22 @@ def costliest_tag(tags: DataFrame, target: str = "is_fraud") -> DataFrame:
     return found.orderBy(F.desc("fraud"), "duplicate_tag").limit(1)
 
 
+def in_clean_pool() -> Column:
+    return ~F.col("duplicate_tag").isin(*EXCLUDED) & ~blank("tin") & ~blank("mid")
+
+
+def in_reference_pool() -> Column:
+    return ~F.col("duplicate_tag").isin(*TRUE_DUPLICATES) & ~blank("tin") & ~blank("mid")
+
+
 def clean_pool(tags: DataFrame) -> DataFrame:
     """What samples are drawn from: no excluded tag, TIN and MID present."""
-    return tags.filter(~F.col("duplicate_tag").isin(*EXCLUDED) & ~blank("tin") & ~blank("mid"))
+    return tags.filter(in_clean_pool())
 
 
 def reference_pool(tags: DataFrame) -> DataFrame:
     """What samples are compared with: true duplicates dropped only, TIN and MID present."""
-    return tags.filter(~F.col("duplicate_tag").isin(*TRUE_DUPLICATES) & ~blank("tin") & ~blank("mid"))
+    return tags.filter(in_reference_pool())
 
 
 def browse(summary: DataFrame, min_records: int = 2, any_tags: Sequence[str] = (), top: int = 200) -> DataFrame:
@@ -178,9 +216,14 @@ def scatter(tags: DataFrame, tin: str) -> DataFrame:
     return tags.filter(F.col("tin") == tin).select("mid", "state", "city", "duplicate_tag", "is_fraud")
 
 
+def loaded(source: DataFrame, rid: str = "rid", target: str = "is_fraud") -> DataFrame:
+    """``source`` with normalized keys and the tags of every row."""
+    return keyed(tagged(normalized(source), rid, target, tin="_tin", mid="_mid"))
+
+
 def load_and_tag(source: DataFrame, rid: str = "rid", target: str = "is_fraud") -> DataFrame:
-    """Tags and per-TIN statistics on every row."""
-    return with_tin_stats(tagged(source, rid, target), target)
+    """Numbers that are dates are mended, keys normalized, rows tagged and given the statistics of their TIN."""
+    return with_tin_stats(loaded(fixed_types(source), rid, target), target)
 
 
 get_tin_summary = tin_summary

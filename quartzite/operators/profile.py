@@ -1,7 +1,7 @@
 """Profiling: counters, missing values, variance, sparsity, correlation, association, leakage, alerts, quality.
 
-All columns share a job: counters are one wide aggregate, value frequencies one shuffle over (column, value) pairs, quantiles one
-aggregate, pairs of columns one aggregate. Only results of that size reach the driver.
+All columns share a job: counters are one wide aggregate, value frequencies one shuffle over (column, value) pairs, quantiles running
+totals over distinct values, pairs of columns one aggregate. Only results of that size reach the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import strings as S
+from .ranks import long_values, quantiles
 
 # Texts (upper case) and numbers that stand for a missing value.
 MISSING_TEXTS = (
@@ -24,6 +25,8 @@ MISSING_TEXTS = (
     "BLANK", "EMPTY", "VOID", "NIL", "NODATA", "NO DATA", "NOT AVAILABLE", "NOTAVAILABLE", "-", "--", "---", "?", ".",
 )
 MISSING_CODES = (-1, -9, -99, -999, -9999, -99999, 999, 9999, 99999, 999999, 9999999)
+# Texts (lower case) that make a constant column one of unknown type.
+CONSTANT_STAND_INS = ("unknown", "unk", "n/a", "na", "nan", "null", "none", "missing", "not available", "not applicable", "undefined", "empty", "")
 # Parts of an identifier's name, whole words of it, and families of words.
 ID_PARTS = (
     "id_", "_id", "_key", "key_", "_code", "code_", "_number", "number_", "_num", "num_", "_nbr", "nbr_", "_ref", "ref_", "_token", "token_",
@@ -124,12 +127,13 @@ def sparse_categories(df: DataFrame, cols: Sequence[str] | None = None, threshol
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """feature, n, mean, std, min, q1, median, q3, max; quantiles exact with linear interpolation unless ``approximate``."""
-    def measures(c: str) -> dict[str, Column]:
-        v = c_(c).cast("double")
-        q = F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000) if approximate else F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "q": q, "max": F.max(v)}
-
-    out = _rows(df, {c: measures(c) for c in cols or numeric_columns(df)})
+    cols = list(cols or numeric_columns(df))
+    v = {c: c_(c).cast("double") for c in cols}
+    steps = [0.25, 0.5, 0.75]
+    per = {c: {"n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)} | ({"q": F.percentile_approx(x, steps, 10_000)} if approximate else {}) for c, x in v.items()}
+    out = _rows(df, per)
+    if not approximate:
+        out = out.join(quantiles(long_values(df, v), ["feature"], "v", steps).drop("n"), "feature", "left")
     return out.select("feature", "n", "mean", "std", "min", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"), "max")
 
 
@@ -241,6 +245,14 @@ def cramers_v(df: DataFrame, outcome: str, cols: Sequence[str] | None = None) ->
     return out.withColumn("strength", N.correlation_strength(F.col("v"), ((0.5, "Very Strong"), (0.25, "Strong"), (0.15, "Moderate"), (0.05, "Weak")), "Very Weak"))
 
 
+def leak_by_cardinality(df: DataFrame, outcome: str, cols: Sequence[str] | None = None) -> DataFrame:
+    """feature, v, cardinality_ratio, warning: many categories (over half the rows) with a nearly perfect association (0.9) are a likely leak."""
+    cols = [c for c in cols or text_columns(df) if c != outcome]
+    known = value_counts(df, cols).groupBy("feature").agg((F.count(F.lit(1)) / F.sum("n")).alias("cardinality_ratio"))
+    out = cramers_v(df, outcome, cols).join(known, "feature")
+    return out.select("feature", "v", "cardinality_ratio", ((F.col("cardinality_ratio") > 0.5) & (F.col("v") >= 0.9)).alias("warning"))
+
+
 def cramers_v_corrected(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pairwise V; a two-by-two table has Yates' correction."""
     cells = _cells(df, [a], b)
@@ -270,15 +282,20 @@ def leakage_v(df: DataFrame, outcome: str, cols: Sequence[str] | None = None) ->
 
 
 def leak_exact(df: DataFrame, outcome: str, cols: Sequence[str] | None = None) -> DataFrame:
-    """feature, exact, near: equal to the outcome in every row; or close as numbers, or as trimmed lower-case texts."""
-    cols, t = [c for c in cols or df.columns if c != outcome], c_(outcome)
-    per = {}
+    """feature, exact, near, over the rows where both values are there: equal to the outcome in all of them; or else close as numbers,
+    or equal as trimmed lower-case texts where one of the two is no number. Without such rows both are false.
+    """
+    cols, t, numbers = [c for c in cols or df.columns if c != outcome], c_(outcome), numeric_columns(df)
+    kinds, per = dict(df.dtypes), {}
     for c in cols:
-        x, y = N.parse_number(c_(c)), N.parse_number(t)
-        both = c_(c).isNotNull() & t.isNotNull()
-        close = F.when(both, F.coalesce(F.abs(x - y) <= 1e-8 + 1e-5 * F.abs(y), F.lower(S.strip(c_(c))) == F.lower(S.strip(t))))
-        per[c] = {"exact": F.bool_and(c_(c).cast("string").eqNullSafe(t.cast("string"))), "near": F.coalesce(F.bool_and(close), F.lit(False))}
-    return _rows(df, per)
+        x, both = c_(c), c_(c).isNotNull() & t.isNotNull()
+        if c in numbers and outcome in numbers:
+            same, close = x.cast("double") == t.cast("double"), F.abs(x.cast("double") - t.cast("double")) <= 1e-8 + 1e-5 * F.abs(t.cast("double"))
+        else:
+            same = x == t if kinds[c] == kinds[outcome] else F.lit(False)
+            close = F.lower(S.strip(x.cast("string"))) == F.lower(S.strip(t.cast("string")))
+        per[c] = {"exact": F.coalesce(F.bool_and(F.when(both, same)), F.lit(False)), "close": F.coalesce(F.bool_and(F.when(both, close)), F.lit(False))}
+    return _rows(df, per).select("feature", "exact", (~F.col("exact") & F.col("close")).alias("near"))
 
 
 def leak_names(cols: Sequence[str], outcome: str, strict: bool = False) -> list[str]:
@@ -299,9 +316,10 @@ def leak_determinism(df: DataFrame, id_col: str, outcome: str) -> DataFrame:
 def group_stats(df: DataFrame, number: str, category: str, top: int = 10) -> DataFrame:
     """category, n, mean, median of the ``top`` most frequent categories."""
     d = df.filter(c_(number).isNotNull() & c_(category).isNotNull())
-    v = c_(number).cast("double")
-    out = d.groupBy(c_(category).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"))
-    return out.orderBy(F.desc("n"), "category").limit(top)
+    d = d.select(c_(category).cast("string").alias("category"), c_(number).cast("double").alias("v"))
+    out = d.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")).orderBy(F.desc("n"), "category").limit(top)
+    median = quantiles(d.join(F.broadcast(out.select("category")), "category"), ["category"], "v", [0.5])  # ``top`` rows
+    return out.join(median.select("category", F.get("q", F.lit(0)).alias("median")), "category")
 
 
 def trend(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -320,9 +338,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 
 def box_stats(df: DataFrame, number: str, category: str) -> DataFrame:
     """Quartiles and whisker fences by category, as a box plot needs them."""
-    v = c_(number).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.filter(c_(category).isNotNull()).groupBy(c_(category).cast("string").alias("category")).agg(q.alias("q"), F.min(v).alias("min"), F.max(v).alias("max"))
+    rows = df.filter(c_(category).isNotNull()).select(c_(category).cast("string").alias("category"), c_(number).cast("double").alias("v"))
+    out = rows.groupBy("category").agg(F.min("v").alias("min"), F.max("v").alias("max")).join(quantiles(rows, ["category"], "v", [0.25, 0.5, 0.75]), "category", "left")
     return out.select("category", "min", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"), "max")
 
 
@@ -375,6 +392,30 @@ def feature_quality(df: DataFrame, outcome: str | None = None, weights: tuple =
     return out.withColumn("quality_score", N.clip(raw, 0.0, 1.0) * 100)
 
 
+# Parts of the names of phone and date columns, and the formats told apart; two of the dates look alike.
+PHONE_PARTS = ("phone", "fax", "mobile", "tel")
+DATE_PARTS = ("date", "dt", "time", "timestamp")
+FORMATS = {
+    "phone": (r"^\d{10}$", r"^\d{3}-\d{3}-\d{4}$", r"^\(\d{3}\)\s*\d{3}-\d{4}$", r"^\+1\d{10}$", r"^\d{3}\.\d{3}\.\d{4}$", r"^\d{3}\s\d{3}\s\d{4}$"),
+    "date": (r"^\d{4}-\d{2}-\d{2}$", r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{4}/\d{2}/\d{2}$", r"^\d{2}-[A-Za-z]{3}-\d{4}$", r"^[A-Za-z]{3}\s+\d{1,2}\s+\d{4}$"),
+}
+
+
+def format_of(name: str) -> str | None:
+    """phone or date, by a column's name, or None."""
+    low = name.lower()
+    return "phone" if any(p in low for p in PHONE_PARTS) else "date" if any(p in low for p in DATE_PARTS) else None
+
+
+def formats(col: str, kind: str | None) -> Column:
+    """How many formats a phone or date column has; phones of no format are one more."""
+    if kind is None:
+        return F.lit(0).cast("bigint")
+    seen = [F.count_if(c_(col).rlike(p)) for p in FORMATS[kind]]
+    other = [F.count(c_(col)) - sum(seen, F.lit(0))] if kind == "phone" else []
+    return sum(((n > 0).cast("bigint") for n in (*seen, *other)), F.lit(0).cast("bigint"))
+
+
 def alerts(df: DataFrame, outcome: str | None = None, cols: Sequence[str] | None = None) -> DataFrame:
     """feature, alert_type, severity, value: the rule table over counters, frequencies, moments and outliers."""
     cols = list(cols or df.columns)
@@ -387,12 +428,10 @@ def alerts(df: DataFrame, outcome: str | None = None, cols: Sequence[str] | None
         per[c] = {
             "missing": F.count_if(c_(c).isNull()), "zeros": F.count_if(v(c) == 0) if n else zero, "negative": F.count_if(v(c) < 0) if n else zero,
             "skew": adjusted_skew(v(c)) if n else F.lit(None).cast("double"),
-            "digits": F.count_if(c_(c).rlike(N.NUMERIC)) if c in texts else zero,
-            "upper": F.count_if((F.upper(c_(c)) == c_(c)) & c_(c).rlike("[A-Z]")) if c in texts else zero,
-            "lower": F.count_if((F.lower(c_(c)) == c_(c)) & c_(c).rlike("[a-z]")) if c in texts else zero,
+            "digits": F.count_if(c_(c).rlike(N.NUMERIC)) if c in texts else zero, "formats": formats(c, format_of(c)) if c in texts else zero,
         }
     base = _rows(df, per, {"rows": F.count(F.lit(1))})
-    freq = value_counts(df, cols).groupBy("feature").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("top"), F.min("n").alias("least"))
+    freq = value_counts(df, cols).groupBy("feature").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("top"), F.min("n").alias("least"), (F.count(F.lit(1)) - F.countDistinct(F.lower("value"))).alias("by_case"))
     t = base.join(freq, "feature", "left").withColumns({"nn": F.col("rows") - F.col("missing"), "k": F.coalesce("k", F.lit(0))})
     if nums:
         t = t.join(outliers(df, nums).select("feature", "outliers", F.col("pct").alias("out_pct")), "feature", "left")
@@ -400,6 +439,8 @@ def alerts(df: DataFrame, outcome: str | None = None, cols: Sequence[str] | None
         t = t.withColumns({"outliers": F.lit(0), "out_pct": F.lit(0.0)})
     num = F.col("feature").isin(nums) if nums else F.lit(False)
     txt = F.col("feature").isin(texts) if texts else F.lit(False)
+    shaped = [x for c in texts if format_of(c) for x in (F.lit(c), F.lit(format_of(c)))]
+    kind = F.try_element_at(F.create_map(*shaped), F.col("feature")) if shaped else F.lit(None).cast("string")
     miss, top = F.col("missing") / F.col("rows"), F.col("top") / F.col("nn")
     some, flat = F.col("nn") > 0, F.col("k") == 1
     live = some & ~flat
@@ -414,7 +455,8 @@ def alerts(df: DataFrame, outcome: str | None = None, cols: Sequence[str] | None
         ("NEGATIVE VALUES", F.col("negative").cast("double"), F.when(live & num & (F.col("negative") > 0), "LOW")),
         ("UNIQUE", F.col("k").cast("double"), F.when(live & (num | txt) & (F.col("k") == F.col("nn")) & (F.col("nn") > 50), "MEDIUM")),
         ("HIGH CARDINALITY", F.col("k") / F.col("nn") * 100, F.when(live & txt & (F.col("k") / F.col("nn") >= 0.5) & (F.col("k") < F.col("nn")) & (F.col("k") > 50), "MEDIUM")),
-        ("FORMAT INCONSISTENCY", F.col("upper").cast("double"), F.when(live & txt & (F.col("upper") > 0) & (F.col("lower") > 0), "LOW")),
+        ("FORMAT INCONSISTENCY", F.col("formats").cast("double"), F.when(live & txt & (F.col("formats") > 1), F.when(kind == "phone", "HIGH").when(kind == "date", "MEDIUM"))),
+        ("FORMAT INCONSISTENCY", F.col("by_case").cast("double"), F.when(live & txt & kind.isNull() & (F.col("by_case") > 0), "LOW")),
     ]
     if outcome:
         least = F.col("least") / F.col("nn")
@@ -438,13 +480,15 @@ def type_counters(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
         per[c] = {
             "nulls": F.count_if(c_(c).isNull()), "blanks": F.count_if(S.strip(s) == ""), "numeric": F.count(x), "integral": F.count_if(x == F.floor(x)), "serial": F.count_if(x.between(20000, 60000)),
             "leading_zero": F.count_if(s.rlike(r"^0\d+")), "max_abs": F.max(F.abs(x)), "iso_date": F.count_if(s.rlike(r"^\d{4}-\d{2}-\d{2}")), "date_token": F.count_if(F.lower(s).rlike(DATE_TOKENS)),
-            "median_abs": F.percentile(F.abs(x), F.lit(0.5)), "same_length": F.greatest(*[F.count_if((x == F.floor(x)) & (F.abs(x) >= 10 ** (k - 1)) & (F.abs(x) < 10**k)) for k in range(7, 19)]),
+            "stand_in": F.count_if(F.lower(S.strip(s)).isin(*CONSTANT_STAND_INS)), "same_length": F.greatest(*[F.count_if((x == F.floor(x)) & (F.abs(x) >= 10 ** (k - 1)) & (F.abs(x) < 10**k)) for k in range(7, 19)]),
             "year": F.count_if((x == F.floor(x)) & x.between(1900, 2100)), "year_span": F.max(F.when(x.between(1900, 2100), x)) - F.min(F.when(x.between(1900, 2100), x)),
             "year_month": F.count_if((x == F.floor(x)) & F.floor(x / 100).between(1900, 2100) & (x % 100).between(1, 12)), "month_year": F.count_if((x == F.floor(x)) & F.floor(x / 10000).between(1, 12) & (x % 10000).between(1900, 2100)),
         }
     base = _rows(df, per, {"rows": F.count(F.lit(1))})
     k = value_counts(df, cols).groupBy("feature").agg(F.count(F.lit(1)).alias("n_unique"))
-    return base.join(k, "feature", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
+    middle = quantiles(long_values(df, {c: F.abs(N.parse_number(c_(c))) for c in cols}), ["feature"], "v", [0.5])
+    out = base.join(k, "feature", "left").join(middle.select("feature", F.get("q", F.lit(0)).alias("median_abs")), "feature", "left")
+    return out.withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
 
 
 def feature_types(df: DataFrame, outcome: str | None = None, cols: Sequence[str] | None = None) -> dict[str, str]:
@@ -457,6 +501,16 @@ def feature_types(df: DataFrame, outcome: str | None = None, cols: Sequence[str]
     return {c: out[c] for c in cols}
 
 
+def single_type(df: DataFrame, col: str, outcome: str | None = None) -> str:
+    """The type of one column by the rules for a single column."""
+    return "outcome" if col == outcome else decide_type(col, df.schema[col].dataType, type_counters(df, [col]).first(), single=True)
+
+
+def serial_dates(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """The columns of numbers whose values are mostly Excel serial dates; calendar years are not."""
+    return [r.feature for r in type_counters(df, cols).collect() if r.serial > 0.8 * (r.rows - r.nulls)] if cols else []
+
+
 def columns_of_type(types: dict[str, str], *kinds: str) -> list[str]:
     return [c for c, k in types.items() if k in kinds]
 
@@ -466,7 +520,7 @@ def fixed_types(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame
     types = types or feature_types(df)
     kinds = {f.name: f.dataType for f in df.schema}
     numbers = [c for c in columns_of_type(types, "datetime") if isinstance(kinds[c], T.NumericType)]
-    serial = {r.feature for r in type_counters(df, numbers).collect() if r.serial > 0.8 * (r.rows - r.nulls)} if numbers else set()
+    serial = set(serial_dates(df, numbers))
     out = []
     for c, k in kinds.items():
         if c in serial:
@@ -479,13 +533,16 @@ def fixed_types(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame
 
 
 def displayed_date(c: Column, kind: T.DataType) -> Column:
-    """``YYYY-MM-DD`` of a date or of a serial number; other text as it is."""
+    """``YYYY-MM-DD`` of a date or of a serial number; other numbers and texts as they are."""
     if isinstance(kind, T.NumericType):
-        return F.date_format(D.from_excel_serial(c), "yyyy-MM-dd")
+        return F.when(c.between(20000, 60000), F.date_format(D.from_excel_serial(c), "yyyy-MM-dd")).otherwise(c.cast("string"))
     return c if isinstance(kind, T.StringType) else F.date_format(c, "yyyy-MM-dd")
 
 
-def decide_type(name: str, kind: T.DataType, r) -> str:
+def decide_type(name: str, kind: T.DataType, r, single: bool = False) -> str:
+    """The type of a column from its counters. ``single``, for a look at one column: every constant that is no number is unknown, and small
+    integers are numeric.
+    """
     n, low = r.rows - r.nulls, name.lower()
     number = isinstance(kind, (T.NumericType, T.BooleanType))
     if n == 0 or r.blanks == n:
@@ -498,7 +555,7 @@ def decide_type(name: str, kind: T.DataType, r) -> str:
         return "datetime"
     ratio = r.n_unique / max(r.rows, 1)
     tokens = set(re.split(r"[_. ]", low))
-    if r.n_unique == 1 and number and r.max_abs in {abs(float(x)) for x in MISSING_CODES}:
+    if r.n_unique == 1 and not number and (single or r.stand_in == n):
         return "unknown"
     if any(x in low for x in ID_PARTS) and ratio > 0.80 or tokens & set(ID_WORDS) and ratio > 0.05:
         return "id"
@@ -511,7 +568,7 @@ def decide_type(name: str, kind: T.DataType, r) -> str:
     if r.n_unique == 2:
         return "binary"
     if number:
-        return "categorical" if 3 <= r.n_unique <= 10 and r.integral == n and (r.max_abs or 0) <= 100 else "numeric"
+        return "categorical" if not single and 3 <= r.n_unique <= 10 and r.integral == n and (r.max_abs or 0) <= 100 else "numeric"
     if r.numeric > 0.8 * n and r.leading_zero <= 0.05 * n and ratio <= 0.95:
         return "numeric"
     return "categorical"

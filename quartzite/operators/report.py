@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
-from .clean import CLEAN_SHAPE, c_, clean_value, cleaned, issue_flags, kind_of, role_of, text_columns
+from .clean import CLEAN_SHAPE, c_, clean_value, cleaned, issue_flags, issue_matrix, kind_of, role_of, text_columns
 
 # Severity, type and strategy of each kind of issue.
 KINDS = {
@@ -72,6 +72,39 @@ def search(compared: DataFrame, feature: str | None = None, tag: str | None = No
     return out.filter(S.any_column_matches([F.col(c) for c in out.columns], pattern)) if pattern else out
 
 
+def failing_rule(df: DataFrame, roles: dict[str, str], rule: str, cols: Sequence[str] | None = None, rid: str = "rid", most: int = 200) -> DataFrame:
+    """The first ``most`` raw rows that fail a rule (a tag of the issue table)."""
+    tags = issue_matrix(df, roles, list(cols) if cols else None)
+    return tags.filter(F.array_contains(F.split("_issue_tags", ","), rule)).orderBy(rid).limit(most).select(*[c_(c) for c in df.columns])
+
+
+def filter_issues(long: DataFrame, severity: str | None = None, feature: str | None = None) -> DataFrame:
+    out = long.filter(F.col("severity") == severity) if severity else long
+    return out.filter(F.col("feature") == feature) if feature else out
+
+
+def anomaly_totals(df: DataFrame, roles: dict[str, str], cols: Sequence[str] | None = None) -> DataFrame:
+    """format_flags, ws_flags, sc_flags and their sum as anomalies, over all columns."""
+    flags = issue_flags(df, roles, list(cols) if cols else None)
+    total = lambda kind: sum((F.count_if(e) for f, e in flags.items() if kind_of(f) == kind), F.lit(0).cast("bigint"))
+    out = df.agg(*[total(k).alias(f"{k}_flags") for k in ("format", "ws", "sc")])
+    return out.withColumn("anomalies", F.col("format_flags") + F.col("ws_flags") + F.col("sc_flags"))
+
+
+def unfixable(df: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """role, n: cells of TIN, phone and zip columns that have a value but, standardized, not the shape of their role."""
+    shaped = {k: c for k, c in roles.items() if role_of(k) in CLEAN_SHAPE}
+    sums = [F.struct(F.lit(role_of(k)).alias("role"), F.count_if(~clean_value(df, roles, c).cast("string").rlike(CLEAN_SHAPE[role_of(k)])).alias("n")) for k, c in shaped.items()]
+    return df.agg(F.array(*sums).alias("a")).select(F.explode("a").alias("r")).select("r.*").groupBy("role").agg(F.sum("n").alias("n"))
+
+
+def best_and_worst(quality: DataFrame) -> DataFrame:
+    """end (worst, best), col_name, score, missing, invalid of the columns of least and greatest score; ties go by name."""
+    row = F.struct("col_name", "score", "missing", "invalid")
+    ends = quality.agg(F.min_by(row, F.struct("score", "col_name")).alias("worst"), F.max_by(row, F.struct("score", "col_name")).alias("best"))
+    return ends.select(F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.col(e).alias("r")) for e in ("worst", "best")])).alias("x")).select("x.end", "x.r.*")
+
+
 def unresolved(compared: DataFrame) -> DataFrame:
     return compared.filter("resolution = 'Unresolved'").groupBy("feature", "reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -82,7 +115,8 @@ def failed_samples(compared: DataFrame, feature: str, most: int = 10, rid: str =
 
 def export(df: DataFrame, roles: dict[str, str], suffix: str = "_std", fuzzy: bool = True) -> DataFrame:
     """``<c>_received`` and ``<c><suffix>`` of every column (uid hashed, the piped address raw only), the unformatted TIN, parsed parts, flags."""
-    clean = cleaned(df.withColumns({f"{c}_received": c_(c) for c in df.columns}), roles, suffix, fuzzy)
+    received = {f"{c}_received": c_(c) for c in df.columns}
+    clean = cleaned(df.withColumns(received), roles, suffix, fuzzy, untouched=list(received))
     out = []
     for c in df.columns:
         raw = c_(f"{c}_received")

@@ -63,7 +63,7 @@ def random_multi_mid_tin(df: DataFrame, seed: int = 42) -> DataFrame:
     return many.orderBy(rank_key(seed, "tin"), "tin").limit(1)
 
 
-def search_seed(pool: DataFrame, reference: DataFrame, sizes: dict, stable, seeds: int = 100, batch: int = 10, target: str = "is_fraud", rid: str = "rid") -> tuple[int, float]:
+def search_seed(pool: DataFrame, reference: DataFrame, sizes: dict, stable, seeds: int = 100, target: str = "is_fraud", rid: str = "rid") -> tuple[int, float]:
     """The first seed whose sample is ``stable(reference, sample) -> (max_psi, is_stable)``, else the one of least max PSI."""
     best = (0, float("inf"))
     for seed in range(seeds):

@@ -8,18 +8,35 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import numbers as N
 from ..operators import drift, entity, profile, sampling
+from . import sql as Q
 from .cleaning import table
 from .fixtures import APPLICATIONS
 
-TAGGED = f"""WITH a AS ({APPLICATIONS}),
-k AS (SELECT *, row_number() OVER (PARTITION BY tin, mid, legal_name, owner_first, owner_last, state, city, postal, open_date, is_fraud, fraud_type, amount ORDER BY rid) AS rx,
+_IDENTITY = "legal_name, owner_first, owner_last, state_given, city_given, postal"
+_KEY = ", ".join(f"coalesce({c}, '__NA__')" for c in _IDENTITY.split(", "))
+
+
+def _upper(c: str) -> str:
+    return f"upper({Q.strip(c)})"
+
+
+def _id(c: str) -> str:
+    return f"coalesce(CASE WHEN lower({Q.strip(c)}) NOT IN ('', 'nan') THEN CAST(try_cast(try_cast({Q.strip(c)} AS DOUBLE) AS BIGINT) AS VARCHAR) END, '')"
+
+
+# a: the view with normalized keys, and the keys as given in upper case.
+KEYED = f"""WITH raw AS ({APPLICATIONS}),
+a AS (SELECT rid, {_id('tin')} AS tin, {_id('mid')} AS mid, {_upper('tin')} AS tin_given, {_upper('mid')} AS mid_given, {_upper('legal_name')} AS legal_name, {_upper('owner_first')} AS owner_first, {_upper('owner_last')} AS owner_last,
+  {_upper('state')} AS state_given, {_upper('city')} AS city_given, {_upper("coalesce(state, '')")} AS state, {_upper("coalesce(city, '')")} AS city, {_upper('postal')} AS postal, open_date, is_fraud, fraud_type, amount FROM raw)"""
+TAGGED = f"""{KEYED},
+k AS (SELECT *, row_number() OVER (PARTITION BY tin_given, mid_given, {_IDENTITY}, open_date, is_fraud, fraud_type, amount ORDER BY rid) AS rx,
   row_number() OVER (PARTITION BY tin, mid ORDER BY open_date ASC NULLS LAST, rid) AS rt,
   count(*) OVER i AS gn, sum(is_fraud) OVER i AS gf,
-  row_number() OVER (PARTITION BY coalesce(legal_name, '__NA__'), owner_first, owner_last, state, city, postal ORDER BY open_date DESC NULLS LAST, rid) AS rc,
-  row_number() OVER (PARTITION BY coalesce(legal_name, '__NA__'), owner_first, owner_last, state, city, postal ORDER BY is_fraud DESC, open_date ASC NULLS LAST, rid) AS rf,
-  concat_ws(', ', CASE WHEN coalesce(tin, '') = '' THEN 'TIN' END, CASE WHEN coalesce(legal_name, '') = '' THEN 'Legal Name' END, CASE WHEN coalesce(postal, '') = '' THEN 'Postal Code' END) AS miss,
-  row_number() OVER (PARTITION BY coalesce(tin, ''), coalesce(mid, '') ORDER BY open_date ASC NULLS LAST, rid) = 1 AS is_first_of_group
-  FROM a WINDOW i AS (PARTITION BY coalesce(legal_name, '__NA__'), owner_first, owner_last, state, city, postal)),
+  row_number() OVER (PARTITION BY {_KEY} ORDER BY open_date DESC NULLS LAST, rid) AS rc,
+  row_number() OVER (PARTITION BY {_KEY} ORDER BY is_fraud DESC, open_date ASC NULLS LAST, rid) AS rf,
+  concat_ws(', ', CASE WHEN tin = '' THEN 'TIN' END, CASE WHEN coalesce(legal_name, '') = '' THEN 'Legal Name' END, CASE WHEN coalesce(postal, '') = '' THEN 'Postal Code' END) AS miss,
+  row_number() OVER (PARTITION BY tin, mid ORDER BY open_date ASC NULLS LAST, rid) = 1 AS is_first_of_group
+  FROM a WINDOW i AS (PARTITION BY {_KEY})),
 t AS (SELECT *, CASE WHEN rx > 1 THEN 'EXACT_DUPLICATE' WHEN gn > 1 AND gf > 0 AND rf > 1 THEN 'IDENTITY_GROUP_FRAUD'
   WHEN tin <> '' AND mid <> '' AND rt > 1 THEN 'TECH_REAPPLICATION' WHEN miss <> '' THEN 'INVALID_FOR_KYC'
   WHEN gn > 1 AND gf = 0 AND rc > 1 THEN 'IDENTITY_GROUP_CLEAN' ELSE 'UNIQUE_CLEAN_NON_LINKED' END AS duplicate_tag FROM k),
@@ -39,8 +56,12 @@ def applications(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(sql, **{t: table(spark, d, t) for t in ("orders", "customer", "nation")})
 
 
+def keyed(spark: SparkSession, d: str) -> DataFrame:
+    return entity.keyed(entity.normalized(applications(spark, d)))
+
+
 def tags(spark: SparkSession, d: str) -> DataFrame:
-    return entity.tagged(applications(spark, d))
+    return entity.loaded(applications(spark, d))
 
 
 def reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -117,9 +138,8 @@ def sample_safe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pools(spark: SparkSession, d: str) -> DataFrame:
-    t = tags(spark, d)
-    one = entity.clean_pool(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit("clean").alias("pool"), "n")
-    return one.unionByName(entity.reference_pool(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit("reference").alias("pool"), "n"))
+    n = tags(spark, d).agg(F.count_if(entity.in_clean_pool()).alias("clean"), F.count_if(entity.in_reference_pool()).alias("reference"))
+    return n.select(F.explode(F.array(*[F.struct(F.lit(p).alias("pool"), F.col(p).alias("n")) for p in ("clean", "reference")])).alias("r")).select("r.*")
 
 
 def dist(bin_, bins):
@@ -136,17 +156,17 @@ QUERIES = {
     "entity_reasons": reasons,
     "entity_tag_counts": lambda s, d: entity.tag_counts(tags(s, d)),
     "entity_first_of_group": lambda s, d: tags(s, d).groupBy("is_first_of_group").agg(F.count(F.lit(1)).alias("n")),
-    "entity_row_stats": lambda s, d: entity.with_tin_stats(applications(s, d)).select("rid", "record_count", "n_mid", "fraud_count"),
-    "tin_stats": lambda s, d: entity.tin_stats(applications(s, d)).withColumn("fraud_rate", F.round("fraud_rate", 8)),
+    "entity_row_stats": lambda s, d: entity.with_tin_stats(keyed(s, d)).select("rid", "record_count", "n_mid", "fraud_count"),
+    "tin_stats": lambda s, d: entity.tin_stats(keyed(s, d)).withColumn("fraud_rate", F.round("fraud_rate", 8)),
     "tin_summary": summary,
-    "tin_top20": lambda s, d: entity.browse(entity.tin_stats(applications(s, d)), 1, (), 20).select("tin", "record_count"),
+    "tin_top20": lambda s, d: entity.browse(entity.tin_stats(keyed(s, d)), 1, (), 20).select("tin", "record_count"),
     "tin_browse_filter": lambda s, d: entity.browse(summary(s, d), 2, ("IDENTITY_GROUP_FRAUD",)).select("tin", "record_count"),
     "tin_decision": lambda s, d: entity.decision(summary(s, d)),
-    "tin_tiers": lambda s, d: entity.tiers(applications(s, d)).drop("ord"),
-    "mid_tiers": lambda s, d: entity.tiers(applications(s, d), "n_mid", N.MID_TIERS).drop("ord"),
+    "tin_tiers": lambda s, d: entity.tiers(keyed(s, d)).drop("ord"),
+    "mid_tiers": lambda s, d: entity.tiers(keyed(s, d), "n_mid", N.MID_TIERS).drop("ord"),
     "tin_kpis": kpis,
     "tin_lookup": lambda s, d: entity.filtered(tags(s, d), tin="100000007").select("rid", "duplicate_tag"),
-    "tag_filter": lambda s, d: entity.filtered(tags(s, d), ("TECH_REAPPLICATION", "INVALID_FOR_KYC"), 0, "FRANCE").select("rid", "duplicate_tag"),
+    "tag_filter": lambda s, d: entity.filtered(tags(s, d), ("TECH_REAPPLICATION", "IDENTITY_GROUP_CLEAN", "INVALID_FOR_KYC"), 0, "FRANCE").select("rid", "duplicate_tag"),
     "excl_breakdown": lambda s, d: entity.exclusion_breakdown(tags(s, d)),
     "excl_costliest": lambda s, d: entity.costliest_tag(tags(s, d)),
     "dup_exact_rows": lambda s, d: profile.duplicate_rows(applications(s, d), ["tin", "mid", "legal_name", "open_date", "is_fraud", "amount"]),
@@ -154,7 +174,7 @@ QUERIES = {
     "sample_strata": sample_strata, "sample_stratified": sample_stratified, "sample_safe": sample_safe,
     "psi_numeric": psi_numeric, "psi_categorical": psi_categorical, "psi_date": psi_date, "ks_stat": ks, "chi2_two_sample": chi2, "card_ratio": card_ratio, "drift_table": drift_table, "drift_verdict": drift_verdict,
     "dist_compare_quarter": dist(D.quarter, range(1, 5)), "dist_compare_month": dist(D.month, range(1, 13)), "dist_compare_dow": dist(D.weekday, range(7)),
-    "cat_fraud_rate": lambda s, d: drift.rate_by_category(applications(s, d), "state", "is_fraud"),
+    "cat_fraud_rate": lambda s, d: drift.rate_by_category(keyed(s, d), "state", "is_fraud"),
 }
 
 
@@ -203,10 +223,10 @@ SQL = {
     "mid_tiers": _tiers_sql("n_mid", _MTIER, N.MID_TIERS),
     "tin_kpis": f"{TAGGED}, p AS (SELECT tin, count(DISTINCT CASE WHEN mid <> '' THEN mid END) AS mids, max(is_fraud) AS fraud FROM t WHERE coalesce(tin, '') <> '' GROUP BY tin) SELECT (SELECT count(*) FROM p) AS unique_tin, (SELECT count(*) FROM p WHERE mids >= 2) AS multi_mid_tins, (SELECT count(*) FROM p WHERE fraud > 0) AS fraud_tins, (SELECT count(DISTINCT CASE WHEN mid <> '' THEN mid END) FROM t) AS unique_mid, (SELECT count(*) FROM t) AS n_rows",
     "tin_lookup": f"{TAGGED} SELECT rid, duplicate_tag FROM t WHERE tin = '100000007'",
-    "tag_filter": f"{TAGGED} SELECT rid, duplicate_tag FROM t WHERE duplicate_tag IN ('TECH_REAPPLICATION', 'INVALID_FOR_KYC') AND is_fraud = 0 AND state = 'FRANCE'",
+    "tag_filter": f"{TAGGED} SELECT rid, duplicate_tag FROM t WHERE duplicate_tag IN ('TECH_REAPPLICATION', 'IDENTITY_GROUP_CLEAN', 'INVALID_FOR_KYC') AND is_fraud = 0 AND state = 'FRANCE'",
     "excl_breakdown": f"{TAGGED}, r AS (SELECT duplicate_tag AS reason, count(*) AS n, sum(is_fraud)::BIGINT AS fraud FROM t GROUP BY 1 UNION ALL SELECT 'MISSING_ID', count(*), coalesce(sum(is_fraud), 0)::BIGINT FROM t WHERE coalesce(tin, '') = '' OR coalesce(mid, '') = '') SELECT reason, n, fraud, n - fraud AS non_fraud, round(CASE WHEN n = 0 THEN 0.0 ELSE fraud::DOUBLE / n END * 100, 2) AS fraud_pct, round(n::DOUBLE / (SELECT count(*) FROM t) * 100, 2) AS pct_of_total FROM r",
     "excl_costliest": f"{TAGGED} SELECT duplicate_tag, sum(is_fraud)::BIGINT AS fraud FROM t WHERE duplicate_tag <> 'UNIQUE_CLEAN_NON_LINKED' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1",
-    "dup_exact_rows": f"{TAGGED} SELECT sum(k - 1)::BIGINT AS n_dup FROM (SELECT count(*) AS k FROM a GROUP BY tin, mid, legal_name, open_date, is_fraud, amount) x",
+    "dup_exact_rows": f"{TAGGED} SELECT sum(k - 1)::BIGINT AS n_dup FROM (SELECT count(*) AS k FROM raw GROUP BY tin, mid, legal_name, open_date, is_fraud, amount) x",
     "pools": f"{DRAWN} SELECT 'clean' AS pool, count(*) AS n FROM pool UNION ALL SELECT 'reference', count(*) FROM ref",
     "sample_strata": f"{DRAWN} SELECT is_fraud, count(*) AS n FROM pool GROUP BY 1",
     "sample_stratified": f"{EVENTS} SELECT event_id, y FROM q",

@@ -28,13 +28,13 @@ FROM customer
 
 _APPLICATION = """
   SELECT o.o_orderkey + {shift} AS rid,
-    CASE WHEN o.o_orderkey % 41 = 0 THEN NULL ELSE CAST(100000000 + o.o_custkey AS STRING) END AS tin,
+    CASE WHEN o.o_orderkey % 41 = 0 THEN NULL WHEN o.o_orderkey % 47 = 0 THEN ' nan' ELSE CAST(100000000 + o.o_custkey AS STRING) || CASE o.o_orderkey % 5 WHEN 1 THEN '.0' WHEN 2 THEN ' ' ELSE '' END END AS tin,
     CASE WHEN o.o_orderkey % 43 = 0 THEN NULL
-         ELSE CAST(1000000000000 + o.o_custkey * 10 + o.o_orderkey % 3 AS STRING) END AS mid,
-    CASE WHEN o.o_orderkey % 53 = 0 THEN NULL ELSE upper(c.c_name) END AS legal_name,
-    'OWNER' AS owner_first, CAST(o.o_custkey % 7 AS STRING) AS owner_last,
-    n.n_name AS state, c.c_mktsegment AS city,
-    CASE WHEN o.o_orderkey % 59 = 0 THEN '' ELSE lpad(CAST(o.o_custkey % 500 AS STRING), 5, '0') END AS postal,
+         ELSE CAST(1000000000000 + o.o_custkey * 10 + o.o_orderkey % 3 AS STRING) || CASE o.o_orderkey % 7 WHEN 1 THEN '.0' ELSE '' END END AS mid,
+    CASE WHEN o.o_orderkey % 53 = 0 THEN NULL WHEN o.o_orderkey % 6 = 1 THEN ' ' || lower(c.c_name) || '  ' ELSE upper(c.c_name) END AS legal_name,
+    CASE WHEN o.o_orderkey % 9 = 1 THEN 'owner ' ELSE 'OWNER' END AS owner_first, CAST(o.o_custkey % 7 AS STRING) AS owner_last,
+    CASE o.o_orderkey % 61 WHEN 0 THEN NULL WHEN 1 THEN lower(n.n_name) || ' ' ELSE n.n_name END AS state, CASE o.o_orderkey % 67 WHEN 0 THEN '  ' ELSE c.c_mktsegment END AS city,
+    CASE WHEN o.o_orderkey % 59 = 0 THEN ' ' ELSE lpad(CAST(o.o_custkey % 500 AS STRING), 5, '0') END AS postal,
     CASE WHEN o.o_orderkey % 29 = 0 THEN NULL ELSE CAST(o.o_orderdate AS DATE) END AS open_date,
     CASE WHEN o.o_orderkey % 37 = 0 AND o.o_custkey % 4 = 0 THEN 1 ELSE 0 END AS is_fraud,
     CASE WHEN o.o_orderkey % 37 = 0 AND o.o_custkey % 4 = 0 THEN 1 + o.o_custkey % 3 ELSE NULL END AS fraud_type,

@@ -43,9 +43,18 @@ def outcome(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
 
 
+_LEAK = "SELECT y, CAST(y AS DOUBLE) AS copy, CASE WHEN o_orderkey % 3 > 0 THEN y END AS gaps, o_custkey AS other, y + 1e-9 AS close, CASE WHEN y = 1 THEN ' 1 ' ELSE '0' END AS texts, CASE WHEN y < 0 THEN y END AS nothing FROM (SELECT *, CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END AS y FROM {o}) o"
+_LEAK_COLS = ("copy", "gaps", "other", "close", "texts", "nothing")
+
+
 def leak(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").withColumn("y", (F.col("o_totalprice") > 150000).cast("int"))
-    return P.leak_exact(o.select("y", F.col("y").cast("double").alias("copy"), F.col("o_custkey").alias("other"), (F.col("y") + 1e-9).alias("close")), "y")
+    return P.leak_exact(spark.sql(_LEAK, o=table(spark, d, "orders")), "y")
+
+
+def _leak_sql(c: str) -> str:
+    exact = "false" if c == "texts" else f"coalesce(bool_and(CASE WHEN {c} IS NOT NULL THEN {c} = y END), false)"
+    close = f"lower(trim({c})) = CAST(y AS VARCHAR)" if c == "texts" else f"abs({c} - y) <= 1e-8 + 1e-5 * abs(y)"
+    return f"SELECT feature, exact, NOT exact AND close AS near FROM (SELECT '{c}' AS feature, {exact} AS exact, coalesce(bool_and(CASE WHEN {c} IS NOT NULL THEN {close} END), false) AS close FROM l) x"
 
 
 def determinism(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +166,7 @@ SQL = {
     "crosstab_pct": "SELECT a, b, n, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY a), 6) AS pct FROM (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY 1, 2) x",
     "biv_num_cat": "SELECT o_orderpriority AS category, count(*) AS n, round(avg(o_totalprice)::DOUBLE, 4) AS mean, round(quantile_cont(o_totalprice::DOUBLE, 0.5), 4) AS median FROM orders GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10",
     "biv_trend": "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, regr_count(l_extendedprice, l_quantity)::BIGINT AS n FROM lineitem",
-    "leak_exact": "SELECT unnest(['copy', 'other', 'close']) AS feature, unnest([false, false, false]) AS exact, unnest([true, false, true]) AS near",
+    "leak_exact": f"WITH l AS ({_LEAK.format(o='orders')}) " + each(_leak_sql, _LEAK_COLS),
     "leak_v": f"{L} " + each(_leak_v, CAT),
     "leak_id_determinism": "SELECT sum(k)::BIGINT AS n, count(*) AS ids, count(*) FILTER (WHERE k > 1) AS repeated, count(*) FILTER (WHERE k > 1 AND lo = hi) AS single, sum(k) >= 200 AND count(*) FILTER (WHERE k > 1) >= 25 AND count(*) FILTER (WHERE k > 1 AND lo = hi) >= 0.98 * count(*) FILTER (WHERE k > 1) AS deterministic FROM (SELECT count(*) AS k, min(o_custkey % 2) AS lo, max(o_custkey % 2) AS hi FROM orders GROUP BY o_custkey) x",
     "feature_quality": "SELECT feature, type, round(miss, 6) AS missing_rate, round(uniq, 6) AS unique_ratio, round(div, 6) AS diversity_score, round(outl, 6) AS outlier_rate, false AS leakage_flag, round(greatest(0.0, least(1.0, 0.35 * (1 - miss) + 0.2 * CASE WHEN type = 'numeric' THEN 1 - greatest(0.0, least(1.0, (uniq - 0.98) / 0.02)) ELSE exp(-pow((uniq - 0.2) / 0.3, 2)) END + 0.2 * div + 0.1 * (1 - least(outl / 0.1, 1.0)))) * 100, 6)::DOUBLE AS quality_score FROM (" + each(_quality_num, NUM) + " UNION ALL " + each(_quality_cat, CAT) + ") x",

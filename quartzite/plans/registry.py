@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cleaning, entities, profiling
+from . import cleaning, entities, profiling, reports
 
 FLAGSHIP = "entity_tags"
-_PARTS = (cleaning, entities, profiling)
+_PARTS = (cleaning, entities, profiling, reports)
 
 
 def queries() -> dict:

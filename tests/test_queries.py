@@ -35,6 +35,7 @@ def test_query(spark, duck, sf_dir, name):
     got = sorted(tuple(norm(r[c]) for c in cols) for r in df.collect())
     sql = registry.oracle_sql().get(name)
     if sql is None:
+        assert len(got) > 0  # these have brute-force or unit tests of their own
         return
     found = duck.execute(sql)
     names = [d[0] for d in found.description]

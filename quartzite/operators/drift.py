@@ -92,8 +92,7 @@ def ks_statistics(pool: DataFrame, sample: DataFrame, cols: Sequence[str]) -> Da
     side = lambda df, p, s: long_values(df, value).filter("v is not null").withColumns({"p": F.lit(p), "s": F.lit(s)})
     both = side(pool, 1, 0).unionByName(side(sample, 0, 1))
     counted = both.groupBy("feature", "v").agg(F.sum("p").alias("p"), F.sum("s").alias("s"))
-    totals = counted.groupBy("feature").agg(F.sum("p").alias("n"), F.sum("s").alias("m"))
-    run = running(counted, both, ["feature"], "v", ["p", "s"]).join(F.broadcast(totals), "feature")  # a row per column
+    run = running(counted, both, ["feature"], "v", ["p", "s"]).withColumnsRenamed({"p_total": "n", "s_total": "m"})
     gap = F.abs(F.try_divide(F.col("p_upto"), F.col("n")) - F.try_divide(F.col("s_upto"), F.col("m")))
     return run.groupBy(F.col("feature").alias("col_name")).agg(F.max(gap).alias("ks"), F.max("n").alias("n"), F.max("m").alias("m"))
 

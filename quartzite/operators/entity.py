@@ -49,7 +49,7 @@ def tagged(df: DataFrame, rid: str = "rid", target: str = "is_fraud", date: str
     """``df`` with duplicate_tag, tag_reason and is_first_of_group.
 
     The exact-duplicate key is every column but ``rid`` and those that begin with an underscore. Dates given as text are parsed, others
-    count as missing. Rows without TIN or MID are no re-applications, so they don't meet in one task.
+    count as missing. Rows without TIN or MID are no re-applications; those without both don't meet in one task.
     """
     for need in (target, date):
         if need not in df.columns:
@@ -58,7 +58,8 @@ def tagged(df: DataFrame, rid: str = "rid", target: str = "is_fraud", date: str
     present = [c for c in identity if c in df.columns]
     day = F.try_to_timestamp(F.col(date)) if isinstance(df.schema[date].dataType, T.StringType) else F.col(date)
     neither, either = blank(tin) & blank(mid), blank(tin) | blank(mid)
-    pair = Window.partitionBy(tin, mid, F.when(either, F.col(rid)))
+    # Rows with neither are one group too, and may be many: they are alone here, their first row comes from an aggregate.
+    pair = Window.partitionBy(F.coalesce(tin, F.lit("")), F.coalesce(mid, F.lit("")), F.when(neither, F.col(rid)))
     key = Window.partitionBy(*[F.coalesce(F.col(c).cast("string"), F.lit("__NA__")) for c in present])
     rn = lambda w, *order: F.row_number().over(w.orderBy(*order, F.col(rid)))
     first, last = day.asc_nulls_last(), day.desc_nulls_last()
@@ -80,10 +81,8 @@ def tagged(df: DataFrame, rid: str = "rid", target: str = "is_fraud", date: str
     tag = reason = None
     for hit, name, why in rules:
         tag, reason = (F.when(hit, name), F.when(hit, why)) if tag is None else (tag.when(hit, name), reason.when(hit, why))
-    # Rows with neither are one group too, and may be many: its first row comes from an aggregate.
-    group = Window.partitionBy(F.coalesce(tin, F.lit("")), F.coalesce(mid, F.lit("")), F.when(neither, F.col(rid))).orderBy(first, F.col(rid))
     lead = df.filter(neither).agg(F.min_by(rid, F.struct(day.isNull(), day, F.col(rid))).alias("_lead"))
-    out = out.join(F.broadcast(lead)).withColumn("is_first_of_group", F.when(neither, F.col(rid) == F.col("_lead")).otherwise(F.row_number().over(group) == 1))
+    out = out.join(F.broadcast(lead)).withColumn("is_first_of_group", F.when(neither, F.col(rid) == F.col("_lead")).otherwise(F.col("_tech") == 1))
     return out.withColumns({"duplicate_tag": tag.otherwise(TAGS[5]), "tag_reason": reason.otherwise("")}).drop("_exact", "_tech", "_n", "_fraud", "_igc", "_igf", "_missing", "_lead")
 
 

@@ -23,7 +23,7 @@ def range_of(v: Column, cuts: Sequence[float], first: int = 0) -> Column:
 
 
 def running(counted: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
-    """``counted`` (``keys``, ``value``; distinct) with ``<s>_upto``: each sum's total over the key's values up to this one.
+    """``counted`` (``keys``, ``value``; distinct) with ``<s>_upto`` and ``<s>_total``: each sum over the key's values up to this one, and over all.
 
     ``rows`` has the values that ``counted`` was made from; approximate quantiles of all of them set the ranges, not the result.
     """
@@ -32,7 +32,7 @@ def running(counted: DataFrame, rows: DataFrame, keys: Sequence[str], value: str
     ranged = counted.withColumn("range", range_of(F.col(value), cuts))
     per_range = ranged.groupBy(*keys, "range").agg(*[F.sum(s).alias(s) for s in sums])
     before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a key at most
-    base = per_range.select(*keys, "range", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before") for s in sums])
+    base = per_range.select(*keys, "range", *[x for s in sums for x in (F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before"), F.sum(s).over(Window.partitionBy(*keys)).alias(f"{s}_total"))])
     own = Window.partitionBy(*keys, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = ranged.withColumns({f"{s}_upto": F.sum(s).over(own) for s in sums}).join(base, [*keys, "range"])
     return out.withColumns({f"{s}_upto": F.col(f"{s}_upto") + F.col(f"{s}_before") for s in sums}).drop("range", *[f"{s}_before" for s in sums])
@@ -43,8 +43,7 @@ def quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
     known = rows.filter(F.col(value).isNotNull())
     counted = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("k"))
     run = running(counted, known, keys, value, ["k"])
-    total = counted.groupBy(*keys).agg(F.sum("k").alias("n"))
-    placed = run.join(total, list(keys)) if keys else run.join(F.broadcast(total))
+    placed = run.withColumnRenamed("k_total", "n")
     at = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
     # The value at a position is the least whose running total is above it.
     ends = [x for i, a in enumerate(at) for x in (F.min(F.when(F.col("k_upto") > F.floor(a), F.col(value))).alias(f"lo{i}"), F.min(F.when(F.col("k_upto") > F.ceil(a), F.col(value))).alias(f"hi{i}"))]

@@ -4,7 +4,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from quartzite.operators import clean, drift, entity, profile, report, sampling, stats_math
+from quartzite.operators import clean, drift, entity, profile, ranks, report, sampling, stats_math
 from quartzite.operators.analyzer import Analyzer
 from quartzite.plans.cleaning import COLS, ROLES, contacts
 from quartzite.plans.entities import applications
@@ -107,6 +107,42 @@ def test_number_dates(spark):
     fixed = profile.fixed_types(df, types)
     assert dict(fixed.dtypes)["opened"] == "date" and dict(fixed.dtypes)["y"] == "int"
     assert str(fixed.agg(F.min("opened")).first()[0]) == "2023-01-01"
+    assert [r["feature"] for r in Analyzer(df).report_type_issues()] == ["opened"]  # calendar years are no serial dates
+
+
+def test_load_and_tag_normalizes(spark):
+    """The same TIN and MID in other spellings is a later application (of another identity group, by its postal code); texts that are no ids count as blank."""
+    rows = [
+        (1, "123.0", "77", "acme", "o", "n", "tx", "austin", "78701", "2024-01-01", 0), (2, "123", "77.0", "ACME ", "O", "N ", "TX", "Austin", "78702", "2024-01-02", 0),
+        (3, "nan", None, "Other", "p", "q", "NY", None, "10001", "not a date", 1), (4, "abc", " ", "Third", "p", "q", "NY", "x", "10001", "2024-01-01", 0),
+    ]
+    df = spark.createDataFrame(rows, "rid int, tin string, mid string, legal_name string, owner_first string, owner_last string, state string, city string, postal string, open_date string, is_fraud int")
+    got = {r.rid: r for r in entity.load_and_tag(df).collect()}
+    assert [got[i].duplicate_tag for i in (1, 2, 3, 4)] == ["UNIQUE_CLEAN_NON_LINKED", "TECH_REAPPLICATION", "INVALID_FOR_KYC", "INVALID_FOR_KYC"]
+    assert [(got[i].tin, got[i].mid, got[i].record_count, got[i].n_state) for i in (1, 2)] == [("123", "77", 2, 1)] * 2
+    assert [got[i].is_first_of_group for i in (1, 2, 3, 4)] == [True, False, False, True] and got[3].record_count is None
+
+
+def test_constants_and_single_columns(spark):
+    df = spark.createDataFrame([(9, "N/A", "US", i % 4) for i in range(40)], "nine int, gone string, country string, grade int")
+    assert profile.feature_types(df) == {"nine": "numeric", "gone": "unknown", "country": "categorical", "grade": "categorical"}
+    assert [profile.single_type(df, c) for c in df.columns] == ["numeric", "unknown", "unknown", "numeric"]
+
+
+def test_quantiles_are_exact(spark):
+    """Against the built-in percentile, with repeats, a long tail, nulls, one value and none."""
+    rows = [("a", float(i % 17)) for i in range(300)] + [("a", 1e9), ("b", 3.0), ("c", None)] + [("d", 2.0**i) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    steps = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    want = {r.g: r.q for r in df.filter("v is not null").groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, steps))).alias("q")).collect()}
+    assert {r.g: r.q for r in ranks.quantiles(df, ["g"], "v", steps).collect()} == {g: pytest.approx(q) for g, q in want.items()}
+    assert ranks.quantiles(df.limit(0), ["g"], "v", steps).count() == 0
+
+
+def test_alerts_on_formats(spark):
+    df = spark.createDataFrame([("212-555-0000", "2024-01-01", "Yes", "abc"), ("2125550000", "Jan 1 2024", "yes", "DEF"), ("x", "2024-01-02", "no", "g")], "phone string, open_date string, answer string, other string")
+    found = {(r.feature, r.severity, r.value) for r in profile.alerts(df).collect() if r.alert_type == "FORMAT INCONSISTENCY"}
+    assert found == {("phone", "HIGH", 3.0), ("open_date", "MEDIUM", 2.0), ("answer", "LOW", 1.0)}
 
 
 def test_constant_columns(spark):

@@ -183,7 +183,8 @@ class Analyzer:
             if a in numbers and b in numbers:
                 found = {"type": "numeric_numeric"} | self._rows(self.data.agg(P.pearson(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias("correlation"), F.count_if(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()).alias("n")))[0] | self._rows(P.trend(self.data, a, b).drop("n"))[0]
             elif a in numbers or b in numbers:
-                found = {"type": "numeric_categorical", "groups": self._rows(P.group_stats(self.data, *((a, b) if a in numbers else (b, a))))}
+                rows = self._rows(P.group_stats(self.data, *((a, b) if a in numbers else (b, a))))
+                found = {"type": "numeric_categorical", "groups": rows} if sum(r["n"] for r in rows) >= 10 else {"error": "fewer than ten rows have both"}
             else:
                 rows = self._rows(P.cramers_v_corrected(self.data, a, b))
                 found = {"type": "categorical_categorical"} | (rows[0] if rows else {"n": 0})

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import numbers as N
+from .profile import feature_types
 from .ranks import long_values, quantiles, running
+from .sampling import draws
 from .stats_math import chi2_sf, ks_sf
 
 FLOOR = 1e-6
@@ -51,28 +53,35 @@ def psi_date(pool: DataFrame, sample: DataFrame, col: str, bin_: str = "quarter"
     return _psi(shares).join(F.broadcast(enough)).select(F.when(F.col("ok"), F.col("psi")).alias("psi"))
 
 
-def psi_numeric(pool: DataFrame, sample: DataFrame, cols: Sequence[str] | str, buckets: int = 10, approximate: bool = False) -> DataFrame:
-    """col_name, psi over the pool's quantile bins: one job for all bin edges, one for all counts.
+def bin_edges(pool: DataFrame, cols: Sequence[str], buckets: int = 10, approximate: bool = False) -> dict[str, list[float]]:
+    """The distinct quantiles that bound each column's bins."""
+    steps = [i / buckets for i in range(buckets + 1)]
+    rows = long_values(pool, {c: _c(c) for c in cols})
+    found = rows.groupBy("feature").agg(F.percentile_approx("v", steps, 100_000).alias("q")) if approximate else quantiles(rows, ["feature"], "v", steps)
+    return {c: [] for c in cols} | {r.feature: list(dict.fromkeys(r.q or [])) for r in found.collect()}
+
+
+def psi_numeric(pool: DataFrame, sample: DataFrame, cols: Sequence[str] | str, buckets: int = 10, approximate: bool = False, by: Sequence[str] = (), edges: dict[str, list[float]] | None = None) -> DataFrame:
+    """col_name, psi over the pool's quantile bins: one job for all bin edges (unless given), one for all counts.
+
+    ``by``: columns of ``sample`` that tell several samples apart, each with rows of its own in the result.
 
     Bins are half-open, the last closed. Values outside count in the denominator only; a share of 0 is 1e-6. Null if either side has fewer
     than ten values or there are fewer than two edges. ``approximate`` takes percentile_approx, for columns too large for exact quantiles.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
-    steps = [i / buckets for i in range(buckets + 1)]
     value = {c: _c(c).cast("double") for c in cols}
-    rows = long_values(pool, value)
-    found = rows.groupBy("feature").agg(F.percentile_approx("v", steps, 100_000).alias("q")) if approximate else quantiles(rows, ["feature"], "v", steps)
-    edges = {c: [] for c in cols} | {r.feature: list(dict.fromkeys(r.q or [])) for r in found.collect()}
+    edges = edges or bin_edges(pool, cols, buckets, approximate)
 
-    def counts(df: DataFrame, side: str) -> DataFrame:
+    def counts(df: DataFrame, side: str, by: Sequence[str] = ()) -> DataFrame:
         aggs = []
         for i, c in enumerate(cols):
             b, v = edges[c], value[c]
             ins = [F.count_if((v >= lo) & ((v < hi) if k < len(b) - 2 else (v <= hi))) for k, (lo, hi) in enumerate(zip(b, b[1:], strict=False))]
             aggs += [F.count(v).alias(f"{side}n{i}"), (F.array(*ins) if ins else F.array().cast("array<bigint>")).alias(f"{side}c{i}")]
-        return df.agg(*aggs)
+        return df.groupBy(*by).agg(*aggs)
 
-    both = counts(pool, "p").join(counts(sample, "s"))
+    both = counts(pool, "p").join(counts(sample, "s", by))  # a row against one per sample
 
     def terms_of(i: int) -> Column:
         share = lambda side, x: F.when(x == 0, FLOOR).otherwise(x / F.greatest(F.col(f"{side}n{i}"), F.lit(1)))
@@ -83,7 +92,7 @@ def psi_numeric(pool: DataFrame, sample: DataFrame, cols: Sequence[str] | str, b
         terms = terms_of(i)
         ok = (F.col(f"pn{i}") >= 10) & (F.col(f"sn{i}") >= 10) & F.lit(len(edges[c]) >= 2)
         out.append(F.struct(F.lit(c).alias("col_name"), F.when(ok, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).alias("psi")))
-    return both.select(F.explode(F.array(*out)).alias("r")).select("r.*")
+    return both.select(*by, F.explode(F.array(*out)).alias("r")).select(*by, "r.*")
 
 
 def ks_statistics(pool: DataFrame, sample: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -220,8 +229,82 @@ def max_psi(pool: DataFrame, sample: DataFrame, numeric: Sequence[str] = (), cat
     bins = {f"{c} ({name})": at(_c(c)) for c in dates for name, at in (("quarter", D.quarter), ("weekday", D.weekday))}
     keys = {c: _c(c) for c in (*categorical, *outcome)} | bins
     found += [(r.feature, r.psi) for r in category_tests(pool, sample, keys, list(bins)).collect()] if keys else []
+    return _stability(found, outcome)
+
+
+def _stability(found: Sequence[tuple[str, float | None]], outcome: Sequence[str] = ()) -> tuple[float, bool]:
     known = [(c, v) for c, v in found if v is not None]
-    return max([0.0, *(v for _, v in known)]), all(v <= (0.20 if c in outcome else 0.10) for c, v in known)
+    return max([0.0, *(v for _, v in known)]), all(v <= (0.20 if c in outcome or c.startswith("Fraud.") else 0.10) for c, v in known)
+
+
+# Columns that say nothing on how well a sample represents its pool.
+NOT_COMPARED = ("duplicate_tag", "tag_reason", "is_first_of_group", "address_postal_code", "owner1_first_name", "address_line_2", "address_city")
+TIN_STATS = ("record_count", "n_mid", "n_state", "n_city", "fraud_count", "fraud_rate")
+
+
+def compared_columns(pool: DataFrame, outcome: Sequence[str] = (), skip: Sequence[str] = (*NOT_COMPARED, *TIN_STATS), rid: str = "rid", head: int = 100) -> dict[str, list[str]]:
+    """numeric, categorical, dates, outcome: the columns to compare, by the types of the pool's first ``head`` rows.
+
+    Helper columns, ``skip``, the row id and columns of other types are left out.
+    """
+    types = feature_types(pool.orderBy(rid).limit(head))
+    kept = {c: k for c, k in types.items() if not c.startswith("_") and c not in {*skip, *outcome, rid}}
+    of = lambda *kinds: [c for c, k in kept.items() if k in kinds]
+    return {"numeric": of("numeric"), "categorical": of("categorical", "binary"), "dates": of("datetime"), "outcome": [c for c in outcome if c in pool.columns]}
+
+
+def psi_of_draws(pool: DataFrame, drawn: DataFrame, seeds: Sequence[int], numeric: Sequence[str] = (), categorical: Sequence[str] = (), dates: Sequence[str] = (), edges: dict | None = None) -> DataFrame:
+    """seed, feature, psi of samples told apart by ``seed`` against one pool; dates give two features (quarter, weekday).
+
+    All samples share the pool's counts: one aggregate for the bins of numbers, one shuffle over (feature, category) for the rest.
+    """
+    out = psi_numeric(pool, drawn, numeric, by=["seed"], edges=edges).select("seed", F.col("col_name").alias("feature"), "psi") if numeric else None
+    texts = {c for c, kind in pool.dtypes if kind == "string"}
+    day = lambda c: F.try_to_timestamp(_c(c)) if c in texts else _c(c)
+    bins = {f"{c} ({name})": at(day(c)) for c in dates for name, at in (("quarter", D.quarter), ("weekday", D.weekday))}
+    keys = {c: _c(c) for c in categorical} | bins
+    if not keys:
+        return out
+    dated = F.col("feature").isin(list(bins)) if bins else F.lit(False)
+
+    def side(df: DataFrame, seed: Column) -> DataFrame:
+        rows = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), c.cast("string").alias("cat")) for k, c in keys.items()]))
+        rows = df.select(seed.alias("seed"), rows.alias("x")).select("seed", "x.*").filter(~dated | F.col("cat").isNotNull())
+        return rows.withColumn("cat", F.coalesce("cat", F.lit("__NA__")))
+
+    both = side(pool, F.lit(None).cast("int")).union(side(drawn, F.col("seed")))
+    per_seed = F.array(*[F.struct(F.lit(int(s)).alias("seed"), F.count_if(F.col("seed") == int(s)).alias("s")) for s in seeds])
+    counts = both.groupBy("feature", "cat").agg(F.count_if(F.col("seed").isNull()).alias("p"), per_seed.alias("x"))
+    long = counts.select("feature", "p", F.explode("x").alias("x")).select("feature", "p", "x.*").filter("p > 0 or s > 0")
+    totals = F.broadcast(long.groupBy("feature", "seed").agg(F.sum("p").alias("pt"), F.sum("s").alias("st")))  # a row per feature and seed
+    e, a = (F.greatest(F.coalesce(N.ratio(F.col(x), F.col(f"{x}t")), F.lit(0.0)), F.lit(FLOOR)) for x in "ps")
+    gap = F.log(a / e)
+    sums = long.join(totals, ["feature", "seed"]).groupBy("seed", "feature").agg(F.sum(a * gap).alias("ag"), F.sum(e * gap).alias("eg"), F.sum(a).alias("a"), F.sum(e).alias("e"), F.count(F.lit(1)).alias("k"), F.least(F.max("pt"), F.max("st")).alias("least"))
+    # With shares scaled to one, the logs of both scales cancel out.
+    psi = F.when((F.col("k") >= 2) & (~dated | (F.col("least") >= 10)), F.col("ag") / F.col("a") - F.col("eg") / F.col("e"))
+    found = sums.select("seed", "feature", psi.alias("psi"))
+    return found if out is None else out.unionByName(found)
+
+
+def stable_seed(pool: DataFrame, reference: DataFrame, sizes: dict, columns: dict[str, Sequence[str]], target: str = "is_fraud", rid: str = "rid", first: int = 0, seeds: int = 100, batch: int = 8) -> tuple[int, float, bool]:
+    """(seed, max PSI, stable) of least max PSI among ``seeds`` seeds from ``first`` up to the first whose sample is stable.
+
+    ``columns`` as :func:`compared_columns` gives them. The bins of the reference are computed once, ``batch`` seeds are measured in a job.
+    """
+    numeric, outcome = list(columns.get("numeric", ())), list(columns.get("outcome", ()))
+    categorical, dates = [*columns.get("categorical", ()), *outcome], list(columns.get("dates", ()))
+    edges = bin_edges(reference, numeric) if numeric else None
+    best = (first, float("inf"), False)
+    for start in range(first, first + seeds, batch):
+        group = range(start, min(start + batch, first + seeds))
+        found = psi_of_draws(reference, draws(pool, sizes, group, target, rid), group, numeric, categorical, dates, edges).collect()
+        for seed in group:
+            value, ok = _stability([(r.feature, r.psi) for r in found if r.seed == seed], outcome)
+            if value < best[1]:
+                best = (seed, value, ok)
+            if ok:
+                return best
+    return best
 
 
 def rate_by_bin(df: DataFrame, bin_: Column, bins: Sequence, target: str) -> DataFrame:

@@ -211,6 +211,12 @@ def decision(summary: DataFrame) -> DataFrame:
     return summary.select("tin", out.otherwise("Clean").alias("decision"))
 
 
+def banner(tags: DataFrame, tin: str, target: str = "is_fraud") -> DataFrame:
+    """record_count, n_mid, n_state, n_city (values that are not blank) and fraud_count of one TIN."""
+    value = lambda c: F.countDistinct(F.when(~blank(c), F.col(c)))
+    return tags.filter(F.col("tin") == tin).agg(F.count(F.lit(1)).alias("record_count"), *[value(c).alias(f"n_{c}") for c in ("mid", "state", "city")], F.coalesce(F.sum(target), F.lit(0)).cast("long").alias("fraud_count"))
+
+
 def scatter(tags: DataFrame, tin: str) -> DataFrame:
     return tags.filter(F.col("tin") == tin).select("mid", "state", "city", "duplicate_tag", "is_fraud")
 

@@ -472,43 +472,63 @@ def sorted_alerts(a: DataFrame) -> DataFrame:
 
 
 def type_counters(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """What the type rules ask of each column: rows, nulls, blanks, distinct values, integral and numeric shares, serial dates."""
+    """What the type rules ask of each column: rows, nulls, blanks, distinct values, integral and numeric shares, serial dates.
+
+    Every rule looks at the distinct values, weighted by their counts; medians are taken of columns of numbers only.
+    """
     cols = list(cols or df.columns)
-    per = {}
-    for c in cols:
-        s, x = c_(c).cast("string"), N.parse_number(c_(c))
-        per[c] = {
-            "nulls": F.count_if(c_(c).isNull()), "blanks": F.count_if(S.strip(s) == ""), "numeric": F.count(x), "integral": F.count_if(x == F.floor(x)), "serial": F.count_if(x.between(20000, 60000)),
-            "leading_zero": F.count_if(s.rlike(r"^0\d+")), "max_abs": F.max(F.abs(x)), "iso_date": F.count_if(s.rlike(r"^\d{4}-\d{2}-\d{2}")), "date_token": F.count_if(F.lower(s).rlike(DATE_TOKENS)),
-            "stand_in": F.count_if(F.lower(S.strip(s)).isin(*CONSTANT_STAND_INS)), "same_length": F.greatest(*[F.count_if((x == F.floor(x)) & (F.abs(x) >= 10 ** (k - 1)) & (F.abs(x) < 10**k)) for k in range(7, 19)]),
-            "year": F.count_if((x == F.floor(x)) & x.between(1900, 2100)), "year_span": F.max(F.when(x.between(1900, 2100), x)) - F.min(F.when(x.between(1900, 2100), x)),
-            "year_month": F.count_if((x == F.floor(x)) & F.floor(x / 100).between(1900, 2100) & (x % 100).between(1, 12)), "month_year": F.count_if((x == F.floor(x)) & F.floor(x / 10000).between(1, 12) & (x % 10000).between(1900, 2100)),
-        }
-    base = _rows(df, per, {"rows": F.count(F.lit(1))})
-    k = value_counts(df, cols).groupBy("feature").agg(F.count(F.lit(1)).alias("n_unique"))
-    middle = quantiles(long_values(df, {c: F.abs(N.parse_number(c_(c))) for c in cols}), ["feature"], "v", [0.5])
-    out = base.join(k, "feature", "left").join(middle.select("feature", F.get("q", F.lit(0)).alias("median_abs")), "feature", "left")
-    return out.withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
+    numbers = [c for c in numeric_columns(df) if c in cols]
+    values = value_counts(df, cols).withColumn("x", N.parse_number(F.col("value")))
+    s, x = F.col("value"), F.col("x")
+    rows = lambda rule: F.sum(F.when(rule, F.col("n")).otherwise(0))
+    whole, size = x == F.floor(x), F.abs(x)
+    year = x.between(1900, 2100)
+    counts = {
+        "known": F.sum("n"), "n_unique": F.count(F.lit(1)), "blanks": rows(S.strip(s) == ""), "numeric": rows(x.isNotNull()), "integral": rows(whole), "serial": rows(x.between(20000, 60000)),
+        "leading_zero": rows(s.rlike(r"^0\d+")), "iso_date": rows(s.rlike(r"^\d{4}-\d{2}-\d{2}")), "date_token": rows(F.lower(s).rlike(DATE_TOKENS)), "stand_in": rows(F.lower(S.strip(s)).isin(*CONSTANT_STAND_INS)),
+        "same_length": F.greatest(*[rows(whole & (size >= 10 ** (k - 1)) & (size < 10**k)) for k in range(7, 19)]), "year": rows(whole & year),
+        "year_month": rows(whole & F.floor(x / 100).between(1900, 2100) & (x % 100).between(1, 12)), "month_year": rows(whole & F.floor(x / 10000).between(1, 12) & (x % 10000).between(1900, 2100)),
+    }
+    ends = {"max_abs": F.max(size), "year_span": F.max(F.when(year, x)) - F.min(F.when(year, x))}
+    found = values.groupBy("feature").agg(*[e.alias(k) for k, e in (counts | ends).items()])
+    fixed = df.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("feature"), "rows")
+    out = fixed.join(F.broadcast(found), "feature", "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in counts})  # a row per column
+    out = out.withColumn("nulls", F.col("rows") - F.col("known")).drop("known")
+    if not numbers:
+        return out.withColumn("median_abs", F.lit(None).cast("double"))
+    sizes = values.filter(F.col("feature").isin(numbers)).select("feature", size.alias("v"), "n")
+    middle = quantiles(sizes, ["feature"], "v", [0.5], times="n").select("feature", F.get("q", F.lit(0)).alias("median_abs"))
+    return out.join(F.broadcast(middle), "feature", "left")
 
 
 def feature_types(df: DataFrame, outcome: str | None = None, cols: Sequence[str] | None = None) -> dict[str, str]:
     """outcome, unknown, datetime, id, binary, categorical or numeric for each column, from one pass of counters."""
-    cols = list(cols or df.columns)
+    return _types_of(df, type_counters(df, cols).collect(), cols or df.columns, outcome)
+
+
+def _types_of(df: DataFrame, counters: Sequence, cols: Sequence[str], outcome: str | None = None, single: bool = False) -> dict[str, str]:
     kinds = {f.name: f.dataType for f in df.schema}
-    out = {}
-    for r in type_counters(df, cols).collect():
-        out[r.feature] = "outcome" if r.feature == outcome else decide_type(r.feature, kinds[r.feature], r)
+    out = {r.feature: "outcome" if r.feature == outcome else decide_type(r.feature, kinds[r.feature], r, single) for r in counters}
     return {c: out[c] for c in cols}
 
 
 def single_type(df: DataFrame, col: str, outcome: str | None = None) -> str:
     """The type of one column by the rules for a single column."""
-    return "outcome" if col == outcome else decide_type(col, df.schema[col].dataType, type_counters(df, [col]).first(), single=True)
+    return single_types(df, [col], outcome)[col]
+
+
+def single_types(df: DataFrame, cols: Sequence[str] | None = None, outcome: str | None = None) -> dict[str, str]:
+    """Each column's type by the rules for a single column, from one pass."""
+    return _types_of(df, type_counters(df, cols).collect(), cols or df.columns, outcome, single=True)
+
+
+def _serial_of(counters: Sequence) -> list[str]:
+    return [r.feature for r in counters if r.serial > 0.8 * (r.rows - r.nulls)]
 
 
 def serial_dates(df: DataFrame, cols: Sequence[str]) -> list[str]:
     """The columns of numbers whose values are mostly Excel serial dates; calendar years are not."""
-    return [r.feature for r in type_counters(df, cols).collect() if r.serial > 0.8 * (r.rows - r.nulls)] if cols else []
+    return _serial_of(type_counters(df, cols).collect()) if cols else []
 
 
 def columns_of_type(types: dict[str, str], *kinds: str) -> list[str]:
@@ -517,10 +537,11 @@ def columns_of_type(types: dict[str, str], *kinds: str) -> list[str]:
 
 def fixed_types(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     """Numbers that are Excel serial dates become dates, timestamps are cut to the day; a new table, the input stays as it is."""
-    types = types or feature_types(df)
     kinds = {f.name: f.dataType for f in df.schema}
-    numbers = [c for c in columns_of_type(types, "datetime") if isinstance(kinds[c], T.NumericType)]
-    serial = set(serial_dates(df, numbers))
+    counters = type_counters(df, list(types) if types else None).collect()
+    types = types or _types_of(df, counters, df.columns)
+    numbers = {c for c in columns_of_type(types, "datetime") if isinstance(kinds[c], T.NumericType)}
+    serial = numbers & set(_serial_of(counters))
     out = []
     for c, k in kinds.items():
         if c in serial:

@@ -6,6 +6,7 @@ range are added up by the totals of the ranges before it. So no task holds a who
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,12 +15,16 @@ from pyspark.sql import functions as F
 RANGES = 256
 
 
-def range_of(v: Column, cuts: Sequence[float], first: int = 0) -> Column:
-    """Number of the range of ``v``, by halving the sorted ``cuts``."""
+def _halved(v: str, cuts: Sequence[float], first: int) -> str:
     if not cuts:
-        return F.lit(first)
+        return str(first)
     m = len(cuts) // 2
-    return F.when(v <= cuts[m], range_of(v, cuts[:m], first)).otherwise(range_of(v, cuts[m + 1 :], first + m + 1))
+    return f"CASE WHEN {v} <= {cuts[m]!r}D THEN {_halved(v, cuts[:m], first)} ELSE {_halved(v, cuts[m + 1 :], first + m + 1)} END"
+
+
+def range_of(value: str, cuts: Sequence[float]) -> Column:
+    """Number of the range of column ``value``, by halving the sorted ``cuts``. One SQL text, since hundreds of Columns are slow to build."""
+    return F.expr(_halved(f"`{value}`", cuts, 0))
 
 
 def running(counted: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
@@ -28,8 +33,8 @@ def running(counted: DataFrame, rows: DataFrame, keys: Sequence[str], value: str
     ``rows`` has the values that ``counted`` was made from; approximate quantiles of all of them set the ranges, not the result.
     """
     found = rows.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
-    cuts = sorted({float(c) for c in found if c == c})
-    ranged = counted.withColumn("range", range_of(F.col(value), cuts))
+    cuts = sorted({float(c) for c in found if math.isfinite(c)})
+    ranged = counted.withColumn("range", range_of(value, cuts))
     per_range = ranged.groupBy(*keys, "range").agg(*[F.sum(s).alias(s) for s in sums])
     before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a key at most
     base = per_range.select(*keys, "range", *[x for s in sums for x in (F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before"), F.sum(s).over(Window.partitionBy(*keys)).alias(f"{s}_total"))])
@@ -38,10 +43,10 @@ def running(counted: DataFrame, rows: DataFrame, keys: Sequence[str], value: str
     return out.withColumns({f"{s}_upto": F.col(f"{s}_upto") + F.col(f"{s}_before") for s in sums}).drop("range", *[f"{s}_before" for s in sums])
 
 
-def quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """``keys``, n, q: exact quantiles of ``value`` by linear interpolation, nulls left out."""
+def quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], times: str | None = None) -> DataFrame:
+    """``keys``, n, q: exact quantiles of ``value`` by linear interpolation, nulls left out. A row stands for as many as ``times`` says."""
     known = rows.filter(F.col(value).isNotNull())
-    counted = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("k"))
+    counted = known.groupBy(*keys, value).agg((F.sum(times) if times else F.count(F.lit(1))).alias("k"))
     run = running(counted, known, keys, value, ["k"])
     placed = run.withColumnRenamed("k_total", "n")
     at = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
-from .clean import CLEAN_SHAPE, c_, clean_value, cleaned, issue_flags, issue_matrix, kind_of, role_of, text_columns
+from .clean import CLEAN_SHAPE, c_, clean_value, cleaned, global_stats, issue_flags, issue_matrix, kind_of, overall_score, quality_clean, quality_raw, role_of, text_columns
 
 # Severity, type and strategy of each kind of issue.
 KINDS = {
@@ -170,3 +170,70 @@ def generate_html_report(metrics: dict, charts: dict[str, str] | None = None, ta
     if notes:
         parts.append("<ul>" + "".join(f"<li>{escape(n)}</li>" for n in notes) + "</ul>")
     return "".join(parts) + "</body></html>"
+
+
+def _bars(rows: Sequence[tuple[str, float]]) -> str:
+    """Horizontal bars as SVG; values are percents."""
+    row = lambda i, name, v: f"<text x='0' y='{20 * i + 14}'>{escape(name)}</text><rect x='200' y='{20 * i + 3}' width='{4 * max(0.0, min(100.0, v)):.0f}' height='14' fill='#4878a8'/><text x='610' y='{20 * i + 14}'>{v:g}</text>"
+    return f"<svg width='680' height='{20 * len(rows) + 6}' font-size='12'>" + "".join(row(i, str(k), float(v)) for i, (k, v) in enumerate(rows)) + "</svg>"
+
+
+def duplicate_totals(clean: DataFrame) -> DataFrame:
+    """tin_dups, addr_dups: rows whose key repeats, in a table with both flags."""
+    return clean.agg(*[F.count_if(F.col(f) == "Yes").alias(n) for f, n in (("Duplicate_TIN_CHECK", "tin_dups"), ("Duplicate_Address_CHECK", "addr_dups"))])
+
+
+def summary_figures(df: DataFrame, roles: dict[str, str], cols: Sequence[str] | None = None) -> DataFrame:
+    """One row: total_rows, good_rows, rows_with_issues, missing_values, unfixable, raw_score, clean_score, improvement, issue_pct, good_pct."""
+    cols = list(cols or df.columns)
+    scores = [overall_score(q(df, roles, cols)).select(F.col("score").alias(n)) for q, n in ((quality_raw, "raw_score"), (quality_clean, "clean_score"))]
+    failed = unfixable(df, roles).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unfixable"))
+    out = global_stats(df, roles, cols).withColumnRenamed("missing_values_count", "missing_values").join(failed).join(scores[0]).join(scores[1])  # a row each
+    share = lambda c: F.round(F.coalesce(F.try_divide(F.col(c) * 100.0, F.col("total_rows")), F.lit(0.0)), 1)
+    return out.withColumns({"improvement": F.round(F.col("clean_score") - F.col("raw_score"), 1), "issue_pct": share("rows_with_issues"), "good_pct": share("good_rows")})
+
+
+# What each kind of column is checked for, and how it is standardized.
+RULES = (
+    ("Names", "special characters; leading, trailing or doubled blanks", "special characters removed, blanks collapsed, upper case"),
+    ("Address in parts", "missing; not in parts", "split into parts, the company name left out, joined again"),
+    ("TIN", "missing; not nine digits", "digits only, a zero before eight digits, XX-XXXXXXX"),
+    ("Phone", "fewer than 10 or more than 11 digits", "(XXX) XXX-XXXX, or +1 (XXX) XXX-XXXX"),
+    ("Date", "no date", "YYYY-MM-DD, else null"),
+    ("ZIP", "not five digits", "five digits"),
+    ("Duplicate TIN", "a standardized TIN that occurs again", "Duplicate_TIN_CHECK is Yes"),
+    ("Duplicate address", "first address line, ZIP and city that occur together again", "Duplicate_Address_CHECK is Yes"),
+)
+
+
+def quality_page(df: DataFrame, roles: dict[str, str], cols: Sequence[str] | None = None, rid: str = "rid", notes: dict[int, str] | None = None, fuzzy: bool = True, listed: int = 50) -> str:
+    """The data quality report: a summary and five sections (raw quality, issues and duplicates, changes, rules, final table).
+
+    Figures are aggregates over all rows; a listing shows ``listed`` rows at most. ``notes`` are put under the sections of their numbers.
+    """
+    cols, notes = list(cols or df.columns), notes or {}
+    rows = lambda t, n=listed: [r.asDict() for r in t.limit(n).collect()]
+    clean = cleaned(df, roles, fuzzy=fuzzy)
+    figures = summary_figures(df, roles, cols).first().asDict()
+    dups = duplicate_totals(clean).first().asDict()
+    total = max(1, figures["total_rows"])
+    pct = {k: round(100 * v / total, 1) for k, v in dups.items()}
+    label, sentence = health_note(figures)
+    compared = comparison(df, roles, [c for c in cols if c in text_columns(df)], rid)
+    raw, after = (q(df, roles, cols).orderBy("col_name").collect() for q in (quality_raw, quality_clean))
+    totals = issue_totals(issues_long(df, roles, cols, rid)).orderBy(F.desc("n"), "severity", "issue_type")
+    duplicates = {f: duplicates_listing(clean, f, keys, [rid]) for f, keys in (("Duplicate_TIN_CHECK", (rid, "lgl", "tin")), ("Duplicate_Address_CHECK", (rid, "lgl", "address", "city", "zip")))}
+    gain = figures["improvement"]
+    change = f"{gain:+g} points against the raw score." if gain else "the same as the raw score."
+    any_dups = dups["tin_dups"] + dups["addr_dups"] > 0
+    cards = figures | dups | {"tin_dup_pct": pct["tin_dups"], "addr_dup_pct": pct["addr_dups"], "health": label}
+    sections = (
+        ("Quality of the raw table", [f"<p>{escape(sentence)} Missing values: {figures['missing_values']:,}. Mean score of the columns: {figures['raw_score']}.</p>", _bars([(r.col_name, r.score) for r in raw])]),
+        ("Issues and duplicates", [_table(rows(totals)), f"<p>Rows that share their TIN: {dups['tin_dups']:,} ({pct['tin_dups']} %), their address: {dups['addr_dups']:,} ({pct['addr_dups']} %).</p>", *[f"<h3>{f}</h3>{_table(rows(t))}" for f, t in duplicates.items()]]),
+        ("Standardized against original", [f"<p>Mean score after standardizing: {figures['clean_score']}, {change} Cells that could not be standardized: {figures['unfixable']:,}.</p>", _bars([(r.col_name, r.score) for r in after]), _table(rows(unresolved(compared).orderBy(F.desc("n"), "feature", "reason"))), _table(rows(compared.orderBy(rid, "feature")))]),
+        ("Rules", [_table([dict(zip(("columns", "flagged", "standardized"), r, strict=True)) for r in RULES])]),
+        ("Final table", [f"<p>{figures['total_rows']:,} rows. {'Review the flagged rows before use.' if any_dups else 'No duplicates of TIN or address.'}</p>", _table(rows(export(df, roles, fuzzy=fuzzy)))]),
+    )
+    body = "".join(f"<section id='s{i}'><h2>{i}. {name}</h2>{''.join(parts)}{f'<blockquote>{escape(notes[i])}</blockquote>' if i in notes else ''}</section>" for i, (name, parts) in enumerate(sections, 1))
+    style = "body{font-family:sans-serif;margin:2em}td,th{border:1px solid #ccc;padding:.3em .6em}table{border-collapse:collapse;margin:1em 0}"
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>Data quality report</title><style>{style}</style></head><body><h1>Data quality report</h1><section id='summary'><h2>Summary</h2>{_table([cards])}</section>{body}</body></html>"

@@ -39,8 +39,8 @@ def shuffled(spark: SparkSession, d: str) -> DataFrame:
 
 def single_types(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.lit("US").alias("country"), F.lit("n/a").alias("note"), (F.col("o_orderkey") % 4).cast("int").alias("grade"), F.lit(9).alias("nine"))
-    single = [(c, profile.single_type(df, c)) for c in df.columns]
-    return spark.createDataFrame([(c, t, many) for (c, t), many in zip(single, profile.feature_types(df).values(), strict=True)], "feature string, single string, many string")
+    single, many = profile.single_types(df), profile.feature_types(df)
+    return spark.createDataFrame([(c, single[c], many[c]) for c in df.columns], "feature string, single string, many string")
 
 
 def missing_by_type(spark: SparkSession, d: str) -> DataFrame:
@@ -60,6 +60,19 @@ def display_dates(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", profile.displayed_date(F.col("n"), o.schema["n"].dataType).alias("day"))
 
 
+def seeds_psi(spark: SparkSession, d: str) -> DataFrame:
+    """PSI of the samples of three seeds."""
+    e = E.events(spark, d).withColumn("y", (F.col("event_id") % 10 == 0).cast("int"))
+    drawn = sampling.draws(e, {1: 50, 0: 450}, SEEDS, "y", "event_id")
+    return drift.psi_of_draws(e, drawn, SEEDS, ["value"], ["event_type"], ["ts"]).withColumn("psi", F.round("psi", 8))
+
+
+def stable_seed(spark: SparkSession, d: str) -> DataFrame:
+    e = E.events(spark, d).withColumn("y", (F.col("event_id") % 10 == 0).cast("int"))
+    found = drift.stable_seed(e, e, {1: 50, 0: 450}, {"numeric": ["value"], "categorical": ["event_type"]}, "y", "event_id", SEEDS[0], len(SEEDS))
+    return spark.createDataFrame([found], "seed int, max_psi double, stable boolean").withColumn("max_psi", F.round("max_psi", 8))
+
+
 def drift_stats(spark: SparkSession, d: str) -> DataFrame:
     return E.drift_table(spark, d).drop("p_value", "sig")
 
@@ -73,7 +86,13 @@ def export_columns(spark: SparkSession, d: str) -> DataFrame:
     return C.export(spark, d).drop("Duplicate_Address_CHECK")
 
 
+SEEDS = (42, 43, 44)
+
 QUERIES = {
+    "clean_summary": lambda s, d: R.summary_figures(contacts(s, d), ROLES, COLS),
+    "tin_banner": lambda s, d: entity.banner(E.tags(s, d), "100000007"),
+    "sample_seed_psi": seeds_psi,
+    "sample_stable_seed": stable_seed,
     "str_normalized_keys": normalized_keys,
     "str_labels": labels,
     "clean_rule_filter": lambda s, d: R.failing_rule(contacts(s, d), ROLES, "FORMAT_ISSUE", COLS).select("rid", "phone", "zip", "tin"),
@@ -124,7 +143,20 @@ _RANK = "row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('7:' || CAST
 _SCORE = lambda rows: f"(SELECT round_even(avg(score), 1) FROM ({C._score(rows)}) s)"
 _HASH = lambda c: f"sha256(CASE WHEN coalesce({c}, '') IN ('nan', 'None') THEN '' ELSE coalesce({c}, '') END)"
 
+
+
+def _seeds() -> str:
+    """seed, feature, psi of the samples of all seeds."""
+    features = {"value": E._psi_num_sql("value"), "event_type": E._psi_sql("events", "q", "event_type")} | {f"ts ({n})": E._psi_sql("events", "q", e) for n, e in (("quarter", "quarter(ts)"), ("weekday", "isodow(ts)"))}
+    return " UNION ALL ".join(f"SELECT {s} AS seed, feature, psi FROM ({E.EVENTS.replace('42:', f'{s}:')} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, psi FROM ({x}) x" for f, x in features.items()) + ") y" for s in SEEDS)
+
+
 SQL = {
+    "clean_summary": f"""{CC}, g AS ({C.SQL['clean_global_stats'].removeprefix(C.C)}), f AS (SELECT total_rows, rows_with_issues, good_rows, missing_values_count AS missing_values, (SELECT {' + '.join(C._sum(f"NOT regexp_matches({C._STD[c]}, {chr(39)}{K.CLEAN_SHAPE[c]}{chr(39)})") for c in ("phone", "zip", "tin"))} FROM c)::BIGINT AS unfixable,
+      {_SCORE(C._RAW)} AS raw_score, {_SCORE(C._CLEAN)} AS clean_score FROM g) SELECT *, round(clean_score - raw_score, 1) AS improvement, round(rows_with_issues * 100.0::DOUBLE / total_rows, 1) AS issue_pct, round(good_rows * 100.0::DOUBLE / total_rows, 1) AS good_pct FROM f""",
+    "tin_banner": f"{E.TAGGED} SELECT count(*) AS record_count, count(DISTINCT nullif(mid, '')) AS n_mid, count(DISTINCT nullif(state, '')) AS n_state, count(DISTINCT nullif(city, '')) AS n_city, coalesce(sum(is_fraud), 0)::BIGINT AS fraud_count FROM t WHERE tin = '100000007'",
+    "sample_seed_psi": _seeds(),
+    "sample_stable_seed": f"WITH z AS ({_seeds()}), m AS (SELECT seed, max(psi) AS max_psi, max(psi) <= 0.1 AS stable FROM z WHERE feature IN ('value', 'event_type') GROUP BY seed) SELECT * FROM m WHERE seed <= coalesce((SELECT min(seed) FROM m WHERE stable), {SEEDS[-1]}) ORDER BY max_psi, seed LIMIT 1",
     "str_normalized_keys": f"{E.KEYED} SELECT rid, tin AS _tin, mid AS _mid, state AS _state, city AS _city, tin_given AS tin, legal_name, owner_first, postal FROM a",
     "str_labels": "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE o_orderstatus END AS status, round_even(o_totalprice::DOUBLE / 1000, 0) AS price, strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' AS day FROM orders",
     "clean_rule_filter": f"{CC} SELECT rid, phone, zip, tin FROM c WHERE {_FORMAT} ORDER BY rid LIMIT 200",

@@ -177,3 +177,43 @@ def test_csv(spark, tmp_path):
 def test_html(spark):
     page = report.generate_html_report({"rows": 3}, tables={"t": spark.range(3)}, notes=["<b>"], raw_stats={"total_rows": 10, "rows_with_issues": 1})
     assert "Strong" in page and "&lt;b&gt;" in page and page.count("<tr>") == 6
+
+
+def test_quality_page(spark, sf_dir):
+    df = contacts(spark, sf_dir)
+    page = report.quality_page(df, ROLES, COLS, notes={2: "<look>"}, listed=5)
+    assert [f"id='{i}'" in page for i in ("summary", "s1", "s2", "s3", "s4", "s5")] == [True] * 6
+    assert page.count("<blockquote>") == 1 and "&lt;look&gt;" in page and "<look>" not in page
+    dups = report.duplicate_totals(clean.cleaned(df, ROLES)).first()
+    assert dups.tin_dups > 0 and f"share their TIN: {dups.tin_dups:,} (" in page
+
+
+def test_draws_are_those_of_a_full_sort(spark):
+    """Also where equal ids crowd a key, and where a stratum is smaller than its size."""
+    pool = spark.range(3000).select(F.when(F.col("id") < 1500, 7).otherwise(F.col("id")).alias("rid"), (F.col("id") % 30 == 0).cast("int").alias("is_fraud"))
+    got = sampling.draws(pool, {1: 500, 0: 40}, [1, 2])
+    for seed in (1, 2):
+        for value, k in ((1, 500), (0, 40)):
+            want = pool.filter(F.col("is_fraud") == value).orderBy(sampling.rank_key(seed, "rid"), "rid").limit(k)
+            assert sorted(r.rid for r in got.filter((F.col("seed") == seed) & (F.col("is_fraud") == value)).collect()) == sorted(r.rid for r in want.collect())
+    assert sampling.draws(pool.limit(0), {1: 5}, [1]).count() == 0
+
+
+def test_seeds_in_a_job_equal_single_seeds(spark):
+    pool = spark.range(4000).select(F.col("id").alias("rid"), (F.col("id") % 10 == 0).cast("int").alias("is_fraud"), (F.col("id") % 7).cast("string").alias("c"), (F.col("id") % 91).cast("double").alias("v"))
+    sizes = {1: 20, 0: 180}
+    one = sampling.search_seed(pool, pool, sizes, lambda p, s: drift.max_psi(p, s, ["v"], ["c"]), seeds=6)
+    seed, value, _ = drift.stable_seed(pool, pool, sizes, {"numeric": ["v"], "categorical": ["c"]}, seeds=6, batch=4)
+    assert seed == one[0] and value == pytest.approx(one[1])
+
+
+def test_compared_columns(spark, sf_dir):
+    found = drift.compared_columns(entity.load_and_tag(applications(spark, sf_dir)), outcome=["is_fraud", "fraud_type"])
+    every = [c for cols in found.values() for c in cols]
+    assert found["outcome"] == ["is_fraud", "fraud_type"] and "amount" in found["numeric"] and "open_date" in found["dates"]
+    assert not {"rid", "duplicate_tag", "record_count", "fraud_rate"} & set(every)
+
+
+def test_bivariate_needs_ten_rows(spark):
+    df = spark.createDataFrame([(float(i), "ab"[i % 2]) for i in range(9)], "v double, k string")
+    assert "error" in Analyzer(df).analyze_bivariate_relationships([("v", "k")])["v_vs_k"]

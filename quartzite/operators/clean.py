@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,15 +164,18 @@ def with_parsed_address(df: DataFrame, addr: str, legal: str | None, dba: str |
 
 
 def duplicate_flag(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
-    """``name`` = Yes for rows whose keys are all non-blank and occur more than once, else No."""
+    """``name`` = Yes for rows whose keys are all non-blank and occur more than once, else No.
+
+    Keys are counted by an aggregate, which combines before it shuffles, and only repeated ones are joined back. Rows with a blank key carry
+    a number of their own into the join, or all of them would meet in one task; a frequent key is split by the engine's skew join.
+    """
     marks = [f"_k{i}" for i in range(len(keys))]
     full = F.lit(True)
     for m in marks:
         full = full & (F.col(m) != "")
-    # Rows with a blank key are alone in a window each, or all of them would meet in one task.
-    alone = F.when(~full, F.monotonically_increasing_id())
-    n = F.count(F.lit(1)).over(Window.partitionBy(*marks, "_alone"))
-    return df.withColumns(dict(zip(marks, keys, strict=True))).withColumn("_alone", alone).withColumn(name, F.when(full & (n > 1), "Yes").otherwise("No")).drop(*marks, "_alone")
+    rows = df.withColumns(dict(zip(marks, keys, strict=True))).withColumn("_alone", F.when(full, F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    again = rows.filter(full).groupBy(*marks).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumn("_alone", F.lit(-1).cast("bigint"))
+    return rows.join(again, [*marks, "_alone"], "left").select(*[c_(c) for c in df.columns if c != name], F.when(F.col("_n").isNull(), "No").otherwise("Yes").alias(name))
 
 
 def cleaned(df: DataFrame, roles: dict[str, str], suffix: str = "_std", fuzzy: bool = True, untouched: Sequence[str] = ()) -> DataFrame:

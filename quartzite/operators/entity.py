@@ -1,6 +1,6 @@
 """Entity resolution: duplicate tags by priority, rollups per taxpayer, tiers, exclusion reports, pools.
 
-Rows need ``rid`` (stands for the physical order). Tags use three partitionings: the whole row, (tin, mid), and the identity key.
+Rows need a unique ``rid`` (stands for the physical order). Tags use three groupings: the whole row, (tin, mid), and the identity key.
 """
 
 from __future__ import annotations
@@ -45,45 +45,60 @@ def keyed(df: DataFrame) -> DataFrame:
     return out.withColumnsRenamed({"_tin": "tin", "_mid": "mid", "_state": "state", "_city": "city"})
 
 
+def _backward(day: str, kind: T.DataType) -> Column:
+    """A number that falls as ``day`` grows."""
+    if isinstance(kind, T.DateType):
+        return -F.unix_date(day)
+    return -F.unix_micros(F.col(day).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else -F.col(day)
+
+
 def tagged(df: DataFrame, rid: str = "rid", target: str = "is_fraud", date: str = "open_date", identity: Sequence[str] = IDENTITY, tin: str = "tin", mid: str = "mid") -> DataFrame:
     """``df`` with duplicate_tag, tag_reason and is_first_of_group.
 
     The exact-duplicate key is every column but ``rid`` and those that begin with an underscore. Dates given as text are parsed, others
-    count as missing. Rows without TIN or MID are no re-applications; those without both don't meet in one task.
+    count as missing. Rows without TIN or MID are no re-applications.
+
+    The row that a group keeps is found by an aggregate, which combines before it shuffles, so a group may hold any share of all rows. Only
+    groups of several rows are joined back.
     """
     for need in (target, date):
         if need not in df.columns:
             raise ValueError(f"column {need} is needed")
     whole = [c for c in df.columns if c != rid and not c.startswith("_")]
     present = [c for c in identity if c in df.columns]
-    day = F.try_to_timestamp(F.col(date)) if isinstance(df.schema[date].dataType, T.StringType) else F.col(date)
-    neither, either = blank(tin) & blank(mid), blank(tin) | blank(mid)
-    # Rows with neither are one group too, and may be many: they are alone here, their first row comes from an aggregate.
-    pair = Window.partitionBy(F.coalesce(tin, F.lit("")), F.coalesce(mid, F.lit("")), F.when(neither, F.col(rid)))
-    key = Window.partitionBy(*[F.coalesce(F.col(c).cast("string"), F.lit("__NA__")) for c in present])
-    rn = lambda w, *order: F.row_number().over(w.orderBy(*order, F.col(rid)))
-    first, last = day.asc_nulls_last(), day.desc_nulls_last()
-    out = df.withColumn("_exact", rn(Window.partitionBy(*whole))).withColumn("_tech", rn(pair, first))
-    if len(present) >= 3:
-        out = out.withColumns({"_n": F.count(F.lit(1)).over(key), "_fraud": F.coalesce(F.sum(target).over(key), F.lit(0)), "_igc": rn(key, last), "_igf": rn(key, F.col(target).desc_nulls_last(), first)})
-    else:
-        out = out.withColumns({"_n": F.lit(1), "_fraud": F.lit(0), "_igc": F.lit(1), "_igf": F.lit(1)})
+    parsed = F.try_to_timestamp(F.col(date)) if isinstance(df.schema[date].dataType, T.StringType) else F.col(date)
+    rows = df.withColumns({"_day": parsed, "_t": F.coalesce(tin, F.lit("")), "_m": F.coalesce(mid, F.lit(""))} | {f"_id{i}": F.coalesce(F.col(c).cast("string"), F.lit("__NA__")) for i, c in enumerate(present)})
+    least = lambda *order: F.min_by(rid, F.struct(*order, F.col(rid)))
+    first, last = (F.col("_day").isNull(), F.col("_day")), (F.col("_day").isNull(), _backward("_day", rows.schema["_day"].dataType))
+    size = F.count(F.lit(1)).alias("n")
+    copies = rows.groupBy(*[F.col(f"`{c}`") for c in whole]).agg(size, F.min(rid).alias("exact")).filter("n > 1")
+    pairs = rows.groupBy("_t", "_m").agg(size, least(*first).alias("tech")).filter("n > 1")
+    keys = [f"_id{i}" for i in range(len(present))] if len(present) >= 3 else []
+    # A missing outcome goes last in its group.
+    groups = rows.groupBy(*keys).agg(size, F.coalesce(F.sum(target), F.lit(0)).alias("fraud"), least(*last).alias("igc"), least(F.col(target).isNull(), -F.col(target), *first).alias("igf")).filter("n > 1")
+    out = rows
+    for name, found, by in (("_exact", copies, whole), ("_tech", pairs, ["_t", "_m"]), ("_group", groups, keys)):
+        if not by:
+            out = out.withColumn(name, F.lit(None).cast("struct<n: bigint, fraud: bigint, igc: bigint, igf: bigint>"))
+            continue
+        kept = found.select(*[F.col(f"`{c}`").alias(f"_by{i}") for i, c in enumerate(by)], F.struct(*[c for c in found.columns if c not in by]).alias(name))
+        same = [F.col(f"`{c}`").eqNullSafe(F.col(f"_by{i}")) if by is whole else F.col(c) == F.col(f"_by{i}") for i, c in enumerate(by)]
+        out = out.join(kept, same, "left").drop(*[f"_by{i}" for i in range(len(by))])
     labels = ((tin, "TIN"), *KYC)
     missing = F.array_join(F.filter(F.array(*[F.when(blank(c), label) for c, label in labels]), lambda x: x.isNotNull()), ", ")
-    out = out.withColumn("_missing", missing)
+    later = lambda c: F.col(c) != F.col(rid)
+    either = blank(tin) | blank(mid)
     rules = [
-        (F.col("_exact") > 1, TAGS[0], F.lit("Identical to an earlier row")),
-        ((F.col("_n") > 1) & (F.col("_fraud") > 0) & (F.col("_igf") > 1), TAGS[1], F.lit("Identity group with fraud")),
-        (~either & (F.col("_tech") > 1), TAGS[2], F.lit("Later application of the same TIN and MID")),
-        (F.col("_missing") != "", TAGS[3], F.concat(F.lit("Missing: "), F.col("_missing"))),
-        ((F.col("_n") > 1) & (F.col("_fraud") == 0) & (F.col("_igc") > 1), TAGS[4], F.lit("Identity group without fraud")),
+        (later("_exact.exact"), TAGS[0], F.lit("Identical to an earlier row")),
+        ((F.col("_group.fraud") > 0) & later("_group.igf"), TAGS[1], F.lit("Identity group with fraud")),
+        (~either & later("_tech.tech"), TAGS[2], F.lit("Later application of the same TIN and MID")),
+        (missing != "", TAGS[3], F.concat(F.lit("Missing: "), missing)),
+        ((F.col("_group.fraud") == 0) & later("_group.igc"), TAGS[4], F.lit("Identity group without fraud")),
     ]
     tag = reason = None
     for hit, name, why in rules:
         tag, reason = (F.when(hit, name), F.when(hit, why)) if tag is None else (tag.when(hit, name), reason.when(hit, why))
-    lead = df.filter(neither).agg(F.min_by(rid, F.struct(day.isNull(), day, F.col(rid))).alias("_lead"))
-    out = out.join(F.broadcast(lead)).withColumn("is_first_of_group", F.when(neither, F.col(rid) == F.col("_lead")).otherwise(F.col("_tech") == 1))
-    return out.withColumns({"duplicate_tag": tag.otherwise(TAGS[5]), "tag_reason": reason.otherwise("")}).drop("_exact", "_tech", "_n", "_fraud", "_igc", "_igf", "_missing", "_lead")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col("_tech.tech") == F.col(rid), F.lit(True)).alias("is_first_of_group"), tag.otherwise(TAGS[5]).alias("duplicate_tag"), reason.otherwise("").alias("tag_reason"))
 
 
 def tin_stats(df: DataFrame, target: str = "is_fraud") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import profile as P
 from .cleaning import contacts, table
 from .entities import applications
+from . import rule_twins
 from .fixtures import APPLICATIONS, DIRTY_CONTACTS
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -62,11 +63,35 @@ def determinism(spark: SparkSession, d: str) -> DataFrame:
     return P.leak_determinism(o, "o_custkey", "y")
 
 
+# A column for every rule of the types, and the kind of each.
+_SHAPED = """SELECT 2000 + o_orderkey % 20 AS opened, 40000 + o_orderkey % 900 AS shipped, 199001 + o_orderkey % 9 AS cycle, o_orderkey % 2 AS flag, 10000000 + o_orderkey AS agreement, 'n/a' AS note, 'US' AS country,
+  concat('A', CAST(o_orderkey AS STRING)) AS batch_code, concat('oct', CAST(10 + o_orderkey % 15 AS STRING)) AS batch, CAST(CAST(o_orderdate AS DATE) AS STRING) AS ordered, CAST(o_orderkey % 50 AS STRING) AS lane,
+  concat('0', CAST(o_orderkey % 50 AS STRING)) AS bay, CAST(NULL AS STRING) AS nothing, '  ' AS spaces, 9 AS nine, o_custkey AS tin_ref, CASE WHEN o_orderkey % 5 = 0 THEN '1d' ELSE CAST(o_orderkey % 70 AS STRING) END AS mixed FROM {o}"""
+_KINDS = {
+    "orders": {"o_orderkey": "number", "o_custkey": "number", "o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "date", "o_orderpriority": "text"},
+    "lineitem": {"l_quantity": "number", "l_discount": "number", "l_returnflag": "text", "l_linenumber": "number"},
+    f"({_SHAPED.format(o='orders')}) w": dict.fromkeys(("opened", "shipped", "cycle", "flag", "agreement", "nine", "tin_ref"), "number")
+    | dict.fromkeys(("note", "country", "batch_code", "batch", "ordered", "lane", "bay", "nothing", "spaces", "mixed"), "text"),
+}
+
+
 def types(spark: SparkSession, d: str) -> DataFrame:
-    found = P.feature_types(table(spark, d, "orders"), None) | P.feature_types(table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_returnflag", "l_linenumber"))
+    """The types of all columns of orders, of some of lineitem, and of a column made for each rule."""
+    orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
+    found = P.feature_types(orders) | P.feature_types(items.select(*_KINDS["lineitem"])) | P.feature_types(spark.sql(_SHAPED, o=orders))
     return spark.createDataFrame(sorted(found.items()), "feature string, feature_type string")
 
 
+_ALERTED = {"tin": "text", "legal_name": "text", "owner_first": "text", "postal": "text", "is_fraud": "number", "fraud_type": "number", "amount": "number"}
+_ALERTED_CONTACTS = {"phone": "text", "zip": "text", "state": "text", "country": "text", "day_dt": "text", "agreed": "text", "balance": "number", "one": "number", "uid": "text"}
+_CONTACTS = """SELECT phone, zip, state, country, CASE rid % 3 WHEN 0 THEN '2020-01-02' WHEN 1 THEN '1/2/2020' ELSE 'soon' END AS day_dt, CASE rid % 2 WHEN 0 THEN 'Yes' ELSE 'yes' END AS agreed,
+  CASE WHEN rid % 400 = 0 THEN -90000.0 ELSE rid % 7 END AS balance, 1 AS one, uid FROM {c}"""
+
+
+def contact_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.alerts(spark.sql(_CONTACTS, c=contacts(spark, d))), 4, "value")
+
+
 def biv(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.group_stats(table(spark, d, "orders"), "o_totalprice", "o_orderpriority"), 4, "mean", "median")
 
@@ -84,7 +109,8 @@ QUERIES = {
     "prof_cardinality": lambda s, d: rounded(P.cardinality(table(s, d, "orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"]), 8, "unique_ratio"),
     "prof_value_counts": lambda s, d: P.value_counts(table(s, d, "orders"), ["o_orderstatus", "o_orderpriority"]),
     "prof_duplicate_rows": lambda s, d: P.duplicate_rows(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]),
-    "prof_alerts": lambda s, d: rounded(P.alerts(applications(s, d).select("tin", "legal_name", "owner_first", "postal", "is_fraud", "fraud_type", "amount"), "is_fraud"), 4, "value"),
+    "prof_alerts": lambda s, d: rounded(P.alerts(applications(s, d).select(*_ALERTED), "is_fraud"), 4, "value"),
+    "prof_alerts_formats": contact_alerts,
     "prof_types": types,
     "prof_types_counters": lambda s, d: P.type_counters(table(s, d, "orders"), ["o_custkey", "o_orderstatus"]).select("feature", "rows", "nulls", "numeric", "integral", "n_unique"),
     "corr_pairs": lambda s, d: rounded(P.correlations(table(s, d, "lineitem"), NUM), 8, "correlation", "abs_correlation"),
@@ -156,6 +182,9 @@ SQL = {
     "prof_outliers": each(lambda c: f"SELECT '{c}' AS feature, n, o AS outliers, round(o * 100.0::DOUBLE / n, 6) AS pct, CASE WHEN o = 0 THEN 'NONE' WHEN o * 100.0 / n > 5 THEN 'HIGH' WHEN o * 100.0 / n > 1 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM (SELECT count({c}) AS n, count(*) FILTER (WHERE {c} < m - 3 * s OR {c} > m + 3 * s) AS o FROM lineitem, (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM lineitem) y) x", NUM),
     "prof_cardinality": each(lambda c: f"SELECT '{c}' AS feature, count(DISTINCT {c}) AS n_unique, round(count(DISTINCT {c})::DOUBLE / count(*), 8) AS unique_ratio FROM orders", ["o_custkey", "o_orderstatus", "o_orderpriority"]),
     "prof_value_counts": each(lambda c: f"SELECT '{c}' AS feature, {c} AS value, count(*) AS n FROM orders GROUP BY {c}", ["o_orderstatus", "o_orderpriority"]),
+    "prof_alerts": rule_twins.alerts(f"SELECT {', '.join(_ALERTED)} FROM ({APPLICATIONS}) w", _ALERTED, "is_fraud"),
+    "prof_alerts_formats": rule_twins.alerts(_CONTACTS.format(c=f"({DIRTY_CONTACTS}) w"), _ALERTED_CONTACTS),
+    "prof_types": rule_twins.types(_KINDS),
     "prof_duplicate_rows": "SELECT sum(k - 1)::BIGINT AS n_dup FROM (SELECT count(*) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber) x",
     "prof_types_counters": each(lambda c: f"SELECT '{c}' AS feature, count(*) AS rows, count(*) - count({c}) AS nulls, count(try_cast({c} AS DOUBLE)) AS numeric, count(*) FILTER (WHERE try_cast({c} AS DOUBLE) = floor(try_cast({c} AS DOUBLE))) AS integral, count(DISTINCT {c}) AS n_unique FROM orders", ["o_custkey", "o_orderstatus"]),
     "corr_pairs": each(lambda p: f"SELECT '{p[0]}' AS feature_1, '{p[1]}' AS feature_2, round(corr({p[0]}, {p[1]}), 8) AS correlation, round(abs(corr({p[0]}, {p[1]})), 8) AS abs_correlation FROM lineitem", list(combinations(NUM, 2))),

@@ -25,10 +25,17 @@ def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.withColumn("_rid", F.col(key).cast("long") if key else F.monotonically_increasing_id())
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header row, types inferred over the whole file, the usual NA texts as null."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True, schema: str | T.StructType | None = None) -> DataFrame:
+    """Header row, types inferred over the whole file, the usual NA texts as null.
+
+    Files whose values hold no line breaks are read in splits with ``multi_line=False``; else a file is one task. A ``schema`` saves the
+    inferring scan; what doesn't fit it is null.
+    """
+    df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     df = df.select(*[F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
+    if schema is not None:
+        fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
     number = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
     shape = [F.coalesce(F.bool_and(F.col(f"`{c}`").rlike(p)), F.lit(False)) for c in df.columns for p in (r"^[+-]?\d{1,18}$", number, r"^(?i:true|false)$")]
     seen = df.agg(*[s.alias(str(i)) for i, s in enumerate(shape)]).first()
@@ -61,7 +68,8 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, default:
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True)
+    """With a header; quotes inside a value are doubled, as :func:`read_csv` reads them."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_excel(df: DataFrame, path: str, sheet: str = "Cleaned_Data", max_rows: int = 1_000_000) -> None:

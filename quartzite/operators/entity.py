@@ -217,6 +217,11 @@ def filtered(tags: DataFrame, tag_set: Sequence[str] = (), fraud: int | None = N
     return out if tin is None else out.filter(F.col("tin") == tin)
 
 
+def options(tags: DataFrame, col: str = "state") -> DataFrame:
+    """The distinct values of ``col`` that are not blank, sorted: what a filter can be set to."""
+    return tags.filter(~blank(col)).select(col).distinct().orderBy(col)
+
+
 def decision(summary: DataFrame) -> DataFrame:
     """Per TIN the text of its first tag by precedence."""
     has = lambda t: F.array_contains(F.split("tags", ", "), t)

@@ -42,6 +42,12 @@ LEAK_NAMES = ("label", "target", "outcome", "fraud", "chargeback", "default", "a
 # Month tokens like oct15_25, oct_25, oct25.
 DATE_TOKENS = r"^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(\d{1,2}_\d{2,4}|_\d{2,4}|\d{2,4})$"
 
+# Shapes of dates as text, year first, slashes, month by name.
+DATE_TEXTS = (
+    r"^\d{4}[-/](0?[1-9]|1[0-2])[-/](0?[1-9]|[12]\d|3[01])([ T].*)?$", r"^(0?[1-9]|[12]\d|3[01])/(0?[1-9]|[12]\d|3[01])/\d{4}$",
+    r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", r"^[A-Za-z]{3}\s+\d{1,2},?\s+\d{4}$",
+)
+
 
 def c_(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -485,7 +491,7 @@ def type_counters(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     year = x.between(1900, 2100)
     counts = {
         "known": F.sum("n"), "n_unique": F.count(F.lit(1)), "blanks": rows(S.strip(s) == ""), "numeric": rows(x.isNotNull()), "integral": rows(whole), "serial": rows(x.between(20000, 60000)),
-        "leading_zero": rows(s.rlike(r"^0\d+")), "iso_date": rows(s.rlike(r"^\d{4}-\d{2}-\d{2}")), "date_token": rows(F.lower(s).rlike(DATE_TOKENS)), "stand_in": rows(F.lower(S.strip(s)).isin(*CONSTANT_STAND_INS)),
+        "leading_zero": rows(s.rlike(r"^0\d+")), "date_text": F.greatest(*[rows(s.rlike(p)) for p in DATE_TEXTS]), "date_token": rows(F.lower(s).rlike(DATE_TOKENS)), "stand_in": rows(F.lower(S.strip(s)).isin(*CONSTANT_STAND_INS)),
         "same_length": F.greatest(*[rows(whole & (size >= 10 ** (k - 1)) & (size < 10**k)) for k in range(7, 19)]), "year": rows(whole & year),
         "year_month": rows(whole & F.floor(x / 100).between(1900, 2100) & (x % 100).between(1, 12)), "month_year": rows(whole & F.floor(x / 10000).between(1, 12) & (x % 10000).between(1900, 2100)),
     }
@@ -572,7 +578,7 @@ def decide_type(name: str, kind: T.DataType, r, single: bool = False) -> str:
         return "datetime"
     if number and r.n_unique > 1 and (r.serial > 0.8 * n or (r.year > 0.8 * n and 1 <= (r.year_span or 0) <= 150) or r.year_month > 0.8 * n or r.month_year > 0.8 * n):
         return "datetime"
-    if not number and (r.iso_date == n or r.date_token > 0.8 * n):
+    if not number and (r.date_text == n or r.date_token > 0.8 * n):
         return "datetime"
     ratio = r.n_unique / max(r.rows, 1)
     tokens = set(re.split(r"[_. ]", low))

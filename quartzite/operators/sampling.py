@@ -60,6 +60,11 @@ def draws(pool: DataFrame, sizes: dict, seeds: Sequence[int], target: str = "is_
     return ranked.filter(F.col("_rank") <= most).drop("_key", "_rank")
 
 
+def rest_of(pool: DataFrame, sample: DataFrame, rid: str = "rid") -> DataFrame:
+    """The rows of ``pool`` that were not drawn; rows without ``rid`` were not."""
+    return pool.join(sample.select(rid), rid, "left_anti").select(pool.columns)
+
+
 def shuffled(df: DataFrame, rid: str = "rid", seed: int = 42) -> DataFrame:
     return df.orderBy(rank_key(seed, rid), rid)
 

@@ -86,6 +86,12 @@ def pipe_parse(spark: SparkSession, d: str) -> DataFrame:
     return df.select("rid", *[f"{p}_std" for p in K.PARTS])
 
 
+def pipe_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The parts by equal names only, which is the native form."""
+    parts = K.address_parts(F.col("business_address"), F.col("lgl_nm"), F.col("dba_nm"), fuzzy=False)
+    return contacts(spark, d).select("rid", *[v.alias(k) for k, v in parts.items()])
+
+
 def issue_matrix(spark: SparkSession, d: str) -> DataFrame:
     m = K.issue_matrix(contacts(spark, d), ROLES, COLS)
     return m.select("rid", "_has_issue", "_issue_tags", "lgl_nm_has_ws", "lgl_nm_has_sc", "dba_nm_is_missing", "phone_has_format", "zip_has_format", "tin_has_format")
@@ -165,7 +171,7 @@ def date_std(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES |= {
     "str_whitespace_flag": whitespace_flag, "str_special_flag": special_flag, "str_clean_text": clean_text, "str_composite_key": composite_key, "str_tags_distinct": tags_distinct,
-    "addr_pipe_split": pipe_split, "addr_pipe_parse": pipe_parse, "clean_issue_matrix": issue_matrix, "clean_issue_long": issue_long, "clean_issue_totals": issue_totals, "clean_compare": compare,
+    "addr_pipe_split": pipe_split, "addr_pipe_parse": pipe_parse, "addr_pipe_exact": pipe_exact, "clean_issue_matrix": issue_matrix, "clean_issue_long": issue_long, "clean_issue_totals": issue_totals, "clean_compare": compare,
     "clean_unresolved": unresolved, "clean_compare_search": compare_search, "clean_export": export, "clean_quality_raw": quality_raw, "clean_quality_clean": quality_clean, "clean_overall_score": overall, "clean_global_stats": global_stats,
     "dup_tin_flag": dup_tin, "dup_address_flag": dup_address, "dup_tin_rows": dup_tin_rows, "dup_flag_orders": dup_flag_orders, "excel_serial_dates": excel_dates, "date_std": date_std,
 }
@@ -204,6 +210,16 @@ def _sum(e: str) -> str:
 _RAW = " UNION ALL ".join(f"SELECT '{c}' AS col_name, count(*)::DOUBLE AS n, {_sum(_FLAGS[c + '_is_missing'])} AS m, {' + '.join(_sum(_FLAGS[f]) for f in (c + '_has_ws', c + '_has_sc', c + '_has_format') if f in _FLAGS)} AS i FROM c" for c in COLS)
 _CLEAN = " UNION ALL ".join(f"SELECT '{c}' AS col_name, count(*)::DOUBLE AS n, {_sum(f'{_STD[c]} IS NULL')} AS m, " + (_sum(f"NOT regexp_matches({_STD[c]}, '{_SHAPES[c]}')") if c in _SHAPES else "0") + " AS i FROM c" for c in COLS)
 _PART = "string_split(business_address, '|')"
+_PHYSICAL = f"(regexp_matches(upper(p), '{K.ADDRESS_SHAPE}') OR regexp_matches(upper(p), '{K.STREET_WORD}'))"
+_SAME = f"length({Q.key('p')}) > 3 AND ({Q.key('p')} = {Q.key('lgl_nm')} OR {Q.key('p')} = {Q.key('dba_nm')})"
+_TAIL = ("city", "region", "zip_code", "country")
+_EXACT = f"""SELECT rid, CASE WHEN empty OR n = 4 THEN '' WHEN n < 4 THEN parts[1] ELSE one END AS address_1, CASE WHEN empty OR n <= 4 THEN '' ELSE others END AS address_2,
+  {', '.join(f"CASE WHEN empty OR n < 4 THEN '' ELSE parts[n - {3 - i}] END AS {t}" for i, t in enumerate(_TAIL))},
+  CASE WHEN empty THEN '' WHEN n < 4 THEN parts[1] WHEN n = 4 THEN a ELSE array_to_string(list_filter(list_concat([one, others], parts[n - 3:n]), lambda x: x <> ''), ', ') END AS full_address
+FROM (SELECT *, coalesce(kept[1], '') AS one, array_to_string(kept[2:], ', ') AS others FROM (
+  SELECT *, CASE WHEN n > 4 AND len(front) = 0 THEN [parts[n - 4]] ELSE front END AS kept FROM (
+  SELECT *, list_filter(parts[1:greatest(n - 4, 0)], lambda p: p <> '' AND ({_PHYSICAL} OR NOT ({_SAME}))) AS front FROM (
+  SELECT rid, business_address AS a, lgl_nm, dba_nm, {Q.blank('business_address')} OR lower(business_address) = 'nan' AS empty, list_transform({_PART}, lambda p: {Q.strip('p')}) AS parts, len({_PART}) AS n FROM c) x) y) z) w"""
 _NP = f"CASE WHEN {Q.blank('business_address')} THEN 0 ELSE len({_PART}) END"
 
 SQL |= {
@@ -213,6 +229,7 @@ SQL |= {
     "str_composite_key": f"{C} SELECT rid, coalesce(lgl_nm, '__NA__') || '|' || coalesce(zip, '__NA__') || '|' || coalesce(tin, '__NA__') AS k FROM c",
     "str_tags_distinct": f"{C} SELECT rid, CASE WHEN t = '' THEN 'GOOD_DATA' ELSE t END AS tags FROM (SELECT rid, concat_ws(',', CASE WHEN {Q.missing('phone')} OR {Q.missing('zip')} THEN 'MISSING_VALUE' END, CASE WHEN {Q.sc('lgl_nm')} THEN 'SPECIAL_CHARS' END) AS t FROM c) x",
     "addr_pipe_split": f"{C} SELECT rid, " + ", ".join(f"CASE WHEN {_NP} >= 4 THEN {Q.strip(f'list_extract({_PART}, len({_PART}) - {k})')} ELSE '' END AS {p}" for p, k in (("city", 3), ("region", 2), ("zip_code", 1), ("country", 0))) + f", len({_PART})::BIGINT AS n_parts FROM c",
+    "addr_pipe_exact": f"{C} {_EXACT}",
     "clean_issue_matrix": f"{C} SELECT rid, t <> '' AS _has_issue, CASE WHEN t = '' THEN 'GOOD_DATA' ELSE t END AS _issue_tags, lgl_nm_has_ws, lgl_nm_has_sc, dba_nm_is_missing, phone_has_format, zip_has_format, tin_has_format FROM (SELECT rid, {_TAGS} AS t, {', '.join(f'{_FLAGS[f]} AS {f}' for f in ('lgl_nm_has_ws', 'lgl_nm_has_sc', 'dba_nm_is_missing', 'phone_has_format', 'zip_has_format', 'tin_has_format'))} FROM c) x",
     "clean_issue_long": f"{C} {_LONG}",
     "clean_issue_totals": f"{C}, l AS ({_LONG}) SELECT severity, issue_type, count(*) AS n, CAST(floor(count(*) * 100 / (SELECT count(*) FROM l)) AS INTEGER) AS pct FROM l GROUP BY severity, issue_type",

@@ -129,6 +129,11 @@ def sample_stratified(spark: SparkSession, d: str) -> DataFrame:
     return drawn_events(spark, d).select("event_id", "y")
 
 
+def sample_rest(spark: SparkSession, d: str) -> DataFrame:
+    """How many events of each type were not drawn."""
+    return sampling.rest_of(events(spark, d), drawn_events(spark, d), "event_id").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def sample_strata(spark: SparkSession, d: str) -> DataFrame:
     return entity.clean_pool(tags(spark, d)).groupBy("is_fraud").agg(F.count(F.lit(1)).alias("n"))
 
@@ -166,12 +171,13 @@ QUERIES = {
     "mid_tiers": lambda s, d: entity.tiers(keyed(s, d), "n_mid", N.MID_TIERS).drop("ord"),
     "tin_kpis": kpis,
     "tin_lookup": lambda s, d: entity.filtered(tags(s, d), tin="100000007").select("rid", "duplicate_tag"),
+    "state_options": lambda s, d: entity.options(tags(s, d)),
     "tag_filter": lambda s, d: entity.filtered(tags(s, d), ("TECH_REAPPLICATION", "IDENTITY_GROUP_CLEAN", "INVALID_FOR_KYC"), 0, "NATION_7").select("rid", "duplicate_tag"),
     "excl_breakdown": lambda s, d: entity.exclusion_breakdown(tags(s, d)),
     "excl_costliest": lambda s, d: entity.costliest_tag(tags(s, d)),
     "dup_exact_rows": lambda s, d: profile.duplicate_rows(applications(s, d), ["tin", "mid", "legal_name", "open_date", "is_fraud", "amount"]),
     "pools": pools,
-    "sample_strata": sample_strata, "sample_stratified": sample_stratified, "sample_safe": sample_safe,
+    "sample_strata": sample_strata, "sample_stratified": sample_stratified, "sample_rest": sample_rest, "sample_safe": sample_safe,
     "psi_numeric": psi_numeric, "psi_categorical": psi_categorical, "psi_date": psi_date, "ks_stat": ks, "chi2_two_sample": chi2, "card_ratio": card_ratio, "drift_table": drift_table, "drift_verdict": drift_verdict,
     "dist_compare_quarter": dist(D.quarter, range(1, 5)), "dist_compare_month": dist(D.month, range(1, 13)), "dist_compare_dow": dist(D.weekday, range(7)),
     "cat_fraud_rate": lambda s, d: drift.rate_by_category(keyed(s, d), "state", "is_fraud"),
@@ -223,12 +229,14 @@ SQL = {
     "mid_tiers": _tiers_sql("n_mid", _MTIER, N.MID_TIERS),
     "tin_kpis": f"{TAGGED}, p AS (SELECT tin, count(DISTINCT CASE WHEN mid <> '' THEN mid END) AS mids, max(is_fraud) AS fraud FROM t WHERE coalesce(tin, '') <> '' GROUP BY tin) SELECT (SELECT count(*) FROM p) AS unique_tin, (SELECT count(*) FROM p WHERE mids >= 2) AS multi_mid_tins, (SELECT count(*) FROM p WHERE fraud > 0) AS fraud_tins, (SELECT count(DISTINCT CASE WHEN mid <> '' THEN mid END) FROM t) AS unique_mid, (SELECT count(*) FROM t) AS n_rows",
     "tin_lookup": f"{TAGGED} SELECT rid, duplicate_tag FROM t WHERE tin = '100000007'",
+    "state_options": f"{KEYED} SELECT DISTINCT state FROM a WHERE state <> ''",
     "tag_filter": f"{TAGGED} SELECT rid, duplicate_tag FROM t WHERE duplicate_tag IN ('TECH_REAPPLICATION', 'IDENTITY_GROUP_CLEAN', 'INVALID_FOR_KYC') AND is_fraud = 0 AND state = 'NATION_7'",
     "excl_breakdown": f"{TAGGED}, r AS (SELECT duplicate_tag AS reason, count(*) AS n, sum(is_fraud)::BIGINT AS fraud FROM t GROUP BY 1 UNION ALL SELECT 'MISSING_ID', count(*), coalesce(sum(is_fraud), 0)::BIGINT FROM t WHERE coalesce(tin, '') = '' OR coalesce(mid, '') = '') SELECT reason, n, fraud, n - fraud AS non_fraud, round(CASE WHEN n = 0 THEN 0.0 ELSE fraud::DOUBLE / n END * 100, 2) AS fraud_pct, round(n::DOUBLE / (SELECT count(*) FROM t) * 100, 2) AS pct_of_total FROM r",
     "excl_costliest": f"{TAGGED} SELECT duplicate_tag, sum(is_fraud)::BIGINT AS fraud FROM t WHERE duplicate_tag <> 'UNIQUE_CLEAN_NON_LINKED' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1",
     "dup_exact_rows": f"{TAGGED} SELECT sum(k - 1)::BIGINT AS n_dup FROM (SELECT count(*) AS k FROM raw GROUP BY tin, mid, legal_name, open_date, is_fraud, amount) x",
     "pools": f"{DRAWN} SELECT 'clean' AS pool, count(*) AS n FROM pool UNION ALL SELECT 'reference', count(*) FROM ref",
     "sample_strata": f"{DRAWN} SELECT is_fraud, count(*) AS n FROM pool GROUP BY 1",
+    "sample_rest": f"{EVENTS} SELECT event_type, count(*) AS n FROM e WHERE event_id NOT IN (SELECT event_id FROM q) GROUP BY event_type",
     "sample_stratified": f"{EVENTS} SELECT event_id, y FROM q",
     "psi_numeric": f"{EVENTS} {_psi_num_sql('value')} UNION ALL {_psi_num_sql('user_id')}",
     "psi_categorical": f"{EVENTS} {_psi_sql('events', 'q', 'event_type')}",

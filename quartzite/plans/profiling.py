@@ -66,12 +66,14 @@ def determinism(spark: SparkSession, d: str) -> DataFrame:
 # A column for every rule of the types, and the kind of each.
 _SHAPED = """SELECT 2000 + o_orderkey % 20 AS opened, 40000 + o_orderkey % 900 AS shipped, 199001 + o_orderkey % 9 AS cycle, o_orderkey % 2 AS flag, 10000000 + o_orderkey AS agreement, 'n/a' AS note, 'US' AS country,
   concat('A', CAST(o_orderkey AS STRING)) AS batch_code, concat('oct', CAST(10 + o_orderkey % 15 AS STRING)) AS batch, CAST(CAST(o_orderdate AS DATE) AS STRING) AS ordered, CAST(o_orderkey % 50 AS STRING) AS lane,
-  concat('0', CAST(o_orderkey % 50 AS STRING)) AS bay, CAST(NULL AS STRING) AS nothing, '  ' AS spaces, 9 AS nine, o_custkey AS tin_ref, CASE WHEN o_orderkey % 5 = 0 THEN '1d' ELSE CAST(o_orderkey % 70 AS STRING) END AS mixed FROM {o}"""
+  concat('0', CAST(o_orderkey % 50 AS STRING)) AS bay, CAST(NULL AS STRING) AS nothing, '  ' AS spaces, 9 AS nine, o_custkey AS tin_ref, CASE WHEN o_orderkey % 5 = 0 THEN '1d' ELSE CAST(o_orderkey % 70 AS STRING) END AS mixed,
+  concat(CAST(1 + o_orderkey % 12 AS STRING), '/', CAST(1 + o_orderkey % 28 AS STRING), '/2020') AS agreed, concat(CAST(1 + o_orderkey % 9 AS STRING), '-Mar-2021') AS closed,
+  CASE o_orderkey % 2 WHEN 0 THEN '2020-01-02' ELSE '1/2/2020' END AS two_shapes, concat('2020-13-', CAST(10 + o_orderkey % 9 AS STRING)) AS no_month FROM {o}"""
 _KINDS = {
     "orders": {"o_orderkey": "number", "o_custkey": "number", "o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "date", "o_orderpriority": "text"},
     "lineitem": {"l_quantity": "number", "l_discount": "number", "l_returnflag": "text", "l_linenumber": "number"},
     f"({_SHAPED.format(o='orders')}) w": dict.fromkeys(("opened", "shipped", "cycle", "flag", "agreement", "nine", "tin_ref"), "number")
-    | dict.fromkeys(("note", "country", "batch_code", "batch", "ordered", "lane", "bay", "nothing", "spaces", "mixed"), "text"),
+    | dict.fromkeys(("note", "country", "batch_code", "batch", "ordered", "lane", "bay", "nothing", "spaces", "mixed", "agreed", "closed", "two_shapes", "no_month"), "text"),
 }
 
 

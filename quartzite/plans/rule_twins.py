@@ -32,10 +32,11 @@ def types(parts: Mapping[str, Mapping[str, str]]) -> str:
     names = " UNION ALL ".join(_names(c) for kinds in parts.values() for c in kinds)
     whole = "x = floor(x)"
     lengths = ", ".join(f"count(*) FILTER (WHERE {whole} AND abs(x) >= 1e{k - 1} AND abs(x) < 1e{k})" for k in range(7, 19))
+    dates = ", ".join(f"count(*) FILTER (WHERE regexp_matches(v, '{p}'))" for p in P.DATE_TEXTS)
     return rf"""WITH l AS ({values}), names AS ({names}),
 c AS (SELECT feature, any_value(kind) AS kind, count(*) AS m, count(v) AS n, count(DISTINCT v) AS k, count(DISTINCT v)::DOUBLE / count(*) AS ratio,
   count(*) FILTER (WHERE trim(v) = '') AS blanks, count(x) AS numeric, count(*) FILTER (WHERE {whole}) AS integral, count(*) FILTER (WHERE x BETWEEN 20000 AND 60000) AS serial,
-  count(*) FILTER (WHERE regexp_matches(v, '^0\d+')) AS zero, count(*) FILTER (WHERE regexp_matches(v, '^\d{{4}}-\d{{2}}-\d{{2}}')) AS iso, count(*) FILTER (WHERE regexp_matches(lower(v), '{P.DATE_TOKENS}')) AS token,
+  count(*) FILTER (WHERE regexp_matches(v, '^0\d+')) AS zero, greatest({dates}) AS dated, count(*) FILTER (WHERE regexp_matches(lower(v), '{P.DATE_TOKENS}')) AS token,
   count(*) FILTER (WHERE lower(trim(v)) IN ({_quoted(P.CONSTANT_STAND_INS)})) AS stand_in, greatest({lengths}) AS same, median(abs(x)) AS mid, max(abs(x)) AS size,
   count(*) FILTER (WHERE {whole} AND x BETWEEN 1900 AND 2100) AS years, max(x) FILTER (WHERE x BETWEEN 1900 AND 2100) - min(x) FILTER (WHERE x BETWEEN 1900 AND 2100) AS span,
   count(*) FILTER (WHERE {whole} AND floor(x / 100) BETWEEN 1900 AND 2100 AND x % 100 BETWEEN 1 AND 12) AS ym,
@@ -43,7 +44,7 @@ c AS (SELECT feature, any_value(kind) AS kind, count(*) AS m, count(v) AS n, cou
 SELECT feature, CASE
   WHEN n = 0 OR blanks = n THEN 'unknown' WHEN kind = 'date' THEN 'datetime'
   WHEN kind = 'number' AND k > 1 AND (serial > 0.8 * n OR (years > 0.8 * n AND span BETWEEN 1 AND 150) OR ym > 0.8 * n OR my > 0.8 * n) THEN 'datetime'
-  WHEN kind = 'text' AND (iso = n OR token > 0.8 * n) THEN 'datetime'
+  WHEN kind = 'text' AND (dated = n OR token > 0.8 * n) THEN 'datetime'
   WHEN kind = 'text' AND k = 1 AND stand_in = n THEN 'unknown'
   WHEN (part AND ratio > 0.8) OR (word AND ratio > 0.05) OR (family AND ratio > 0.05) THEN 'id'
   WHEN kind = 'number' AND k > 10 AND integral = n AND ((mid >= 1e6 AND ratio > 0.02) OR (mid >= 1e9 AND ratio > 0.01) OR (same >= 0.9 * n AND ratio > 0.02)) THEN 'id'

@@ -174,7 +174,8 @@ def duplicate_flag(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     for m in marks:
         full = full & (F.col(m) != "")
     rows = df.withColumns(dict(zip(marks, keys, strict=True))).withColumn("_alone", F.when(full, F.lit(-1)).otherwise(F.monotonically_increasing_id()))
-    again = rows.filter(full).groupBy(*marks).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumn("_alone", F.lit(-1).cast("bigint"))
+    # Counted by a condition, since a filter on the keys would move below them and compute them, similar names included, once more.
+    again = rows.groupBy(*marks).agg(F.count_if(full).alias("_n")).filter("_n > 1").withColumn("_alone", F.lit(-1).cast("bigint"))
     return rows.join(again, [*marks, "_alone"], "left").select(*[c_(c) for c in df.columns if c != name], F.when(F.col("_n").isNull(), "No").otherwise("Yes").alias(name))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, line_dedup, packing, quality, simhash_dedup, substring_dedup, toxicity, url_filter
+from . import conversation_repair, decontamination, exact_dedup, language_id, line_dedup, packing, quality, simhash_dedup, substring_dedup, toxicity, url_filter
 from .common import fold_of, table
+from .conversation_sql import SQL as CONVERSATION_SQL
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict:
@@ -73,7 +74,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_packing, op4_language_id, op5_decontamination, op6_quality, op7_exact_dedup, op8_line_dedup, op9_substring_dedup, op10_url_filter)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversations, conversation_repair.damaged(conversations))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_packing, op4_language_id, op5_decontamination, op6_quality, op7_exact_dedup, op8_line_dedup, op9_substring_dedup, op10_url_filter, op11_conversation_repair)}
 
 _GRAMS = """SELECT {id}, pos, array_to_string(list_slice(w, pos + 1, pos + 5), ' ') AS gram, n FROM (
           SELECT {id}, w, len(w) - 4 AS n, unnest(range(0, len(w) - 4)) AS pos FROM (
@@ -126,4 +132,5 @@ ORACLE_SQL = {
           FROM s LEFT JOIN r ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j WHERE rn = 1
     """,
+    "op11_conversation_repair": CONVERSATION_SQL,
 }

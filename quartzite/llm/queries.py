@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontamination, exact_dedup, language_id, line_dedup, packing, quality, simhash_dedup, substring_dedup, toxicity, url_filter
+from . import conversation_repair, decontamination, exact_dedup, language_id, line_dedup, packing, quality, simhash_dedup, substring_dedup, token_counts, toxicity, url_filter
 from .common import fold_of, table
 from .conversation_sql import SQL as CONVERSATION_SQL
 
@@ -79,7 +79,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(conversations, conversation_repair.damaged(conversations))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_packing, op4_language_id, op5_decontamination, op6_quality, op7_exact_dedup, op8_line_dedup, op9_substring_dedup, op10_url_filter, op11_conversation_repair)}
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_packing, op4_language_id, op5_decontamination, op6_quality, op7_exact_dedup, op8_line_dedup, op9_substring_dedup, op10_url_filter, op11_conversation_repair, op12_token_counts)}
 
 _GRAMS = """SELECT {id}, pos, array_to_string(list_slice(w, pos + 1, pos + 5), ' ') AS gram, n FROM (
           SELECT {id}, w, len(w) - 4 AS n, unnest(range(0, len(w) - 4)) AS pos FROM (

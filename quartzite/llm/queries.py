@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontamination, exact_dedup, language_id, line_dedup, packing, quality, simhash_dedup, substring_dedup, token_counts, toxicity, url_filter
+from . import conversation_repair, decontamination, exact_dedup, language_id, line_dedup, packing, quality, ranked_search, simhash_dedup, substring_dedup, token_counts, toxicity, url_filter
 from .common import fold_of, table
 from .conversation_sql import SQL as CONVERSATION_SQL
 
@@ -83,12 +83,18 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_packing, op4_language_id, op5_decontamination, op6_quality, op7_exact_dedup, op8_line_dedup, op9_substring_dedup, op10_url_filter, op11_conversation_repair, op12_token_counts)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_packing, op4_language_id, op5_decontamination, op6_quality, op7_exact_dedup, op8_line_dedup, op9_substring_dedup, op10_url_filter, op11_conversation_repair, op12_token_counts, op13_ranked_search)}
 
 _GRAMS = """SELECT {id}, pos, array_to_string(list_slice(w, pos + 1, pos + 5), ' ') AS gram, n FROM (
           SELECT {id}, w, len(w) - 4 AS n, unnest(range(0, len(w) - 4)) AS pos FROM (
             SELECT {id}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table}) a WHERE len(w) >= 5) b"""
 
+_TERMS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
 ORACLE_SQL = {
     # For items of five words or more, as all of the benchmark's are.
     "op5_decontamination": f"""
@@ -137,4 +143,16 @@ ORACLE_SQL = {
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j WHERE rn = 1
     """,
     "op11_conversation_repair": CONVERSATION_SQL,
+    "op13_ranked_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+        s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+        q AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark),
+        qt AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS term FROM q) x GROUP BY ALL),
+        t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) x WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+        f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term) x, s),
+        i AS (SELECT t.r, t.doc_id, t.term, f.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS score FROM t JOIN f ON t.term = f.term, s),
+        a AS (SELECT q, item_id, doc_id, r, sum(times * score)::BIGINT AS score FROM i JOIN qt ON i.term = qt.term GROUP BY ALL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM a WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 20
+    """,
 }

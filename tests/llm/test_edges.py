@@ -1,7 +1,9 @@
 """Cases that the other fixtures leave out: long runs of white space, repeated and null ids, clashing names, empty tables, hot keys, bounds."""
 
+import collections
 import json
 import math
+import time
 import zlib
 
 import corpus_pipeline
@@ -86,6 +88,49 @@ def test_radius_holds_similar_pairs():
     assert 12 < far <= decontamination.RADIUS
 
 
+def weighted_jaccard(a, b, k=5):
+    x, y = (collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for w in (a, b))
+    return (x & y).total() / (x | y).total()
+
+
+def test_leaks_with_repeated_shingles(spark):
+    """Texts of few words in turns, whose shingles repeat many times: all pairs of 0.8 or more are found."""
+    pairs = [("yes", "no"), ("a", "b"), ("left", "right"), ("0", "1"), ("tick", "tock"), ("on", "off")]
+    items = [[p[i % 2] for i in range(23)] for p in pairs]
+    texts = [[p[(i + 1) % 2] for i in range(23)] for p in pairs]
+    rng = np.random.default_rng(11)
+    for n in (24, 40, 90):
+        for turns in (2, 3, 5):
+            words = [f"w{n}x{turns}y{i}" for i in range(turns)]
+            for shift in (1, 2):
+                item = [words[i % turns] for i in range(n)]
+                text = [words[(i + shift) % turns] for i in range(n)]
+                text[int(rng.integers(n // 2))] = "other"
+                items.append(item)
+                texts.append(text)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    docs = frame(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])
+    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if weighted_jaccard(t, item) >= 0.8}
+    assert len(want) >= 10
+    for rows in (1_000_000, 1):
+        found = decontamination.contaminated(docs, bench, broadcast_rows=rows).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == want
+
+
+def test_bitmaps_are_linear(spark):
+    """Four times the lines take far less than sixteen times as long."""
+    took = []
+    for n in (20_000, 80_000):
+        text = "\n".join(f"line number {i} of {n}" if i % 70 else f"own line {i}" for i in range(n))
+        docs = frame(spark, [(1, text), (2, "\n".join(f"other {x}" if k % 200 == 0 else x for k, x in enumerate(text.split("\n"))))])
+        line_dedup.drop_lines(docs.limit(1)).count()
+        start = time.perf_counter()
+        got = {r.doc_id: r.text for r in line_dedup.drop_lines(docs).collect()}
+        took.append(time.perf_counter() - start)
+        assert got[1] == text and got[2] == "\n".join(f"other {x}" for x in text.split("\n")[::200])
+    assert took[1] < 8 * took[0]
+
+
 def test_repeated_and_null_ids(spark):
     passage = " ".join(vocabulary(50, 8))
     docs = frame(spark, [(1, passage), (1, f"x {passage}"), (None, "short"), (None, None)])

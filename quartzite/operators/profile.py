@@ -1,14 +1,13 @@
 """Profiling: counters, missing values, variance, sparsity, correlation, association, leakage, alerts, quality.
 
 All columns share a job: counters are one wide aggregate, value frequencies one shuffle over (column, value) pairs, quantiles running
-totals over distinct values, pairs of columns one aggregate. Only results of that size reach the driver.
+totals over distinct values, pairs of columns a blocked matrix of co-moments. Only results of that size reach the driver.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import strings as S
+from . import gram
 from .ranks import long_values, quantiles
 
 # Texts (upper case) and numbers that stand for a missing value.
@@ -185,13 +185,8 @@ def pearson(a: Column, b: Column) -> Column:
 
 
 def correlations(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.0) -> DataFrame:
-    """feature_1, feature_2, correlation, abs_correlation of all pairs, pairwise complete, from one aggregate."""
-    pairs = list(combinations(cols or numeric_columns(df), 2))
-    v = lambda c: c_(c).cast("double")
-    out = df.agg(*[pearson(v(a), v(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"r{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)]))
-    out = out.select(rows.alias("r")).select("r.*").withColumn("abs_correlation", F.abs("correlation"))
-    return out.filter(F.col("abs_correlation") >= threshold)
+    """feature_1, feature_2, correlation, abs_correlation of all pairs, pairwise complete, from one pass (:mod:`.gram`)."""
+    return gram.correlations(df, list(cols or numeric_columns(df)), threshold)
 
 
 def features_to_remove(high: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cleaning, entities, profiling, reports
+from . import cleaning, entities, profiling, reports, summaries
 
 FLAGSHIP = "entity_tags"
-_PARTS = (cleaning, entities, profiling, reports)
+_PARTS = (cleaning, entities, profiling, reports, summaries)
 
 
 def queries() -> dict:

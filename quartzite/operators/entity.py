@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import numbers as N
 from ..functions import strings as S
+from .heads import known_dates
 from .profile import fixed_types
 
 # The tags by priority.
@@ -117,28 +118,32 @@ def with_tin_stats(df: DataFrame, target: str = "is_fraud") -> DataFrame:
 
 
 def tin_summary(tags: DataFrame, rid: str = "rid", target: str = "is_fraud") -> DataFrame:
-    """Per TIN: statistics, fraud percent, its tags, first 3 legal names, 5 states, 5 cities.
+    """Per TIN: statistics, fraud percent, its tags, first 3 legal names, 5 states, 5 cities by first appearance.
 
-    All come from one table of the distinct values of each TIN, so the tags are computed once.
+    All come from one table of the distinct values of each TIN, which is shuffled by TIN, kind and value. Statistics are sums of it, which combine
+    before they are shuffled by TIN; the first values are a limit per TIN and kind that each task applies to its own values before it sends
+    them, so a TIN of any number of values sends a few from each task.
     """
     most = {"legal_name": 3, "state": 5, "city": 5}
     kinds = ("duplicate_tag", "mid", *most)
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = tags.filter(~blank("tin")).select("tin", rid, target, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), value(k).alias("value")) for k in kinds])).alias("x"))
     seen = rows.groupBy("tin", "x.kind", "x.value").agg(F.min(rid).alias("at"), F.count(F.lit(1)).alias("n"), F.sum(target).alias("fraud"), F.count(target).alias("known"))
-    seen = seen.repartition("tin").withColumn("rn", F.row_number().over(Window.partitionBy("tin", "kind").orderBy(F.col("value") == "", "at")))
     of = lambda k, c: F.when(F.col("kind") == k, F.col(c))
-    firsts = lambda k: F.array_sort(F.collect_list(F.when((F.col("kind") == k) & (F.col("rn") <= most[k]) & (F.col("value") != ""), F.struct("at", "value"))))
-    joined = lambda a: F.when(F.size(a) > 0, F.array_join(F.transform(a, lambda x: x["value"]), ", "))
-    out = seen.groupBy("tin").agg(
+    # Both sides ask for all columns of ``seen``, and neither filters it by kind, so that it is computed once and its exchange is used by both.
+    stats = seen.groupBy("tin").agg(
         F.sum(of("duplicate_tag", "n")).alias("record_count"),
-        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("mid", "state", "city")],
+        *[F.count(F.when(F.col("kind") == k, F.struct("at"))).alias(f"n_{k}") for k in ("mid", "state", "city")],
         F.coalesce(F.sum(of("duplicate_tag", "fraud")), F.lit(0)).cast("long").alias("fraud_count"),
         F.round(F.sum(of("duplicate_tag", "fraud")) / F.sum(of("duplicate_tag", "known")) * 100, 2).alias("fraud_pct"),
         F.array_join(F.array_sort(F.collect_set(of("duplicate_tag", "value"))), ", ").alias("tags"),
-        *[firsts(k).alias(k) for k in most],
     )
-    return out.withColumns({k: joined(F.col(k)) for k in most})
+    place = Window.partitionBy("tin", F.concat("kind", F.lit(" "))).orderBy(F.col("value") == "", "at", "n", "fraud", "known")
+    some = seen.withColumn("rn", F.row_number().over(place)).filter(F.col("rn") <= max(most.values()))
+    firsts = lambda k: F.array_sort(F.collect_list(F.when((F.col("kind") == k) & (F.col("rn") <= most[k]) & (F.col("value") != ""), F.struct("at", "value"))))
+    listed = some.groupBy("tin").agg(*[firsts(k).alias(k) for k in most])
+    joined = lambda a: F.when(F.size(a) > 0, F.array_join(F.transform(a, lambda x: x["value"]), ", "))
+    return stats.join(listed, "tin").withColumns({k: joined(F.col(k)) for k in most})
 
 
 def tag_counts(tags: DataFrame) -> DataFrame:
@@ -246,9 +251,11 @@ def loaded(source: DataFrame, rid: str = "rid", target: str = "is_fraud") -> Dat
     return keyed(tagged(normalized(source), rid, target, tin="_tin", mid="_mid"))
 
 
-def load_and_tag(source: DataFrame, rid: str = "rid", target: str = "is_fraud") -> DataFrame:
-    """Numbers that are dates are mended, keys normalized, rows tagged and given the statistics of their TIN."""
-    return with_tin_stats(loaded(fixed_types(source), rid, target), target)
+def load_and_tag(source: DataFrame, rid: str = "rid", target: str = "is_fraud", classify: bool = True) -> DataFrame:
+    """Types fixed, keys normalized, rows tagged, TIN statistics attached. Without ``classify`` no types are looked for: the known date columns
+    become dates where their first values are serial numbers, and timestamps are cut to the day."""
+    typed = fixed_types(source) if classify else fixed_types(known_dates(source, rid=rid), {})
+    return with_tin_stats(loaded(typed, rid, target), target)
 
 
 get_tin_summary = tin_summary

@@ -257,16 +257,15 @@ def leak_by_cardinality(df: DataFrame, outcome: str, cols: Sequence[str] | None
 def cramers_v_corrected(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pairwise V; a two-by-two table has Yates' correction."""
     cells = _cells(df, [a], b)
-    assoc = _association(cells)
-    grid = cells.groupBy("feature").agg(F.collect_list(F.struct("a", "b", "n")).alias("m"))  # four cells where it is used
-    out = assoc.join(grid, "feature")
-    get = lambda x, y: F.coalesce(F.get(F.filter("m", lambda e: (e["a"] == x) & (e["b"] == y))["n"], F.lit(0)), F.lit(0)).cast("double")
-    xs, ys = F.array_sort(F.array_distinct("m.a")), F.array_sort(F.array_distinct("m.b"))
-    n11, n12, n21, n22 = (get(F.get(xs, F.lit(i)), F.get(ys, F.lit(j))) for i in (0, 1) for j in (0, 1))
+    ends = cells.groupBy("feature").agg(F.min("a").alias("a1"), F.max("a").alias("a2"), F.min("b").alias("b1"), F.max("b").alias("b2"))
+    # The four corners of the table, which are all of it where they are used.
+    at = {f"n{i}{j}": F.coalesce(F.sum(F.when((F.col("a") == F.col(f"a{i}")) & (F.col("b") == F.col(f"b{j}")), F.col("n"))), F.lit(0)).cast("double") for i in (1, 2) for j in (1, 2)}
+    corners = cells.join(F.broadcast(ends), "feature").groupBy("feature").agg(*[e.alias(k) for k, e in at.items()])  # a row
+    out = _association(cells).join(corners, "feature")
+    n11, n12, n21, n22 = (F.col(k) for k in at)
     t = F.col("t").cast("double")
     yates = t * F.pow(F.greatest(F.lit(0.0), F.abs(n11 * n22 - n12 * n21) - t / 2), 2) / ((n11 + n12) * (n21 + n22) * (n11 + n21) * (n12 + n22))
-    two = (F.col("rows") == 2) & (F.col("cols") == 2)
-    chi2 = F.when(two, yates).otherwise(F.col("phi2") * t)
+    chi2 = F.when((F.col("rows") == 2) & (F.col("cols") == 2), yates).otherwise(F.col("phi2") * t)
     return out.select(F.col("t").alias("n"), chi2.alias("chi2"), F.when(F.least("rows", "cols") > 1, F.sqrt(chi2 / (t * (F.least("rows", "cols") - 1)))).otherwise(0.0).alias("v"))
 
 
@@ -537,10 +536,10 @@ def columns_of_type(types: dict[str, str], *kinds: str) -> list[str]:
 
 
 def fixed_types(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
-    """Numbers that are Excel serial dates become dates, timestamps are cut to the day; a new table, the input stays as it is."""
+    """Numbers that are Excel serial dates become dates, timestamps are cut to the day; a new table, the input stays as it is. ``types`` saves looking for types."""
     kinds = {f.name: f.dataType for f in df.schema}
-    counters = type_counters(df, list(types) if types else None).collect()
-    types = types or _types_of(df, counters, df.columns)
+    counters = [] if types == {} else type_counters(df, list(types) if types else None).collect()
+    types = _types_of(df, counters, df.columns) if types is None else types
     numbers = {c for c in columns_of_type(types, "datetime") if isinstance(kinds[c], T.NumericType)}
     serial = numbers & set(_serial_of(counters))
     out = []

@@ -1,7 +1,11 @@
-"""Running totals over sorted values and exact quantiles, spread over value ranges.
+"""Exact quantiles and running totals over sorted values, spread over value ranges of each key.
 
-Values are counted per distinct value first. Ranges cut by approximate quantiles hold about equally many rows; running totals within a
-range are added up by the totals of the ranges before it. So no task holds a whole column.
+A key with many rows has its values cut into ranges of about ``PER_RANGE`` rows by a sketch of its own, so that keys of different scales don't
+share ranges and no task holds a whole column. The cuts decide where the work is done, not the result.
+
+* :func:`quantiles` is a selection: rows are counted per range without a shuffle of values, the ranges that hold the wanted positions follow
+  from the counts, and only the values in these are counted and sorted.
+* :func:`running` needs all distinct values; totals within a range are added up by the totals of the ranges before it.
 """
 
 from __future__ import annotations
@@ -9,49 +13,99 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-RANGES = 256
+#: Rows of a range, about, and ranges of a key at most (a power of two).
+PER_RANGE, RANGES = 20_000, 1024
 
 
-def _halved(v: str, cuts: Sequence[float], first: int) -> str:
-    if not cuts:
-        return str(first)
-    m = len(cuts) // 2
-    return f"CASE WHEN {v} <= {cuts[m]!r}D THEN {_halved(v, cuts[:m], first)} ELSE {_halved(v, cuts[m + 1 :], first + m + 1)} END"
+def cuts_of(rows: DataFrame, keys: Sequence[str], value: str, per_range: int = PER_RANGE) -> list[Row]:
+    """``keys``, cuts of the keys with more than ``per_range`` rows, one job: the ranges' upper ends but the last, sorted.
 
+    All cuts together are no more than the rows divided by ``per_range``.
+    """
+    probs = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    sketched = rows.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), 1000).alias("sketch")).withColumn("rows", F.kll_sketch_get_n_double("sketch"))
+    steps = F.least(F.lit(RANGES), F.ceil(F.col("rows") / per_range)).cast("int")
+    step_of = lambda i: F.floor(i * steps / RANGES)
+    at = F.filter(F.kll_sketch_get_quantile_double("sketch", probs), lambda x, i: step_of(i + 1) > step_of(i))
+    found = sketched.filter(F.col("rows") > per_range).select(*keys, F.array_sort(F.array_distinct(at)).alias("cuts"))
+    return found.collect()
 
-def range_of(value: str, cuts: Sequence[float]) -> Column:
-    """Number of the range of column ``value``, by halving the sorted ``cuts``. One SQL text, since hundreds of Columns are slow to build."""
-    return F.expr(_halved(f"`{value}`", cuts, 0))
+
+def with_range(df: DataFrame, keys: Sequence[str], value: str, cuts: Sequence[Row]) -> DataFrame:
+    """``df`` with range, the number of its key's cuts below the value; 0 for keys without cuts."""
+    if not cuts:
+        return df.withColumn("range", F.lit(0))
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("cuts", T.ArrayType(T.DoubleType()))])
+    table = F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in cuts], schema))  # bounded: see cuts_of
+    # Halving: the lambda goes over the steps, not over the cuts; past the end of the cuts it stays where it is.
+    steps = F.array(*[F.lit(RANGES >> i) for i in range(1, RANGES.bit_length())])
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("cuts", at + step - 1) < F.col(value), at + step).otherwise(at))
+    return df.join(table, list(keys), "left").withColumn("range", F.when(F.col("cuts").isNull(), 0).otherwise(place)).drop("cuts")
 
 
-def running(counted: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
+def running(counted: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], per_range: int = PER_RANGE) -> DataFrame:
     """``counted`` (``keys``, ``value``; distinct) with ``<s>_upto`` and ``<s>_total``: each sum over the key's values up to this one, and over all.
 
-    ``rows`` has the values that ``counted`` was made from; approximate quantiles of all of them set the ranges, not the result.
+    ``rows`` has the values that ``counted`` was made from; a sketch of all of them sets the ranges, not the result.
     """
-    found = rows.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
-    cuts = sorted({float(c) for c in found if math.isfinite(c)})
-    ranged = counted.withColumn("range", range_of(value, cuts))
-    per_range = ranged.groupBy(*keys, "range").agg(*[F.sum(s).alias(s) for s in sums])
+    ranged = with_range(counted, keys, value, cuts_of(rows, keys, value, per_range))
+    per_range_ = ranged.groupBy(*keys, "range").agg(*[F.sum(s).alias(s) for s in sums])
     before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a key at most
-    base = per_range.select(*keys, "range", *[x for s in sums for x in (F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before"), F.sum(s).over(Window.partitionBy(*keys)).alias(f"{s}_total"))])
+    base = per_range_.select(*keys, "range", *[x for s in sums for x in (F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before"), F.sum(s).over(Window.partitionBy(*keys)).alias(f"{s}_total"))])
     own = Window.partitionBy(*keys, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = ranged.withColumns({f"{s}_upto": F.sum(s).over(own) for s in sums}).join(base, [*keys, "range"])
     return out.withColumns({f"{s}_upto": F.col(f"{s}_upto") + F.col(f"{s}_before") for s in sums}).drop("range", *[f"{s}_before" for s in sums])
 
 
-def quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], times: str | None = None) -> DataFrame:
+def _ends(n: int, probs: Sequence[float]) -> list[int]:
+    """The places, from 0, between which the quantiles of ``n`` values lie."""
+    return [k for p in probs for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))]
+
+
+def _selected(ranged: DataFrame, keys: Sequence[str], cuts: Sequence[Row], weight: Column, probs: Sequence[float]) -> DataFrame:
+    """Rows of keys without cuts, and those rows of the others whose range holds a wanted place; with the key's number of values in all and
+    those before the range (null for keys without cuts)."""
+    names = [tuple(r[k] for k in keys) for r in cuts]
+    schema = T.StructType([*[ranged.schema[k] for k in keys], T.StructField("large", T.BooleanType())])
+    large = F.broadcast(ranged.sparkSession.createDataFrame([(*k, True) for k in names], schema))
+    counts: dict[tuple, dict[int, int]] = {k: {} for k in names}
+    for r in ranged.join(large, list(keys)).groupBy(*keys, "range").agg(F.sum(weight).alias("_times")).collect():  # a row per range
+        counts[tuple(r[k] for k in keys)][r["range"]] = r["_times"]
+    wanted = []
+    for key, own in counts.items():
+        n, at = sum(own.values()), 0
+        places = _ends(n, probs)
+        for i in sorted(own):
+            if any(at <= p < at + own[i] for p in places):
+                wanted.append((*key, i, n, at))
+            at += own[i]
+    schema = T.StructType([*[ranged.schema[k] for k in keys], T.StructField("range", T.IntegerType()), T.StructField("n_all", T.LongType()), T.StructField("before", T.LongType())])
+    found = F.broadcast(ranged.sparkSession.createDataFrame(wanted, schema))
+    return ranged.join(large, list(keys), "left").join(found, [*keys, "range"], "left").filter("large is null or n_all is not null").drop("large")
+
+
+def quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], times: str | None = None, per_range: int = PER_RANGE) -> DataFrame:
     """``keys``, n, q: exact quantiles of ``value`` by linear interpolation, nulls left out. A row stands for as many as ``times`` says."""
     known = rows.filter(F.col(value).isNotNull())
-    counted = known.groupBy(*keys, value).agg((F.sum(times) if times else F.count(F.lit(1))).alias("k"))
-    run = running(counted, known, keys, value, ["k"])
-    placed = run.withColumnRenamed("k_total", "n")
+    weight = F.col(times) if times else F.lit(1)
+    cuts = cuts_of(known, keys, value, per_range)
+    ranged = with_range(known, keys, value, cuts)
+    if cuts:
+        some = _selected(ranged, keys, cuts, weight, probs)
+    else:
+        some = ranged.withColumns({"n_all": F.lit(None).cast("long"), "before": F.lit(None).cast("long")})
+    counted = some.groupBy(*keys, "range", "n_all", "before", value).agg(F.sum(weight).alias("_times"))
+    own = Window.partitionBy(*keys, "range")
+    upto = F.sum("_times").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.coalesce("before", F.lit(0))
+    placed = counted.withColumns({"_upto": upto, "n": F.coalesce("n_all", F.sum("_times").over(own))})
     at = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
-    # The value at a position is the least whose running total is above it.
-    ends = [x for i, a in enumerate(at) for x in (F.min(F.when(F.col("k_upto") > F.floor(a), F.col(value))).alias(f"lo{i}"), F.min(F.when(F.col("k_upto") > F.ceil(a), F.col(value))).alias(f"hi{i}"))]
+    # The value at a place is the least whose running total is above it; values before a wanted range are not there to be mistaken for it.
+    first = lambda place: F.min(F.when((F.col("_upto") > place) & (F.col("_upto") - F.col("_times") <= place), F.col(value)))
+    ends = [x for i, a in enumerate(at) for x in (first(F.floor(a)).alias(f"lo{i}"), first(F.ceil(a)).alias(f"hi{i}"))]
     out = placed.groupBy(*keys, "n").agg(*ends)
     between = lambda i, a: F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise((F.ceil(a) - a) * F.col(f"lo{i}") + (a - F.floor(a)) * F.col(f"hi{i}"))
     return out.select(*keys, "n", F.array(*[between(i, a) for i, a in enumerate(at)]).alias("q"))

@@ -7,8 +7,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import charts, gram, sketches
-from .cleaning import table
+from ..operators import charts, date_formats, gram, heads, sketches
+from .cleaning import contacts, table
+from .fixtures import DIRTY_CONTACTS
 from .profiling import each, rounded
 
 #: Columns with gaps of their own and a mean far above their spread.
@@ -55,7 +56,46 @@ def distinct_errors(spark: SparkSession, d: str) -> DataFrame:
 
 FREQUENT = ("l_returnflag", "l_quantity", "l_partkey", "l_orderkey")
 
+_DAY, _MONTH, _YEAR = (f"CAST({p}(o_orderdate) AS STRING)" for p in ("day", "month", "year"))
+#: Columns of dates in one format, in two, and of none.
+DATED = {
+    "iso": "CAST(CAST(o_orderdate AS DATE) AS STRING)", "stamped": "CAST(CAST(o_orderdate AS DATE) AS STRING) || ' 10:15:00'", "digits": "CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS STRING)",
+    "month_first": f"{_MONTH} || '/' || {_DAY} || '/' || {_YEAR}", "day_first": f"{_DAY} || '/' || {_MONTH} || '/' || {_YEAR}", "either": f"CAST(1 + o_orderkey % 12 AS STRING) || '-' || {_MONTH} || '-' || {_YEAR}",
+    "dotted": f"' ' || {_DAY} || '.' || {_MONTH} || '.' || {_YEAR} || ' '", "named": f"{_DAY} || '-Mar-' || {_YEAR}", "gaps": f"CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'Jan ' || {_DAY} || ', 2020' END",
+    "mixed": f"CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) ELSE {_MONTH} || '/' || {_DAY} || '/' || {_YEAR} END", "thirteen": f"'13/13/' || {_YEAR}", "words": "o_orderpriority", "nothing": "CAST(NULL AS STRING)",
+}
+_DATED = f"SELECT {', '.join(f'{e} AS {c}' for c, e in DATED.items())} FROM {{o}}"
+
+
+def formats(spark: SparkSession, d: str) -> DataFrame:
+    found = date_formats.date_formats(spark.sql(_DATED, o=table(spark, d, "orders")))
+    return found.withColumn("formats", F.array_join("formats", "; "))
+
+
+#: The formats in the other engine's letters.
+_STRPTIME = {"yyyy": "%Y", "MMM": "%b", "MM": "%m", "dd": "%d", "HH:mm:ss": "%H:%M:%S"}
+
+
+def _strptime(name: str) -> str:
+    for ours, theirs in _STRPTIME.items():
+        name = name.replace(ours, theirs)
+    return name
+
+
+def _formats_sql(c: str) -> str:
+    fits = [rf"bool_and(regexp_matches(v, '{shape}') AND try_strptime(v, '{_strptime(name)}') IS NOT NULL) AS f{i}" for i, (name, shape, _) in enumerate(date_formats.FORMATS)]
+    names = ", ".join(f"CASE WHEN f{i} THEN '{name}' END" for i, (name, _, _) in enumerate(date_formats.FORMATS))
+    place = {name: i for i, (name, _, _) in enumerate(date_formats.FORMATS)}
+    both = " OR ".join(f"coalesce(f{place[a]} AND f{place[b]}, false)" for a, b in date_formats.ORDERS)
+    return f"""SELECT '{c}' AS feature, n, array_to_string(names, '; ') AS formats, names[1] AS format, ambiguous FROM (
+      SELECT n, list_filter([{names}], lambda x: x IS NOT NULL) AS names, {both} AS ambiguous FROM (SELECT count(*) AS n, {', '.join(fits)} FROM (SELECT trim({c}) AS v FROM d WHERE trim({c}) <> '') x) y) z"""
+
+
+HEADS = ("lgl_nm", "phone", "zip", "state")
+
 QUERIES = {
+    "prof_date_formats": formats,
+    "prof_first_values": lambda s, d: heads.first_values(contacts(s, d), 7, HEADS),
     "chart_violin": lambda s, d: rounded(rounded(charts.violin(table(s, d, "orders"), "o_totalprice", "o_orderpriority"), 4, "mean", "median", "x"), 14, "density"),
     "chart_hexbin": lambda s, d: rounded(charts.hexbin(table(s, d, "lineitem"), "l_quantity", "l_extendedprice"), 6, "x", "y"),
     "corr_blocks": lambda s, d: rounded(gram.correlations(wide(s, d), list(WIDE)), 6, "correlation", "abs_correlation"),
@@ -65,6 +105,8 @@ QUERIES = {
 }
 
 SQL = {
+    "prof_date_formats": f"WITH d AS ({_DATED.format(o='orders')}) " + each(_formats_sql, DATED),
+    "prof_first_values": f"WITH c AS ({DIRTY_CONTACTS}) " + each(lambda c: f"SELECT * FROM (SELECT '{c}' AS feature, (row_number() OVER (ORDER BY rid))::INTEGER AS place, rid, {c} AS value FROM c WHERE {c} IS NOT NULL) x WHERE place <= 7", HEADS),
     "chart_violin": """
         WITH r AS (SELECT o_orderpriority AS category, o_totalprice::DOUBLE AS v FROM orders WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL),
         s AS (SELECT category, count(*) AS n, avg(v) AS mean, quantile_cont(v, 0.5) AS median, stddev_samp(v) AS std, min(v) AS lo, max(v) AS hi FROM r GROUP BY category ORDER BY n DESC, category LIMIT 10),

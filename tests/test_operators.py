@@ -1,6 +1,7 @@
 import json
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,34 @@ def test_quantiles_are_exact(spark):
     assert ranks.quantiles(df.limit(0), ["g"], "v", steps).count() == 0
 
 
+def test_quantiles_over_ranges(spark):
+    """Many ranges a key, of columns of all scales, with weights, ties across cuts and NaN: as a plain sort gives."""
+    rng = np.random.default_rng(8)
+    columns = {"big": rng.normal(1e9, 1e7, 4000), "small": rng.normal(0, 1e-6, 4000), "ties": rng.integers(0, 4, 4000).astype(float), "few": rng.normal(0, 1, 30), "tail": rng.pareto(0.4, 4000)}
+    rows = [(k, float(v), i % 3) for k, x in columns.items() for i, v in enumerate(x)] + [("few", None, 1)]
+    df = spark.createDataFrame(rows, "k string, v double, t int").repartition(6)
+    steps = [0.0, 0.003, 0.25, 0.5, 0.77, 1.0]
+    for times in (None, "t"):
+        got = {r.k: (r.n, r.q) for r in ranks.quantiles(df, ["k"], "v", steps, times, per_range=50).collect()}
+        for k, x in columns.items():
+            whole = np.repeat(x, [i % 3 for i in range(len(x))]) if times else x
+            assert got[k][0] == len(whole) and got[k][1] == pytest.approx(np.quantile(whole, steps).tolist(), rel=1e-12)
+    counted = df.filter("v is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    for r in ranks.running(counted, df.filter("v is not null"), ["k"], "v", ["n"], per_range=50).collect():
+        assert (r.n_upto, r.n_total) == ((columns[r.k] <= r.v).sum(), len(columns[r.k]))
+
+
+def test_every_column_has_ranges_of_its_own(spark):
+    """300 columns of scales from 1e-10 to 1e10: each is cut into many ranges of about the same size."""
+    df = spark.range(0, 3000, 1, 4).select(*[(F.pow(F.lit(10.0), k % 21 - 10) * (F.col("id") * 7919 % 3001)).alias(f"c{k}") for k in range(300)])
+    long = ranks.long_values(df, {c: F.col(c) for c in df.columns})
+    cuts = ranks.cuts_of(long, ["feature"], "v", per_range=100)
+    assert len(cuts) == 300 and all(25 <= len(r.cuts) < 31 for r in cuts)
+    sizes = ranks.with_range(long, ["feature"], "v", cuts).groupBy("feature", "range").count()
+    least, most = sizes.agg(F.min("count"), F.max("count")).first()
+    assert sizes.count() >= 300 * 26 and 40 < least and most < 200
+
+
 def test_alerts_on_formats(spark):
     df = spark.createDataFrame([("212-555-0000", "2024-01-01", "Yes", "abc"), ("2125550000", "Jan 1 2024", "yes", "DEF"), ("x", "2024-01-02", "no", "g")], "phone string, open_date string, answer string, other string")
     found = {(r.feature, r.severity, r.value) for r in profile.alerts(df).collect() if r.alert_type == "FORMAT INCONSISTENCY"}

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .xlsx import read_xlsx, write_xlsx
+
 # Texts that a CSV scan reads as null.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -47,11 +49,9 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True, schema: st
     return df.select(*out)
 
 
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet, through pandas on the driver; needs an Excel package for pandas."""
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_excel(path))
+def read_excel(spark: SparkSession, path: str, sheet: int = 0) -> DataFrame:
+    """A sheet of one or more .xlsx files, the first by default; the usual NA texts are null. See :func:`quartzite.sources.xlsx.read_xlsx`."""
+    return read_xlsx(spark, path, sheet, NA_TOKENS)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, default: str | None = None) -> DataFrame:
@@ -73,11 +73,8 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
 
 
 def write_excel(df: DataFrame, path: str, sheet: str = "Cleaned_Data", max_rows: int = 1_000_000) -> None:
-    """One sheet, through pandas; refuses what no sheet holds."""
-    rows = df.limit(max_rows + 1).toPandas()
-    if len(rows) > max_rows:
-        raise ValueError(f"a sheet holds {max_rows} rows at most")
-    rows.to_excel(path, sheet_name=sheet, index=False)
+    """One file with one sheet; refuses what no sheet holds. See :func:`quartzite.sources.xlsx.write_xlsx`."""
+    write_xlsx(df, path, sheet, max_rows)
 
 
 def display_columns(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from ..functions import dates as D
 from ..functions import numbers as N
 from .profile import feature_types
 from .ranks import long_values, quantiles, running
-from .sampling import draws
-from .stats_math import chi2_sf, ks_sf
+from .sampling import draws, strata_counts
+from .stats_math import chi2_sf, ks_exact_sf, ks_sf
 
 FLOOR = 1e-6
 
@@ -111,10 +112,19 @@ def ks_statistic(pool: DataFrame, sample: DataFrame, col: str) -> DataFrame:
     return ks_statistics(pool, sample, [col]).drop("col_name")
 
 
-def ks_test(pool: DataFrame, sample: DataFrame, col: str) -> tuple[float, float]:
-    """(statistic, asymptotic p-value)."""
+#: Up to so many values on both sides the p-value of a KS statistic is exact.
+EXACT_ROWS = 10_000
+
+
+def ks_p_value(d: float, n: int, m: int, exact_rows: int = EXACT_ROWS) -> tuple[float, str]:
+    """(p-value, exact or asymptotic)."""
+    return (ks_exact_sf(d, n, m), "exact") if max(n, m) <= exact_rows else (ks_sf(d, n, m), "asymptotic")
+
+
+def ks_test(pool: DataFrame, sample: DataFrame, col: str, exact_rows: int = EXACT_ROWS) -> tuple[float, float]:
+    """(statistic, p-value)."""
     r = ks_statistic(pool, sample, col).first()
-    return (r.ks, ks_sf(r.ks, r.n, r.m)) if r.ks is not None else (float("nan"), float("nan"))
+    return (r.ks, ks_p_value(r.ks, r.n, r.m, exact_rows)[0]) if r.ks is not None else (float("nan"), float("nan"))
 
 
 def chi2_statistic(pool: DataFrame, sample: DataFrame, key: Column, pool_rows: int | None = None, sample_rows: int | None = None) -> DataFrame:
@@ -180,8 +190,8 @@ def category_tests(pool: DataFrame, sample: DataFrame, keys: dict[str, Column],
     return out.select("feature", F.when((F.col("k") >= 2) & (~dated | (F.col("least") >= 10)), F.col("psi")).alias("psi"), "chi2", (F.col("k") - 1).cast("int").alias("dof"))
 
 
-def drift_table(pool: DataFrame, sample: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (), dates: Sequence[str] = ()) -> DataFrame:
-    """Feature, type, psi, stat, p_value, sig, test, verdict. One row per feature, dates two (quarter, weekday).
+def drift_table(pool: DataFrame, sample: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (), dates: Sequence[str] = (), exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """Feature, type, psi, stat, p_value, sig, test, verdict, p_method (exact or asymptotic). One row per feature, dates two (quarter, weekday).
 
     The number of jobs does not depend on the number of features.
     """
@@ -189,7 +199,7 @@ def drift_table(pool: DataFrame, sample: DataFrame, numeric: Sequence[str] = (),
     if numeric:
         psi = {r.col_name: r.psi for r in psi_numeric(pool, sample, numeric).collect()}
         ks = {r.col_name: r for r in ks_statistics(pool, sample, numeric).collect()}
-        stat = lambda r: (r.ks, ks_sf(r.ks, r.n, r.m)) if r is not None and r.ks is not None else (nan, nan)
+        stat = lambda r: (r.ks, *ks_p_value(r.ks, r.n, r.m, exact_rows)) if r is not None and r.ks is not None else (nan, nan, None)
         rows += [(c, "numeric", psi[c], *stat(ks.get(c)), "KS") for c in numeric]
     bins = {f"{c} ({name})": at(_c(c)) for c in dates for name, at in (("quarter", D.quarter), ("weekday", D.weekday))}
     keys = {c: _c(c) for c in categorical} | bins
@@ -198,11 +208,11 @@ def drift_table(pool: DataFrame, sample: DataFrame, numeric: Sequence[str] = (),
         found = {r.feature: r for r in category_tests(pool, sample, keys, list(bins), *n).collect()}
         for c in keys:
             r = found.get(c)
-            test = (r.chi2, chi2_sf(r.chi2, r.dof)) if r is not None and r.chi2 is not None and r.dof else (nan, nan)
+            test = (r.chi2, chi2_sf(r.chi2, r.dof), "asymptotic") if r is not None and r.chi2 is not None and r.dof else (nan, nan, None)
             rows.append((c, "datetime" if c in bins else "categorical", r.psi if r is not None else None, *test, "Chi-square"))
-    out = pool.sparkSession.createDataFrame(rows, "feature string, type string, psi double, stat double, p_value double, test string")
+    out = pool.sparkSession.createDataFrame(rows, "feature string, type string, psi double, stat double, p_value double, p_method string, test string")
     keep = lambda c, places: F.round(F.when(~F.isnan(c), F.col(c)), places).alias(c)
-    return out.select("feature", "type", keep("psi", 4), keep("stat", 4), keep("p_value", 4), N.significance(F.when(~F.isnan("p_value"), F.col("p_value"))).alias("sig"), "test", N.psi_verdict(F.col("psi")).alias("verdict"))
+    return out.select("feature", "type", keep("psi", 4), keep("stat", 4), keep("p_value", 4), N.significance(F.when(~F.isnan("p_value"), F.col("p_value"))).alias("sig"), "test", N.psi_verdict(F.col("psi")).alias("verdict"), "p_method")
 
 
 def top_psi(table: DataFrame, most: int = 30) -> DataFrame:
@@ -293,18 +303,28 @@ def stable_seed(pool: DataFrame, reference: DataFrame, sizes: dict, columns: dic
     """
     numeric, outcome = list(columns.get("numeric", ())), list(columns.get("outcome", ()))
     categorical, dates = [*columns.get("categorical", ()), *outcome], list(columns.get("dates", ()))
-    edges = bin_edges(reference, numeric) if numeric else None
-    best = (first, float("inf"), False)
-    for start in range(first, first + seeds, batch):
-        group = range(start, min(start + batch, first + seeds))
-        found = psi_of_draws(reference, draws(pool, sizes, group, target, rid), group, numeric, categorical, dates, edges).collect()
-        for seed in group:
-            value, ok = _stability([(r.feature, r.psi) for r in found if r.seed == seed], outcome)
-            if value < best[1]:
-                best = (seed, value, ok)
-            if ok:
-                return best
-    return best
+    compared = list(dict.fromkeys([*numeric, *categorical, *dates]))
+    narrow = lambda df, *more: df.select(*[_c(c) for c in dict.fromkeys([*more, *compared])]).persist(StorageLevel.MEMORY_AND_DISK)
+    # All batches read the same two tables of the compared columns, which are computed once and kept for the search.
+    kept = [narrow(pool, rid, target)]
+    kept.append(kept[0] if reference is pool else narrow(reference))
+    try:
+        edges = bin_edges(kept[1], numeric) if numeric else None
+        counts = strata_counts(kept[0], sizes, target)
+        best = (first, float("inf"), False)
+        for start in range(first, first + seeds, batch):
+            group = range(start, min(start + batch, first + seeds))
+            found = psi_of_draws(kept[1], draws(kept[0], sizes, group, target, rid, counts), group, numeric, categorical, dates, edges).collect()
+            for seed in group:
+                value, ok = _stability([(r.feature, r.psi) for r in found if r.seed == seed], outcome)
+                if value < best[1]:
+                    best = (seed, value, ok)
+                if ok:
+                    return best
+        return best
+    finally:
+        for df in kept:
+            df.unpersist()
 
 
 def rate_by_bin(df: DataFrame, bin_: Column, bins: Sequence, target: str) -> DataFrame:

@@ -30,14 +30,19 @@ def stratified(pool: DataFrame, sizes: dict, target: str = "is_fraud", rid: str
     return draws(pool, sizes, [seed], target, rid).drop("seed")
 
 
-def draws(pool: DataFrame, sizes: dict, seeds: Sequence[int], target: str = "is_fraud", rid: str = "rid") -> DataFrame:
-    """The stratified sample of every seed, with its ``seed``, from one pass over ``pool``.
+def strata_counts(pool: DataFrame, sizes: dict, target: str = "is_fraud") -> dict:
+    """Rows of each stratum of ``sizes``."""
+    return {r[0]: r.n for r in pool.filter(F.col(target).isin(list(sizes))).groupBy(target).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def draws(pool: DataFrame, sizes: dict, seeds: Sequence[int], target: str = "is_fraud", rid: str = "rid", counts: dict | None = None) -> DataFrame:
+    """The stratified sample of every seed, with its ``seed``, from one pass over ``pool``; ``counts`` saves counting the strata.
 
     A key's first 32 bits are a uniform number. Only rows below a bound that leaves a little more than the wanted rows are ranked, so no
     stratum meets in one task, whatever its size. The bound is tested by a count; where rows of equal ids leave too few, it is lifted.
     """
     sizes = {v: int(k) for v, k in sizes.items()}
-    n = {r[0]: r.n for r in pool.filter(F.col(target).isin(list(sizes))).groupBy(target).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = strata_counts(pool, sizes, target) if counts is None else counts
     want = {v: min(k, n.get(v, 0)) for v, k in sizes.items()}
     bound = {v: min(1.0, (k + 8 * k**0.5 + 32) / max(1, n.get(v, 0))) for v, k in want.items()}
     # The seed is a column here; the key is that of rank_key.

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cleaning, entities, profiling, reports, summaries
+from . import analyses, cleaning, entities, profiling, reports, summaries
 
 FLAGSHIP = "entity_tags"
-_PARTS = (cleaning, entities, profiling, reports, summaries)
+_PARTS = (cleaning, entities, profiling, reports, summaries, analyses)
 
 
 def queries() -> dict:

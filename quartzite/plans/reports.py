@@ -74,7 +74,7 @@ def stable_seed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drift_stats(spark: SparkSession, d: str) -> DataFrame:
-    return E.drift_table(spark, d).drop("p_value", "sig")
+    return E.drift_table(spark, d).drop("p_value", "sig", "p_method")
 
 
 def leak_cardinality(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
+import math
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -96,6 +98,52 @@ def test_p_values():
     assert stats_math.chi2_sf(0, 4) == 1.0
 
 
+def paths_beyond(d, n, m):
+    """The exact p-value by counting all paths."""
+    @lru_cache(None)
+    def inside(i, j):
+        if abs(i / n - j / m) >= d - 1e-12:
+            return 0
+        return 1 if i == j == 0 else (inside(i - 1, j) if i else 0) + (inside(i, j - 1) if j else 0)
+
+    return 1 - inside(n, m) / math.comb(n + m, n)
+
+
+def test_exact_p_values():
+    """Against a count of all paths, tables of critical values, and the asymptotic value for many rows."""
+    for n, m in ((1, 1), (3, 5), (6, 6), (7, 12), (10, 4), (1, 9)):
+        for k in range(1, n * m + 1):
+            d = k / (n * m)
+            if any(abs(d - abs(i / n - j / m)) < 1e-12 for i in range(n + 1) for j in range(m + 1)):
+                assert stats_math.ks_exact_sf(d, n, m) == pytest.approx(paths_beyond(d, n, m), abs=1e-11)
+    for n, d, p in ((4, 1.0, 0.02857), (5, 0.8, 0.07937), (10, 0.7, 0.01234), (20, 0.45, 0.03354)):  # equal sizes, as tabulated
+        assert stats_math.ks_exact_sf(d, n, n) == pytest.approx(p, abs=6e-6)
+    assert stats_math.ks_exact_sf(0.0, 5, 5) == 1.0 and stats_math.ks_exact_sf(1.0, 1, 1) == 1.0
+    assert stats_math.ks_exact_sf(0.022, 9000, 8000) == pytest.approx(stats_math.ks_sf(0.022, 9000, 8000), rel=0.05)
+
+
+def test_drift_table_names_its_method(spark):
+    a = spark.range(300).select((F.col("id") % 41).cast("double").alias("v"))
+    b = a.filter("v > 3")
+    rows = [drift.drift_table(a, b, ["v"], exact_rows=limit).first() for limit in (10_000, 10)]
+    assert [r.p_method for r in rows] == ["exact", "asymptotic"] and rows[0].stat == rows[1].stat and 0 < abs(rows[0].p_value - rows[1].p_value) < 0.1
+
+
+def test_seed_search_reads_its_pool_once(spark):
+    """The pool is computed once for all batches of seeds, and nothing stays cached."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    pool = spark.range(3000, numPartitions=3).select(F.col("id").alias("rid"), (F.col("id") % 10 == 0).cast("int").alias("is_fraud"), (F.col("id") % 7).cast("string").alias("c"), F.lit("wide").alias("more")).mapInArrow(count, "rid long, is_fraud int, c string, more string")
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    found = drift.stable_seed(pool, pool, {1: 5, 0: 12}, {"categorical": ["c"]}, seeds=6, batch=2)
+    assert seen.value == 3000 and found[1] > 0 and len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
 def test_types(spark):
     df = spark.createDataFrame([(i, i % 2, "x" if i % 2 else "y", float(i) / 7, f"2024-01-{i % 28 + 1:02d}", None) for i in range(100)], "user_id int, flag int, kind string, v double, day string, none string")
     assert profile.feature_types(df) == {"user_id": "id", "flag": "binary", "kind": "binary", "v": "numeric", "day": "datetime", "none": "unknown"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -36,8 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Folders stored while a :func:`settled` result is built, innermost last.
-_building: list[list[str]] = []
+class _Building(threading.local):
+    """Folders stored while a :func:`settled` result is built, innermost last; each thread has its own, so queries at the same time keep apart."""
+
+    def __init__(self):
+        self.folders: list[list[str]] = []
+
+
+_building = _Building()
 
 
 def _folder(spark: SparkSession, path: str):
@@ -55,8 +62,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     files, where = _folder(spark, path)
     files.deleteOnExit(where)
-    if _building:
-        _building[-1].append(path)
+    if _building.folders:
+        _building.folders[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,16 +75,16 @@ def discard(spark: SparkSession, path: str) -> None:
 def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
     """``build()``, stored; all that was stored while it was built is deleted."""
     mine: list[str] = []
-    _building.append(mine)
+    _building.folders.append(mine)
     try:
         out = stored(build(), name)
     finally:
-        _building.pop()
+        _building.folders.pop()
     path = mine.pop()
     for p in mine:
         discard(out.sparkSession, p)
-    if _building:
-        _building[-1].append(path)
+    if _building.folders:
+        _building.folders[-1].append(path)
     return out
 
 

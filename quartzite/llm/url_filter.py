@@ -101,7 +101,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     """page_id, host, path, rule (null if none fits), verdict of every row of ``pages``; ``rules`` has verdict, host, path.
 
     A null url or one without ``://`` has an empty host and path. A path fits if it starts with the rule's. The longest rule (host and path
-    together) wins. Rules with a null or empty host are ignored, a null path counts as empty. Repeated rows each give a row; an empty table gives none.
+    together) wins, of two of equal length that of the outer host. Rules with a null or empty host are ignored, a null path counts as empty. Repeated rows each give a row; an empty table gives none.
     """
     urls = _judged(pages, id_col, url_col)
     listed = rules.select("verdict", ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).filter("host <> ''")

@@ -3,8 +3,11 @@
 import collections
 import json
 import math
+import os
+import threading
 import time
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import corpus_pipeline
 import numpy as np
@@ -269,3 +272,21 @@ def test_scores_against_plain_code(taught, spark):
         s = sum(scores)
         f = [1, math.log1p(s), max(scores, default=0), math.log1p(len(scores)), math.log1p(100 * s / (n + 20)), bool(scores)]
         assert got[i].score == pytest.approx(sig(float(np.dot(f, m["beta"])))), t
+
+
+def test_threads_keep_their_files(spark):
+    """Two results built at the same time delete their own intermediate files only."""
+    gate = threading.Barrier(2, timeout=60)
+
+    def build(name):
+        def inner():
+            kept = common.stored(spark.range(7).toDF("x"), f"{name}-inner")
+            gate.wait()
+            return kept.filter("x > 1")
+
+        return common.settled(inner, f"{name}-end")
+
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(build, ("left", "right")))
+    names = os.listdir(common.shared_dir(spark).removeprefix("file://"))
+    assert [f.count() for f in found] == [5, 5] and not [n for n in names if "-inner-" in n]

@@ -53,6 +53,11 @@ def c_(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def num_(name: str) -> Column:
+    """The column as double; NaN counts as missing."""
+    return F.nanvl(c_(name).cast("double"), F.lit(None).cast("double"))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
 
@@ -116,7 +121,7 @@ def nulled_special(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
 
 def variance(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.01) -> DataFrame:
     """feature, variance, std_dev, value_range, severity, status (constant, low, normal)."""
-    v = lambda c: c_(c).cast("double")
+    v = lambda c: num_(c)
     out = _rows(df, {c: {"variance": F.var_samp(v(c)), "std_dev": F.stddev_samp(v(c)), "value_range": F.max(v(c)) - F.min(v(c))} for c in cols or numeric_columns(df)})
     out = out.withColumn("severity", N.variance_severity(F.col("variance"), threshold))
     return out.withColumn("status", F.when(F.col("variance") == 0, "constant").when(F.col("variance") < threshold, "low").otherwise("normal"))
@@ -134,7 +139,7 @@ def sparse_categories(df: DataFrame, cols: Sequence[str] | None = None, threshol
 def describe(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """feature, n, mean, std, min, q1, median, q3, max; quantiles exact with linear interpolation unless ``approximate``."""
     cols = list(cols or numeric_columns(df))
-    v = {c: c_(c).cast("double") for c in cols}
+    v = {c: num_(c) for c in cols}
     steps = [0.25, 0.5, 0.75]
     per = {c: {"n": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)} | ({"q": F.percentile_approx(x, steps, 10_000)} if approximate else {}) for c, x in v.items()}
     out = _rows(df, per)
@@ -155,13 +160,13 @@ def adjusted_skew(v: Column) -> Column:
 
 
 def skewness(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    return _rows(df, {c: {"skew": adjusted_skew(c_(c).cast("double"))} for c in cols or numeric_columns(df)})
+    return _rows(df, {c: {"skew": adjusted_skew(num_(c))} for c in cols or numeric_columns(df)})
 
 
 def outliers(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """feature, n, outliers beyond three standard deviations, pct, severity; two jobs."""
     cols = list(cols or numeric_columns(df))
-    v = {c: c_(c).cast("double") for c in cols}
+    v = {c: num_(c) for c in cols}
     m = df.agg(*[x for i, c in enumerate(cols) for x in (F.avg(v[c]).alias(f"m{i}"), F.stddev_samp(v[c]).alias(f"s{i}"))]).first()
     per = {}
     for i, c in enumerate(cols):
@@ -315,8 +320,8 @@ def leak_determinism(df: DataFrame, id_col: str, outcome: str) -> DataFrame:
 
 def group_stats(df: DataFrame, number: str, category: str, top: int = 10) -> DataFrame:
     """category, n, mean, median of the ``top`` most frequent categories."""
-    d = df.filter(c_(number).isNotNull() & c_(category).isNotNull())
-    d = d.select(c_(category).cast("string").alias("category"), c_(number).cast("double").alias("v"))
+    d = df.filter(num_(number).isNotNull() & c_(category).isNotNull())
+    d = d.select(c_(category).cast("string").alias("category"), num_(number).alias("v"))
     out = d.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")).orderBy(F.desc("n"), "category").limit(top)
     median = quantiles(d.join(F.broadcast(out.select("category")), "category"), ["category"], "v", [0.5])  # ``top`` rows
     return out.join(median.select("category", F.get("q", F.lit(0)).alias("median")), "category")
@@ -324,13 +329,13 @@ def group_stats(df: DataFrame, number: str, category: str, top: int = 10) -> Dat
 
 def trend(df: DataFrame, x: str, y: str) -> DataFrame:
     """Least-squares line of y over x."""
-    a, b = c_(x).cast("double"), c_(y).cast("double")
+    a, b = num_(x), num_(y)
     return df.agg(F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.regr_count(b, a).alias("n"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     """bin, n over equal widths between the least and the greatest value, the last bin closed."""
-    v = c_(col).cast("double")
+    v = num_(col)
     span = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0).cast("int")
     return df.filter(v.isNotNull()).join(F.broadcast(span)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -338,14 +343,14 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 
 def box_stats(df: DataFrame, number: str, category: str) -> DataFrame:
     """Quartiles and whisker fences by category, as a box plot needs them."""
-    rows = df.filter(c_(category).isNotNull()).select(c_(category).cast("string").alias("category"), c_(number).cast("double").alias("v"))
+    rows = df.filter(c_(category).isNotNull()).select(c_(category).cast("string").alias("category"), num_(number).alias("v"))
     out = rows.groupBy("category").agg(F.min("v").alias("min"), F.max("v").alias("max")).join(quantiles(rows, ["category"], "v", [0.25, 0.5, 0.75]), "category", "left")
     return out.select("category", "min", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"), "max")
 
 
 def grid_counts(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     """x_bin, y_bin, n of a two-dimensional histogram."""
-    a, b = c_(x).cast("double"), c_(y).cast("double")
+    a, b = num_(x), num_(y)
     span = df.agg(F.min(a).alias("xl"), F.max(a).alias("xh"), F.min(b).alias("yl"), F.max(b).alias("yh"))
     at = lambda v, lo, hi: F.when(F.col(hi) > F.col(lo), F.least(F.lit(bins - 1), F.floor((v - F.col(lo)) / (F.col(hi) - F.col(lo)) * bins))).otherwise(0).cast("int")
     return df.filter(a.isNotNull() & b.isNotNull()).join(F.broadcast(span)).groupBy(at(a, "xl", "xh").alias("x_bin"), at(b, "yl", "yh").alias("y_bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -27,12 +27,20 @@ def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.withColumn("_rid", F.col(key).cast("long") if key else F.monotonically_increasing_id())
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True, schema: str | T.StructType | None = None) -> DataFrame:
+def breaks_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some line of the files has an odd number of quotes, so that a value may go on in the next."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None, schema: str | T.StructType | None = None) -> DataFrame:
     """Header row, types inferred over the whole file, the usual NA texts as null.
 
-    Files whose values hold no line breaks are read in splits with ``multi_line=False``; else a file is one task. A ``schema`` saves the
-    inferring scan; what doesn't fit it is null.
+    Where values hold line breaks a file is one task's, else it is read in splits. Unless ``multi_line`` says which, a scan decides: a
+    value with a line break leaves lines with an odd number of quotes. A ``schema`` saves the inferring scan; what doesn't fit it is null.
     """
+    if multi_line is None:
+        multi_line = breaks_lines(spark, path)
     df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     df = df.select(*[F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
     if schema is not None:

@@ -46,6 +46,22 @@ def test_csv_by_schema(spark, df, tmp_path):
     assert dict(back.dtypes) == {"x": "double", "i": "bigint", "t": "int"}
 
 
+def test_csv_is_split_where_it_can_be(spark, tmp_path):
+    """A scan finds files whose values hold line breaks; all others are read in splits."""
+    (tmp_path / "plain.csv").write_text("i,t\n" + "".join(f'{i},"a ""{i}"", b"\n' for i in range(40_000)))
+    (tmp_path / "broken.csv").write_text('i,t\n1,"a\nb"\n2,"c ""\n""d"\n3,plain\n')
+    assert not io.breaks_lines(spark, f"{tmp_path}/plain.csv") and io.breaks_lines(spark, f"{tmp_path}/broken.csv")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        plain = io.read_csv(spark, f"{tmp_path}/plain.csv")
+        assert plain.rdd.getNumPartitions() > 4
+        assert plain.agg(F.count("*"), F.sum("i"), F.count_if(F.col("t") == F.concat(F.lit('a "'), F.col("i").cast("string"), F.lit('", b')))).first()[:] == (40_000, sum(range(40_000)), 40_000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [tuple(r) for r in io.read_csv(spark, f"{tmp_path}/broken.csv").orderBy("i").collect()] == [(1, "a\nb"), (2, 'c "\n"d'), (3, "plain")]
+
+
 def test_no_path(spark):
     with pytest.raises(ValueError, match="no path"):
         io.read_table(spark, None)

@@ -144,6 +144,16 @@ def test_seed_search_reads_its_pool_once(spark):
     assert seen.value == 3000 and found[1] > 0 and len(spark.sparkContext._jsc.getPersistentRDDs()) == before
 
 
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(float(i), i % 2) for i in range(20)] + [(math.nan, 0), (None, 1)], "v double, g int").withColumn("h", F.col("g").cast("string"))
+    d = profile.describe(df, ["v"]).first()
+    assert (d.n, d.mean, d.max, d.q3) == (20, 9.5, 19.0, 14.25) and profile.describe(df, ["v"], approximate=True).first().n == 20
+    assert profile.variance(df, ["v"]).first().value_range == 19 and not math.isnan(profile.skewness(df, ["v"]).first().skew)
+    assert profile.outliers(df, ["v"]).first().n == 20 and sum(r.n for r in profile.histogram(df, "v", 4).collect()) == 20
+    assert {r.category: (r.min, r.max) for r in profile.box_stats(df, "v", "h").collect()} == {"0": (0.0, 18.0), "1": (1.0, 19.0)}
+    assert {r.category: r.n for r in profile.group_stats(df, "v", "h").collect()} == {"0": 10, "1": 10} and profile.trend(df, "v", "g").first().n == 20
+
+
 def test_types(spark):
     df = spark.createDataFrame([(i, i % 2, "x" if i % 2 else "y", float(i) / 7, f"2024-01-{i % 28 + 1:02d}", None) for i in range(100)], "user_id int, flag int, kind string, v double, day string, none string")
     assert profile.feature_types(df) == {"user_id": "id", "flag": "binary", "kind": "binary", "v": "numeric", "day": "datetime", "none": "unknown"}

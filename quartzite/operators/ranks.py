@@ -11,40 +11,69 @@ share ranges and no task holds a whole column. The cuts decide where the work is
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of a range, about, and ranges of a key at most (a power of two).
-PER_RANGE, RANGES = 20_000, 1024
+#: Rows of a range, about, and ranges of a key at most; cuts of all keys that go into one expression.
+PER_RANGE, RANGES = 1_000_000, 2048
+MOST_CASES = 2_000
 
 
 def cuts_of(rows: DataFrame, keys: Sequence[str], value: str, per_range: int = PER_RANGE) -> list[Row]:
     """``keys``, cuts of the keys with more than ``per_range`` rows, one job: the ranges' upper ends but the last, sorted.
 
-    All cuts together are no more than the rows divided by ``per_range``.
+    All cuts together are no more than the rows divided by ``per_range``. Large ranges are cut by a sketch of a share of the rows.
     """
     probs = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    sketched = rows.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), 1000).alias("sketch")).withColumn("rows", F.kll_sketch_get_n_double("sketch"))
+    v = F.col(value).cast("double")
+    share = min(1.0, 50_000 / per_range)
+    some = rows.select(*keys, v.alias("_v"), (F.when(F.rand(7) < share, v) if share < 1 else v).alias("_some"))
+    sketched = some.groupBy(*keys).agg(F.count("_v").alias("rows"), F.kll_sketch_agg_double("_some", 4000).alias("sketch")).filter(F.col("rows") > per_range)
     steps = F.least(F.lit(RANGES), F.ceil(F.col("rows") / per_range)).cast("int")
     step_of = lambda i: F.floor(i * steps / RANGES)
-    at = F.filter(F.kll_sketch_get_quantile_double("sketch", probs), lambda x, i: step_of(i + 1) > step_of(i))
-    found = sketched.filter(F.col("rows") > per_range).select(*keys, F.array_sort(F.array_distinct(at)).alias("cuts"))
-    return found.collect()
+    at = F.filter(F.kll_sketch_get_quantile_double("sketch", probs), lambda x, i: (step_of(i + 1) > step_of(i)) & (F.abs(x) < float("inf")))
+    return sketched.select(*keys, F.array_sort(F.array_distinct(at)).alias("cuts")).filter(F.size("cuts") > 0).collect()
+
+
+def _halved(v: str, cuts: Sequence[float], first: int) -> str:
+    if not cuts:
+        return str(first)
+    m = len(cuts) // 2
+    return f"CASE WHEN {v} <= {cuts[m]!r}D THEN {_halved(v, cuts[:m], first)} ELSE {_halved(v, cuts[m + 1 :], first + m + 1)} END"
 
 
 def with_range(df: DataFrame, keys: Sequence[str], value: str, cuts: Sequence[Row]) -> DataFrame:
-    """``df`` with range, the number of its key's cuts below the value; 0 for keys without cuts."""
+    """``df`` with range, the number of its key's cuts below the value; 0 for keys without cuts.
+
+    Up to MOST_CASES cuts are one generated expression that halves them; more would be too much code, and are searched by numpy in batches.
+    """
     if not cuts:
         return df.withColumn("range", F.lit(0))
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("cuts", T.ArrayType(T.DoubleType()))])
-    table = F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in cuts], schema))  # bounded: see cuts_of
-    # Halving: the lambda goes over the steps, not over the cuts; past the end of the cuts it stays where it is.
-    steps = F.array(*[F.lit(RANGES >> i) for i in range(1, RANGES.bit_length())])
-    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("cuts", at + step - 1) < F.col(value), at + step).otherwise(at))
-    return df.join(table, list(keys), "left").withColumn("range", F.when(F.col("cuts").isNull(), 0).otherwise(place)).drop("cuts")
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_key", T.IntegerType())])
+    numbers = F.broadcast(df.sparkSession.createDataFrame([(*[r[k] for k in keys], i) for i, r in enumerate(cuts)], schema))  # bounded: see cuts_of
+    keyed = df.join(numbers, list(keys), "left").select(*df.columns, "_key")
+    if sum(len(r.cuts) for r in cuts) <= MOST_CASES:
+        found = " ".join(f"WHEN {i} THEN {_halved(f'`{value}`', r.cuts, 0)}" for i, r in enumerate(cuts))
+        return keyed.withColumn("range", F.expr(f"CASE _key {found} ELSE 0 END")).drop("_key")
+    ends = [np.array(r.cuts, dtype=np.float64) for r in cuts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(batch.num_columns - 1).fill_null(-1).to_numpy()
+            v = batch.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            order = np.argsort(key, kind="stable")
+            found, bounds = np.zeros(len(key), dtype=np.int32), np.searchsorted(key[order], np.arange(len(ends) + 1))
+            for k in np.unique(key[key >= 0]):
+                rows = order[bounds[k] : bounds[k + 1]]
+                found[rows] = np.searchsorted(ends[k], v[rows], side="left")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*batch.schema.names[:-1], "range"])
+
+    return keyed.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("range", T.IntegerType())]))
 
 
 def running(counted: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], per_range: int = PER_RANGE) -> DataFrame:

@@ -33,7 +33,7 @@ def drift_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def drift_p_values(spark: SparkSession, d: str) -> DataFrame:
     found = drift.drift_table(E.events(spark, d), E.drawn_events(spark, d), ["value"], ["event_type"], ["ts"], exact_rows=0)
-    return found.select("feature", F.round("p_value", 2).alias("p_value"), "sig", "p_method")
+    return found.select("feature", "p_value", "sig", "p_method")
 
 
 def alerts_in_order(spark: SparkSession, d: str) -> DataFrame:
@@ -131,6 +131,8 @@ QUERIES = {
 
 _DR = f"{R._DRIFT}, v AS (SELECT feature, type, round(raw_psi, 4) AS psi, {R._VERDICT} AS verdict FROM dr)"
 _SHAPED_TABLE = f"({_SHAPED.format(o='orders')}) w"
+#: The same with the statistics of chi-square as they are, not rounded.
+_RAW = _DR.replace("SELECT round(sum(pow", "SELECT (sum(pow").replace("(ta + tb))), 4) FROM", "(ta + tb)))) FROM")
 _LIST = lambda v: f"coalesce(string_agg(feature, '; ' ORDER BY feature) FILTER (WHERE verdict = '{v}'), '')"
 _SHAPED_KINDS = _KINDS[_SHAPED_TABLE]
 _TYPES = rule_twins.types({_SHAPED_TABLE: _SHAPED_KINDS})
@@ -144,9 +146,9 @@ _PAIR = [f"{a}_vs_{b}" for a, b in PAIRS]
 
 SQL = {
     "drift_summary": f"{_DR} SELECT round(avg(psi), 6) AS mean_psi, round(max(psi), 6) AS max_psi, {_LIST('Critical Shift')} AS critical, {_LIST('Minor Shift')} AS minor, count(*) AS features, CASE WHEN bool_or(verdict = 'Critical Shift') THEN 'Critical Shift' WHEN bool_or(verdict = 'Minor Shift') THEN 'Minor Shift' ELSE 'Stable' END AS verdict FROM v",
-    "drift_p_values": f"""{_DR}, w AS (SELECT feature, test, raw_stat, CASE feature WHEN 'event_type' THEN {_CATEGORIES('event_type')} WHEN 'ts (quarter)' THEN {_CATEGORIES('quarter(ts)')} WHEN 'ts (weekday)' THEN {_CATEGORIES('isodow(ts)')} END AS dof,
+    "drift_p_values": f"""{_RAW}, w AS (SELECT feature, test, raw_stat, CASE feature WHEN 'event_type' THEN {_CATEGORIES('event_type')} WHEN 'ts (quarter)' THEN {_CATEGORIES('quarter(ts)')} WHEN 'ts (weekday)' THEN {_CATEGORIES('isodow(ts)')} END AS dof,
         (SELECT count(value) FROM events)::DOUBLE AS n, (SELECT count(value) FROM q)::DOUBLE AS m FROM dr), p AS (SELECT feature, CASE WHEN test = 'KS' THEN {_KS_P} WHEN dof > 0 THEN {_CHI_P} END AS p FROM w)
-        SELECT feature, round(p, 2) AS p_value, CASE WHEN p < 0.05 THEN 'p<0.05' ELSE 'n.s.' END AS sig, CASE WHEN p IS NOT NULL THEN 'asymptotic' END AS p_method FROM p""",
+        SELECT feature, round(p, 4) AS p_value, CASE WHEN p < 0.05 THEN 'p<0.05' ELSE 'n.s.' END AS sig, CASE WHEN p IS NOT NULL THEN 'asymptotic' END AS p_method FROM p""",
     "alerts_in_order": f"SELECT row_number() OVER (ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, feature, alert_type) AS place, severity, feature, alert_type FROM ({rule_twins.alerts(f'SELECT {chr(44).join(_ALERTED)} FROM ({APPLICATIONS}) w', _ALERTED, 'is_fraud')}) z",
     "corr_in_order": f"{_CORR} SELECT row_number() OVER (ORDER BY r DESC) AS place, a AS feature_1, b AS feature_2, round(r, 6) AS r FROM c WHERE r >= 0.2",
     "corr_heat_map": f"{_CORR} SELECT * FROM (SELECT row_number() OVER (ORDER BY sum(r) DESC) AS place, feature FROM (SELECT a AS feature, r FROM c UNION ALL SELECT b, r FROM c) x GROUP BY feature) y WHERE place <= 3",

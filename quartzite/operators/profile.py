@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,9 +190,21 @@ def pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+#: Pairs of columns up to which correlations are one native aggregate; more go through matrices.
+FEW_PAIRS = 66
+
+
 def correlations(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.0) -> DataFrame:
-    """feature_1, feature_2, correlation, abs_correlation of all pairs, pairwise complete, from one pass (:mod:`.gram`)."""
-    return gram.correlations(df, list(cols or numeric_columns(df)), threshold)
+    """feature_1, feature_2, correlation, abs_correlation of all pairs, pairwise complete, from one pass: few pairs as one aggregate of
+    expressions, many by :mod:`.gram`."""
+    cols = list(cols or numeric_columns(df))
+    pairs = list(combinations(cols, 2))
+    if len(pairs) > FEW_PAIRS:
+        return gram.correlations(df, cols, threshold)
+    out = df.agg(*[pearson(num_(a), num_(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"r{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)]))
+    out = out.select(rows.alias("r")).select("r.*").withColumn("abs_correlation", F.abs("correlation"))
+    return out.filter(F.col("abs_correlation") >= threshold)
 
 
 def features_to_remove(high: DataFrame) -> DataFrame:

@@ -97,6 +97,15 @@ def test_gram_of_a_thousand_columns(spark):
     assert len(close) > 100 and all(math.isclose(got[f"c{i}", f"c{j}"], want[i, j], abs_tol=1e-9) for i, j in close)
 
 
+def test_few_and_many_pairs_agree(spark, monkeypatch):
+    df = spark.range(200).select(*[(F.sin(F.col("id") * k) + k).alias(f"c{k}") for k in range(1, 6)], F.when(F.col("id") % 3 > 0, F.cos("id")).alias("gaps"), F.lit(2.0).alias("flat"))
+    few, many = {}, {}
+    for found, limit in ((few, 66), (many, 0)):
+        monkeypatch.setattr(profile, "FEW_PAIRS", limit)
+        found.update({(r.feature_1, r.feature_2): round(r.correlation, 9) for r in profile.correlations(df).collect()})
+    assert few == many and len(few) == 15
+
+
 def test_gram_by_groups_of_columns(spark):
     names = [f"c{k}" for k in range(300)]
     df = spark.range(100).select(*[F.cos(F.col("id") * (k % 11 + 1) + k).alias(c) for k, c in enumerate(names)])

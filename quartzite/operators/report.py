@@ -29,7 +29,7 @@ def issues_long(df: DataFrame, roles: dict[str, str], cols: Sequence[str] | None
         severity, what, strategy = KINDS[kind]
         c = name.removesuffix(f"_has_{kind}").removesuffix(f"_{kind}")
         rows.append(F.when(flag, F.struct(F.lit(c).alias("feature"), F.lit(what).alias("issue_type"), F.lit(severity).alias("severity"), F.lit(strategy).alias("strategy"), c_(c).cast("string").alias("value"))))
-    return df.select(c_(rid).alias("rid"), F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("rid", "r.*")
+    return df.select(c_(rid).alias("rid"), F.explode(F.array(*rows)).alias("r")).filter("r is not null").select("rid", "r.*")
 
 
 def issue_totals(long: DataFrame) -> DataFrame:
@@ -50,15 +50,16 @@ def comparison(df: DataFrame, roles: dict[str, str], cols: Sequence[str] | None
     """A row per flagged cell: rid, feature, original, standardized, tags, reason, resolution."""
     cols = list(cols or text_columns(df))
     flags = issue_flags(df, roles, cols)
-    rows = []
-    for c in cols:
+    steps, rows = {}, []
+    for i, c in enumerate(cols):
         own = {kind_of(f): e for f, e in flags.items() if f in (f"{c}_has_ws", f"{c}_has_sc", f"{c}_is_missing", f"{c}_has_format")}
-        tags = F.array_join(F.filter(F.array(*[F.when(e, k) for k, e in own.items()]), lambda t: t.isNotNull()), ",")
+        steps |= {f"old{i}": c_(c), f"new{i}": clean_value(df, roles, c).cast("string"), f"tags{i}": F.concat_ws(",", *[F.when(e, k) for k, e in own.items()])}
         role = next((role_of(k) for k, v in roles.items() if v == c), None)
-        new = clean_value(df, roles, c).cast("string")
-        why = failure(role, c_(c), new)
-        rows.append(F.struct(F.lit(c).alias("feature"), c_(c).alias("original"), new.alias("standardized"), tags.alias("tags"), why.alias("reason"), F.when(why.isNull(), "Resolved").otherwise("Unresolved").alias("resolution")))
-    return df.select(c_(rid).alias("rid"), F.explode(F.filter(F.array(*rows), lambda r: r["tags"] != "")).alias("r")).select("rid", "r.*")
+        why = failure(role, F.col(f"old{i}"), F.col(f"new{i}"))
+        rows.append(F.struct(F.lit(c).alias("feature"), F.col(f"old{i}").alias("original"), F.col(f"new{i}").alias("standardized"), F.col(f"tags{i}").alias("tags"), why.alias("reason")))
+    # Columns first, rows of them after: inside a generator nothing that is used twice is computed once.
+    out = df.select(c_(rid).alias("rid"), *[v.alias(k) for k, v in steps.items()]).select("rid", F.explode(F.array(*rows)).alias("r")).select("rid", "r.*").filter("tags <> ''")
+    return out.withColumn("resolution", F.when(F.col("reason").isNull(), "Resolved").otherwise("Unresolved"))
 
 
 def search(compared: DataFrame, feature: str | None = None, tag: str | None = None, resolution: str | None = None, pattern: str | None = None) -> DataFrame:

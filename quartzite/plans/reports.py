@@ -100,7 +100,7 @@ QUERIES = {
     "clean_anomalies": lambda s, d: R.anomaly_totals(contacts(s, d), ROLES, COLS),
     "clean_unfixable": lambda s, d: R.unfixable(contacts(s, d), ROLES),
     "clean_best_worst": lambda s, d: R.best_and_worst(C.quality_raw(s, d)),
-    "clean_failed_samples": lambda s, d: R.failed_samples(C.compare(s, d), "zip").select("rid", "original", "reason"),
+    "clean_failed_samples": lambda s, d: R.failed_samples(R.comparison(contacts(s, d), ROLES, ["zip"]), "zip").select("rid", "original", "reason"),
     "clean_html_statistics": statistics,
     "clean_export_columns": export_columns,
     "sample_ranks": ranks,

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The ASCII white space, which is what a pattern's \\s finds.
+SPACE = " \t\n\x0b\f\r"
 # The symbols that count as special characters.
 SPECIAL = r"[#\$%\*\^~`\{\}\|<>\\]"
 # Legal-form words that entity names are compared without.
@@ -34,7 +36,7 @@ def text(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends (trim knows only the space)."""
-    return F.regexp_replace(text(c), r"^\s+|\s+$", "")
+    return F.btrim(text(c), F.lit(SPACE))
 
 
 def drop_point_zero(c: Column) -> Column:

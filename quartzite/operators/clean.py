@@ -6,7 +6,7 @@ duplicate flags are two hash shuffles, the scores one aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -81,7 +81,7 @@ def issue_matrix(df: DataFrame, roles: dict[str, str], cols: list[str] | None =
     flags = issue_flags(df, roles, cols)
     kinds = sorted({kind_of(f) for f in flags}, key=lambda k: TAGS[k])
     hit = {k: F.greatest(*v) if len(v := [c_(f) for f in flags if kind_of(f) == k]) > 1 else v[0] for k in kinds}
-    tags = F.array_join(F.filter(F.array(*[F.when(hit[k], TAGS[k]) for k in kinds]), lambda t: t.isNotNull()), ",")
+    tags = F.concat_ws(",", *[F.when(hit[k], TAGS[k]) for k in kinds])
     return df.withColumns(flags).withColumn("_tags", tags).withColumns({"_has_issue": F.col("_tags") != "", "_issue_tags": F.when(F.col("_tags") == "", "GOOD_DATA").otherwise(F.col("_tags"))}).drop("_tags")
 
 
@@ -122,28 +122,32 @@ def _without_company(parts: pd.Series, doubtful: pd.Series, legal: pd.Series, db
     return pd.Series(out)
 
 
-def address_parts(addr: Column, legal: Column, dba: Column, fuzzy: bool = True) -> dict[str, Column]:
+def address_parts(addr: Column, legal: Column, dba: Column, fuzzy: bool = True, let: Callable[[str, Column], Column] = lambda name, c: c) -> dict[str, Column]:
     """The seven parts of ``[name|]street[|unit]|city|region|zip|country``.
 
     Fewer than four parts: the first is the street. Without ``fuzzy`` a part counts as the company's name only if its key is equal,
     and the whole expression is native; with it, similar names are found by an Arrow function over the doubtful parts.
+    ``let`` is given each step that several others read; :func:`with_address_parts` makes columns of them.
     """
-    none = addr.isNull() | (S.strip(addr) == "") | (F.lower(addr) == "nan")
-    parts = F.transform(F.split(addr, r"\|", -1), S.strip)
+    addr = let("raw", addr)
+    none = let("none", addr.isNull() | (S.strip(addr) == "") | (F.lower(addr) == "nan"))
+    parts = let("parts", F.transform(F.split(addr, r"\|", -1), S.strip))
+    legal, dba = let("legal", S.match_key(legal)), let("dba", S.match_key(dba))
     n = F.size(parts)
-    front = F.filter(F.slice(parts, 1, F.greatest(n - 4, F.lit(0))), lambda p: p != "")
+    front = let("front", F.filter(F.slice(parts, 1, F.greatest(n - 4, F.lit(0))), lambda p: p != ""))
     physical = lambda p: F.upper(p).rlike(ADDRESS_SHAPE) | F.upper(p).rlike(STREET_WORD)
     if fuzzy:
-        doubtful = F.transform(front, lambda p: F.when(~physical(p), p))
+        doubtful = let("doubtful", F.transform(front, lambda p: F.when(~physical(p), p)))
         some = F.when(F.exists(doubtful, lambda p: p.isNotNull()), doubtful)
-        kept = F.coalesce(_without_company(front, some, S.match_key(legal), S.match_key(dba)), front)
+        kept = let("left", F.coalesce(_without_company(front, some, legal, dba), front))
     else:
-        same = lambda p, name: (S.match_key(name) == S.match_key(p)) & (F.length(S.match_key(p)) > 3)
-        kept = F.filter(front, lambda p: physical(p) | ~(same(p, legal) | same(p, dba)))
-    kept = F.when((F.size(kept) == 0) & (n > 4), F.array(F.get(parts, n - 5))).otherwise(kept)
+        keys = let("keys", F.transform(front, S.match_key))
+        same = lambda k: (F.length(k) > 3) & ((k == legal) | (k == dba))
+        kept = let("left", F.filter(front, lambda p, i: ~same(F.get(keys, i)) | physical(p)))
+    kept = let("kept", F.when((F.size(kept) == 0) & (n > 4), F.array(F.get(parts, n - 5))).otherwise(kept))
     short, bare = n < 4, n == 4
-    one = F.coalesce(F.get(kept, F.lit(0)), F.lit(""))
-    rest = F.array_join(F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1))), ", ")
+    one = let("one", F.coalesce(F.get(kept, F.lit(0)), F.lit("")))
+    rest = let("rest", F.array_join(F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1))), ", "))
     tail = {p: F.coalesce(F.get(parts, n - k), F.lit("")) for p, k in (("city", 4), ("region", 3), ("zip_code", 2), ("country", 1))}
     whole = F.concat_ws(", ", *[F.nullif(p, F.lit("")) for p in (one, rest, *tail.values())])
     pick = lambda long, few, four: F.when(none, "").when(short, few).when(bare, four).otherwise(long)
@@ -153,14 +157,28 @@ def address_parts(addr: Column, legal: Column, dba: Column, fuzzy: bool = True)
     return out | {"full_address": pick(whole, first, addr)}
 
 
+def with_address_parts(df: DataFrame, addr: Column, legal: Column, dba: Column, fuzzy: bool = True, prefix: str = "") -> DataFrame:
+    """``df`` with the :func:`address_parts` as ``<prefix>address_1`` and so on. Steps are columns, so each is computed once per row."""
+    out, at = df, "_a"
+    while any(c.lower().startswith(at) for c in df.columns):
+        at += "_"
+
+    def let(name: str, c: Column) -> Column:
+        nonlocal out
+        out = out.withColumn(f"{at}{name}", c)
+        return c_(f"{at}{name}")
+
+    found = address_parts(addr, legal, dba, fuzzy, let)
+    return out.select(*[c_(c) for c in df.columns], *[v.alias(f"{prefix}{k}") for k, v in found.items()])
+
+
 PART_STANDARD = {"address_1": S.standardize_name, "address_2": S.standardize_name, "city": S.standardize_name, "region": S.standardize_state, "zip_code": S.standardize_zip, "country": S.standardize_country, "full_address": S.standardize_name}
 
 
 def with_parsed_address(df: DataFrame, addr: str, legal: str | None, dba: str | None, suffix: str = "_std", fuzzy: bool = True) -> DataFrame:
     none = F.lit(None).cast("string")
-    raw = address_parts(c_(addr), c_(legal) if legal else none, c_(dba) if dba else none, fuzzy)
-    out = df.withColumn("_parts", F.struct(*[v.alias(k) for k, v in raw.items()]))
-    return out.withColumns({f"{p}{suffix}": PART_STANDARD[p](F.col(f"_parts.{p}")) for p in PARTS}).drop("_parts")
+    out = with_address_parts(df, c_(addr), c_(legal) if legal else none, c_(dba) if dba else none, fuzzy, "_part_")
+    return out.withColumns({f"{p}{suffix}": PART_STANDARD[p](F.col(f"_part_{p}")) for p in PARTS}).drop(*[f"_part_{p}" for p in PARTS])
 
 
 def duplicate_flag(df: DataFrame, keys: list[Column], name: str) -> DataFrame:

@@ -22,7 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(DIRTY_CONTACTS.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
+    return spark.sql(DIRTY_CONTACTS.replace("FROM customer", "FROM {customer}"), customer=spread(table(spark, sf_dir, "customer")))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scanned table over as many tasks as run at once: a file of a few MB is one task, however much work its rows are."""
+    tasks = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(tasks) if scan.rdd.getNumPartitions() < tasks else scan
 
 
 QUERIES: dict = {}
@@ -76,9 +82,8 @@ def tags_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pipe_split(spark: SparkSession, d: str) -> DataFrame:
-    df = contacts(spark, d)
-    parts = K.address_parts(F.col("business_address"), F.col("lgl_nm"), F.col("dba_nm"), fuzzy=False)
-    return df.select("rid", *[parts[p].alias(p) for p in ("city", "region", "zip_code", "country")], F.size(F.split("business_address", r"\|", -1)).cast("long").alias("n_parts"))
+    df = K.with_address_parts(contacts(spark, d), F.col("business_address"), F.col("lgl_nm"), F.col("dba_nm"), False, "part_")
+    return df.select("rid", *[F.col(f"part_{p}").alias(p) for p in ("city", "region", "zip_code", "country")], F.size(F.split("business_address", r"\|", -1)).cast("long").alias("n_parts"))
 
 
 def pipe_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -88,8 +93,8 @@ def pipe_parse(spark: SparkSession, d: str) -> DataFrame:
 
 def pipe_exact(spark: SparkSession, d: str) -> DataFrame:
     """The parts by equal names only, which is the native form."""
-    parts = K.address_parts(F.col("business_address"), F.col("lgl_nm"), F.col("dba_nm"), fuzzy=False)
-    return contacts(spark, d).select("rid", *[v.alias(k) for k, v in parts.items()])
+    df = K.with_address_parts(contacts(spark, d), F.col("business_address"), F.col("lgl_nm"), F.col("dba_nm"), False, "part_")
+    return df.select("rid", *[F.col(f"part_{p}").alias(p) for p in K.PARTS])
 
 
 def issue_matrix(spark: SparkSession, d: str) -> DataFrame:

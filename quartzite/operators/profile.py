@@ -195,13 +195,32 @@ FEW_PAIRS = 66
 
 
 def correlations(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.0) -> DataFrame:
-    """feature_1, feature_2, correlation, abs_correlation of all pairs, pairwise complete, from one pass: few pairs as one aggregate of
-    expressions, many by :mod:`.gram`."""
+    """feature_1, feature_2, correlation, abs_correlation of all pairs, pairwise complete: few pairs by two aggregates, many by :mod:`.gram`.
+
+    The first aggregate takes mean and range of each column. In the second, columns without gaps have their sums of differences from the mean
+    once for all pairs; moments of their own for each pair, three aggregates each, are left to pairs with gaps.
+    """
     cols = list(cols or numeric_columns(df))
     pairs = list(combinations(cols, 2))
     if len(pairs) > FEW_PAIRS:
         return gram.correlations(df, cols, threshold)
-    out = df.agg(*[pearson(num_(a), num_(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    v = {c: num_(c) for c in cols}
+    seen = df.agg(F.count(F.lit(1)).alias("n"), *[f(v[c]).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("known", F.count), ("mean", F.avg), ("lo", F.min), ("hi", F.max))]).first()
+    whole = {c: i for i, c in enumerate(cols) if seen.n and seen[f"known{i}"] == seen.n}
+    d = {c: v[c] - F.lit(seen[f"mean{i}"]) for c, i in whole.items()}
+    sums = {f"s{i}": F.sum(d[c]) for c, i in whole.items()} | {f"q{i}": F.sum(d[c] * d[c]) for c, i in whole.items()}
+    found = {}
+    for i, (a, b) in enumerate(pairs):
+        if not (a in whole and b in whole):
+            sums[f"r{i}"], found[f"r{i}"] = pearson(v[a], v[b]), F.col(f"r{i}")
+            continue
+        sums[f"p{i}"] = F.sum(d[a] * d[b])
+        left = lambda q, x, y: F.col(q) - F.col(x) * F.col(y) / float(seen.n)
+        j, k = whole[a], whole[b]
+        flat = any(seen[f"lo{x}"] == seen[f"hi{x}"] for x in (j, k))
+        r = F.try_divide(left(f"p{i}", f"s{j}", f"s{k}"), F.sqrt(left(f"q{j}", f"s{j}", f"s{j}")) * F.sqrt(left(f"q{k}", f"s{k}", f"s{k}")))
+        found[f"r{i}"] = F.lit(None).cast("double") if flat else r
+    out = df.agg(*[e.alias(k) for k, e in sums.items()]).select(*[e.alias(k) for k, e in found.items()])
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"r{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)]))
     out = out.select(rows.alias("r")).select("r.*").withColumn("abs_correlation", F.abs("correlation"))
     return out.filter(F.col("abs_correlation") >= threshold)
@@ -519,9 +538,58 @@ def type_counters(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     return out.join(F.broadcast(middle), "feature", "left")
 
 
+#: Bits of a column's mark of hashes; as many of them are set as the column has values at least.
+MARKS = 64
+
+
+def deciding_counters(df: DataFrame, cols: Sequence[str] | None = None) -> list:
+    """The counters that :func:`decide_type` asks for, a row per column: as :func:`type_counters` has them where distinct values
+    or texts count, from one aggregate that shuffles a row per column and task where they don't.
+
+    Numbers are looked at row by row. Values are hashed onto ``MARKS`` bits, so over ten set bits prove over ten values; then their exact number
+    is asked for only by an identifier's name, and by whole numbers that reach a million. Of dates only their presence counts.
+    """
+    cols, kinds = list(cols or df.columns), {f.name: f.dataType for f in df.schema}
+    days = [c for c in cols if isinstance(kinds[c], (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    plain = [c for c in cols if isinstance(kinds[c], T.NumericType) and not isinstance(kinds[c], T.FloatType) and not named_id(c)]
+    found = []
+    if days or plain:
+        number = lambda c: F.lit(None).cast("double") if c in days else c_(c).cast("double")
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), c_(c).isNotNull().alias("known"), number(c).alias("x")) for c in (*days, *plain)]))
+        # A few sums of long rows: as many for each column of a wide row are too large to be compiled.
+        x = F.col("x")
+        whole, size, year = x == F.floor(x), F.abs(x), x.between(1900, 2100)
+        mark = F.bit_or(F.when(x.isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(MARKS)).cast("int"))))
+        rules = {
+            "known": F.col("known"), "numeric": x.isNotNull(), "integral": whole, "serial": x.between(20000, 60000), "year": whole & year,
+            "year_month": whole & F.floor(x / 100).between(1900, 2100) & (x % 100).between(1, 12), "month_year": whole & F.floor(x / 10000).between(1, 12) & (x % 10000).between(1900, 2100),
+        }
+        ends = {"rows": F.count(F.lit(1)), "max_abs": F.max(size), "year_span": F.max(F.when(year, x)) - F.min(F.when(year, x)), "n_unique": F.bit_count(mark).cast("long")}
+        none = {k: F.lit(0).cast("long") for k in ("blanks", "leading_zero", "date_text", "date_token", "stand_in", "same_length")}
+        # Neither NaN nor infinite values, which are no numbers as text.
+        long = df.select(cells.alias("r")).select("r.feature", "r.known", F.when(F.abs("r.x") < float("inf"), F.col("r.x")).alias("x"))
+        rows = long.groupBy("feature").agg(*[F.count_if(e).alias(k) for k, e in rules.items()], *[e.alias(k) for k, e in ends.items()])
+        rows = rows.withColumns({"nulls": F.col("rows") - F.col("known"), "median_abs": F.lit(None).cast("double")} | none)
+        found = [r for r in rows.collect() if r.feature in days or _decided(r)]
+    rest = [c for c in cols if c not in {r.feature for r in found}]
+    return found + (type_counters(df, rest).collect() if rest else [])
+
+
+def _decided(r) -> bool:
+    """Whether a column of numbers has its type by counters without exact distinct values."""
+    n = r.rows - r.nulls
+    return n == 0 or (r.n_unique or 0) > 10 and (r.integral < n or (r.max_abs or 0) < 1e6)
+
+
+def named_id(name: str) -> bool:
+    """Whether a column is named like an identifier, by any of the rules."""
+    low = name.lower()
+    return any(x in low for x in ID_PARTS) or bool(set(re.split(r"[_. ]", low)) & set(ID_WORDS)) or low.startswith(ID_FAMILIES) or low.endswith(ID_FAMILIES)
+
+
 def feature_types(df: DataFrame, outcome: str | None = None, cols: Sequence[str] | None = None) -> dict[str, str]:
     """outcome, unknown, datetime, id, binary, categorical or numeric for each column, from one pass of counters."""
-    return _types_of(df, type_counters(df, cols).collect(), cols or df.columns, outcome)
+    return _types_of(df, deciding_counters(df, cols), cols or df.columns, outcome)
 
 
 def _types_of(df: DataFrame, counters: Sequence, cols: Sequence[str], outcome: str | None = None, single: bool = False) -> dict[str, str]:
@@ -537,7 +605,7 @@ def single_type(df: DataFrame, col: str, outcome: str | None = None) -> str:
 
 def single_types(df: DataFrame, cols: Sequence[str] | None = None, outcome: str | None = None) -> dict[str, str]:
     """Each column's type by the rules for a single column, from one pass."""
-    return _types_of(df, type_counters(df, cols).collect(), cols or df.columns, outcome, single=True)
+    return _types_of(df, deciding_counters(df, cols), cols or df.columns, outcome, single=True)
 
 
 def _serial_of(counters: Sequence) -> list[str]:
@@ -546,7 +614,7 @@ def _serial_of(counters: Sequence) -> list[str]:
 
 def serial_dates(df: DataFrame, cols: Sequence[str]) -> list[str]:
     """The columns of numbers whose values are mostly Excel serial dates; calendar years are not."""
-    return _serial_of(type_counters(df, cols).collect()) if cols else []
+    return _serial_of(deciding_counters(df, cols)) if cols else []
 
 
 def columns_of_type(types: dict[str, str], *kinds: str) -> list[str]:
@@ -556,7 +624,7 @@ def columns_of_type(types: dict[str, str], *kinds: str) -> list[str]:
 def fixed_types(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     """Numbers that are Excel serial dates become dates, timestamps are cut to the day; a new table, the input stays as it is. ``types`` saves looking for types."""
     kinds = {f.name: f.dataType for f in df.schema}
-    counters = [] if types == {} else type_counters(df, list(types) if types else None).collect()
+    counters = [] if types == {} else deciding_counters(df, list(types) if types else None)
     types = _types_of(df, counters, df.columns) if types is None else types
     numbers = {c for c in columns_of_type(types, "datetime") if isinstance(kinds[c], T.NumericType)}
     serial = numbers & set(_serial_of(counters))

@@ -1,12 +1,15 @@
-"""Near-duplicate groups by the exact Jaccard similarity of word shingles.
-
-1. Profiles. Of each text's sorted set of shingle hashes, a hash of the set, its size and two parity sketches are stored; equal sets are
-   one from here on. The sets themselves, larger than the texts, are computed again where they are needed.
-2. Prefixes. In any fixed order of all shingles, two sets of similarity t share one of their first n - ceil(t * n) + 1. So only
-   these are indexed, and no pair is lost. Shingles that are frequent in a sample go last; that only saves time.
-3. Stars. Every set is compared with the least and the greatest set of each index entry, which ties dense groups together.
-4. Pairs. Entries that still hold sets of several groups are compared pair by pair.
-5. Candidates pass two parity sketches (two sets differ by no less than their sketches, so nothing is lost), a short one and one of a bit or
+"""Near-duplicate groups by SimHash fingerprints and the exact Jaccard similarity of word shingles.
+
+1. Profiles. Of each text's sorted set of shingle hashes, a hash of the set, its size, its SimHash fingerprint and two parity sketches are stored;
+   equal sets are one from here on. The sets themselves, larger than the texts, are computed again where they are needed.
+2. Fingerprints. They are compared in the tiles of ``simhash_dedup``; those within ``radius`` bits name candidates, and what the exact
+   check confirms is grouped by large and small stars. Two sets of a group are not compared again.
+3. Prefixes. No radius follows from a similarity, so an index gives the pairs that lie farther apart. In any fixed order of all shingles, two
+   sets of similarity t share one of their first n - ceil(t * n) + 1. So only these are indexed, and no pair is lost. Shingles that are
+   frequent in a sample go last; that only saves time.
+4. Stars. Every set is compared with the least and the greatest set of each index entry, which ties dense groups together.
+5. Pairs. Entries that still hold sets of several groups are compared pair by pair.
+6. Candidates pass two parity sketches (two sets differ by no less than their sketches, so nothing is lost), a short one and one of a bit or
    more per shingle, before the sets themselves are compared.
 
 Sets and shingles are compared by 64-bit hashes.
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import LAST_ID, settled, stored
 from .components import components, grouped, one_each
 from .line_dedup import row_key
-from .simhash_dedup import SEED, shingle_hashes
+from .simhash_dedup import MANY, SEED, fingerprint, links, neighbours, shingle_hashes
 
 BITS = 512
 SKETCH = [f"p{k}" for k in range(BITS // 64)]
@@ -52,7 +55,7 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def profiles(texts: DataFrame, words: int) -> DataFrame:
-    """doc_id, row, set_id (hash of the set), n (its size), short and long parity sketch (p0 to p7, wide) of every whole text."""
+    """doc_id, row, set_id (hash of the set), n (its size), fingerprint, short and long parity sketch (p0 to p7, wide) of every whole text."""
 
     def parity(s: np.ndarray, bits: int) -> np.ndarray:
         return np.packbits((np.bincount(s & (bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
@@ -64,10 +67,11 @@ def profiles(texts: DataFrame, words: int) -> DataFrame:
                 sets = sets_of(part.column(2), words)
                 sketch = np.array([parity(s, BITS) for s in sets])
                 wide = lists([parity(s, max(BITS, 1 << len(s).bit_length())) for s in sets])
-                cols = [*part.columns[:2], pa.array(set_ids(sets)), pa.array([len(s) for s in sets], pa.int32()), *[pa.array(np.ascontiguousarray(c)) for c in sketch.T], wide]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "set_id", "n", *SKETCH, "wide"])
+                prints = pa.array([fingerprint(s) for s in sets], pa.int64())
+                cols = [*part.columns[:2], pa.array(set_ids(sets)), pa.array([len(s) for s in sets], pa.int32()), prints, *[pa.array(np.ascontiguousarray(c)) for c in sketch.T], wide]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "set_id", "n", "fingerprint", *SKETCH, "wide"])
 
-    return texts.mapInArrow(run, f"doc_id long, row long, set_id long, n int, {', '.join(f'{p} long' for p in SKETCH)}, wide array<long>")
+    return texts.mapInArrow(run, f"doc_id long, row long, set_id long, n int, fingerprint long, {', '.join(f'{p} long' for p in SKETCH)}, wide array<long>")
 
 
 def frequent_shingles(texts: DataFrame, words: int) -> list[int]:
@@ -189,18 +193,40 @@ def _spread(entries: DataFrame, value: str, hot: list[int]) -> DataFrame:
     return kept.filter(~is_hot).unionByName(kept.filter(is_hot).drop("lo", "hi").join(F.broadcast(ends), "h"))
 
 
-def _links(texts: DataFrame, words: int, rows: DataFrame, similarity: float) -> DataFrame:
+def by_fingerprint(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints lie within ``radius`` bits: each fingerprint's least set with that of its neighbours and with its own others."""
+    sets = nodes.filter("n > 0").select("fingerprint", "set_id")
+    least = stored(sets.groupBy("fingerprint").agg(F.min("set_id").alias("least"), F.count(F.lit(1)).alias("size")), "least")
+    near = links(least.select("fingerprint"), radius, 4 if least.count() < MANY else 8, pick=neighbours)
+    near = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    end = lambda x, s: least.select(F.col("fingerprint").alias(x), F.col("least").alias(s))
+    apart = near.join(end("u", "s"), "u").join(end("v", "t"), "v").select("s", "t")
+    same = sets.join(least.filter("size > 1"), "fingerprint").filter("set_id <> least").select("least", "set_id")
+    return apart.union(same).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+
+
+def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """set_id, label (the smallest set id reachable over ``edges``) of all ``nodes``."""
+    return nodes.select("set_id").join(components(edges), F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("component", "set_id").alias("label"))
+
+
+def _links(texts: DataFrame, words: int, rows: DataFrame, similarity: float, radius: int) -> DataFrame:
     """Edges (u, v) between set ids that connect all sets of this similarity."""
     nodes = stored(rows.dropDuplicates(["set_id"]), "nodes")
+    close = verified(by_fingerprint(nodes, radius), texts, words, nodes, similarity)
+    groups = labelled(nodes, close)
+
     frequent = frequent_shingles(texts, words)
     hot = frequent[:HOT]
     index = _spread(prefixes(texts, words, similarity, frequent), "set_id", hot)
 
     stars = index.select(F.col("set_id").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a <> b")
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = verified(stars, texts, words, nodes, similarity)
+    of = lambda x: groups.select(F.col("set_id").alias(x), F.col("label").alias(f"{x}_label"))
+    stars = stars.join(of("a"), "a").join(of("b"), "b").filter("a_label <> b_label").select("a", "b")
+    edges = close.union(verified(stars, texts, words, nodes, similarity))
 
-    labels = nodes.select("set_id").join(components(edges), F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("component", "set_id").alias("label"))
+    labels = labelled(nodes, edges)
     open_ = _spread(index.select("h", "set_id", "n", "pos").join(labels, "set_id"), "label", hot).drop("lo", "hi")
     a, b = (open_.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("set_id", "n", "pos", "label")]) for x in "ab")
     # At their first common shingle, what follows must suffice.
@@ -210,28 +236,29 @@ def _links(texts: DataFrame, words: int, rows: DataFrame, similarity: float) ->
     return edges.union(verified(pairs, texts, words, nodes, similarity))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, radius: int) -> DataFrame:
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     texts = texts_of(docs, id_col, text_col)
     rows = stored(profiles(texts, words), "profiles")
-    edges = settled(lambda: _links(texts, words, rows, similarity), "links")
+    edges = settled(lambda: _links(texts, words, rows, similarity, radius), "links")
     return grouped(rows.select("doc_id", "row", "set_id"), "set_id", edges)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """One row per document: doc_id, component_id (the smallest id reachable over pairs of ``similarity`` or more).
 
     Similarity is that of the sets of shingles of ``words`` words, lower-cased (A-Z). Shorter texts are one shingle; null and blank texts are
     copies of each other. Repeated rows of one id each give a row, linked by their texts only. Rows with a null id are linked too;
     component_id is null where a whole group has none. An empty table gives no rows; other columns are ignored.
+    ``radius`` changes what the fingerprints find before the index, not the result.
     """
-    return _grouped(docs, id_col, text_col, words, similarity).select("doc_id", "component_id")
+    return _grouped(docs, id_col, text_col, words, similarity, radius).select("doc_id", "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """``docs`` with one row of each group, the one of smallest id (null after all others); all columns stay.
 
     Of several rows of that id in the group, the one whose text has the smallest hash stays, and of equal ones the first.
     """
-    return one_each(docs, _grouped(docs, id_col, text_col, words, similarity), id_col, "row", row_key(docs[text_col]))
+    return one_each(docs, _grouped(docs, id_col, text_col, words, similarity, radius), id_col, "row", row_key(docs[text_col]))

@@ -12,7 +12,7 @@ tile pairs and some two hundred times the tiles. The result is the same.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -84,8 +84,22 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
         la, lb = na, nb
 
 
-def links(prints: DataFrame, radius: int = 2, blocks: int = 4, piece: int = 2048) -> DataFrame:
-    """Edges (u, v) that connect the distinct values of ``prints`` (fingerprint) within ``radius`` bits."""
+def neighbours(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each fingerprint of two tile pieces with the nearest and the smallest one of the other piece, if within ``radius``: pairs to be checked."""
+    a, b = np.sort(a), np.sort(b)
+    apart = np.bitwise_count(a[:, None] ^ b[None, :])
+    apart[a[:, None] == b[None, :]] = 65
+    found = []
+    for x, y, d in ((a, b, apart), (b, a, apart.T)):
+        near = d <= radius
+        some = near.any(axis=1)
+        found += [(x[some], y[at[some]]) for at in (d.argmin(axis=1), near.argmax(axis=1))]
+    u, v = (np.concatenate(side).view(np.int64) for side in zip(*found, strict=True))
+    return u, v
+
+
+def links(prints: DataFrame, radius: int = 2, blocks: int = 4, piece: int = 2048, pick: Callable = linked) -> DataFrame:
+    """Edges (u, v) that connect the distinct values of ``prints`` (fingerprint) within ``radius`` bits; ``pick`` names those of two pieces."""
     bits = 64 // blocks
     field = (bits + 2 * radius).bit_length()
     if 64 % blocks or field * blocks > 62:
@@ -107,7 +121,7 @@ def links(prints: DataFrame, radius: int = 2, blocks: int = 4, piece: int = 2048
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (x, xo), (y, yo) = [(c.values.to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in batch.columns]
-            out = [linked(x[xo[r] : xo[r + 1]], y[yo[r] : yo[r + 1]], radius) for r in range(batch.num_rows)]
+            out = [pick(x[xo[r] : xo[r + 1]], y[yo[r] : yo[r + 1]], radius) for r in range(batch.num_rows)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[k] for e in out])) for k in (0, 1)], names=["u", "v"])
 

@@ -74,3 +74,23 @@ def test_rows_of_one_id(spark, drop):
     kept = drop(docs)
     assert kept.columns == docs.columns and all(r.label == "label" and r.row == "row" for r in kept.collect())
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", rows[0][1]), ("2", rows[2][1]), ("None", rows[5][1])]
+
+
+def test_fingerprints_name_pairs(spark, rows, monkeypatch):
+    """With the index left out, exactly the groups remain that fingerprints within the radius name and the exact check confirms."""
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], SCHEMA).repartition(4)
+    full, none = near_dedup.prefixes, lambda *args: full(*args).filter("false")
+    monkeypatch.setattr(near_dedup, "prefixes", none)
+    sets = {i: near_dedup.sets_of(near_dedup.pa.array([(t or "").encode()]), 5)[0] for i, t in rows}
+    prints = {i: simhash_dedup.fingerprint(s) & (2**64 - 1) for i, s in sets.items()}
+    radius = 9
+    label = {i: i for i in sets}
+    same = {i: next(j for j in sets if np.array_equal(sets[i], sets[j])) for i in sets}
+    similar = lambda i, j: 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))
+    near = [(i, j) for i in sets for j in sets if i < j and (same[i] == same[j] or ((prints[i] ^ prints[j]).bit_count() <= radius and similar(i, j)))]
+    for _ in sets:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, radius=radius).collect()}
+    assert all(label[i] == label[got[i]] for i in got)  # nothing beyond the radius
+    assert len({*label.values()}) <= len({*got.values()}) < len({*same.values()})  # a fingerprint meets its nearest and its least neighbour, not all

@@ -77,7 +77,7 @@ def test_rows_of_one_id(spark, drop):
 
 
 def test_fingerprints_name_pairs(spark, rows, monkeypatch):
-    """With the index left out, exactly the groups remain that fingerprints within the radius name and the exact check confirms."""
+    """With the index left out, groups remain, and only such that fingerprints within the radius name and the exact check confirms."""
     docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], SCHEMA).repartition(4)
     full, none = near_dedup.prefixes, lambda *args: full(*args).filter("false")
     monkeypatch.setattr(near_dedup, "prefixes", none)

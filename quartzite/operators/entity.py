@@ -5,7 +5,7 @@ Rows need a unique ``rid`` (stands for the physical order). Tags use three group
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +53,22 @@ def _backward(day: str, kind: T.DataType) -> Column:
     return -F.unix_micros(F.col(day).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else -F.col(day)
 
 
+def _places(rid: str, day: str, rows: DataFrame) -> tuple[Column, Column, Callable[[Column], Column]]:
+    """Earliest day first, latest day first, missing days last, equal days by ``rid``, as values whose least is wanted; and what gives the rid of one.
+
+    Days and whole-number ids fit one decimal, day * 2**64 + rid, which a hash aggregate can update in place; a struct, which others
+    come as, makes every aggregate sort its input.
+    """
+    types = {f.name: f.dataType for f in rows.schema}
+    if isinstance(types[day], T.DateType) and isinstance(types[rid], T.IntegralType):
+        number = lambda n: F.lit(str(n)).cast(T.DecimalType(20, 0))
+        place = lambda days: F.coalesce(days, F.lit(2**32)).cast(T.DecimalType(10, 0)) * number(2**64) + F.col(rid).cast(T.DecimalType(19, 0))
+        days = F.unix_date(day).cast("long")
+        return place(days), place(-days), lambda v: (F.pmod(v + number(2**63), number(2**64)) - number(2**63)).cast(types[rid])
+    place = lambda d: F.struct(F.col(day).isNull().alias("none"), d.alias("day"), F.col(rid).alias("rid"))
+    return place(F.col(day)), place(_backward(day, types[day])), lambda v: v["rid"]
+
+
 def tagged(df: DataFrame, rid: str = "rid", target: str = "is_fraud", date: str = "open_date", identity: Sequence[str] = IDENTITY, tin: str = "tin", mid: str = "mid") -> DataFrame:
     """``df`` with duplicate_tag, tag_reason and is_first_of_group.
 
@@ -69,14 +85,15 @@ def tagged(df: DataFrame, rid: str = "rid", target: str = "is_fraud", date: str
     present = [c for c in identity if c in df.columns]
     parsed = F.try_to_timestamp(F.col(date)) if isinstance(df.schema[date].dataType, T.StringType) else F.col(date)
     rows = df.withColumns({"_day": parsed, "_t": F.coalesce(tin, F.lit("")), "_m": F.coalesce(mid, F.lit(""))} | {f"_id{i}": F.coalesce(F.col(c).cast("string"), F.lit("__NA__")) for i, c in enumerate(present)})
-    least = lambda *order: F.min_by(rid, F.struct(*order, F.col(rid)))
-    first, last = (F.col("_day").isNull(), F.col("_day")), (F.col("_day").isNull(), _backward("_day", rows.schema["_day"].dataType))
+    first, last, rid_of = _places(rid, "_day", rows)
     size = F.count(F.lit(1)).alias("n")
     copies = rows.groupBy(*[F.col(f"`{c}`") for c in whole]).agg(size, F.min(rid).alias("exact")).filter("n > 1")
-    pairs = rows.groupBy("_t", "_m").agg(size, least(*first).alias("tech")).filter("n > 1")
+    pairs = rows.groupBy("_t", "_m").agg(size, F.min(first).alias("tech")).filter("n > 1").withColumn("tech", rid_of(F.col("tech")))
     keys = [f"_id{i}" for i in range(len(present))] if len(present) >= 3 else []
-    # A missing outcome goes last in its group.
-    groups = rows.groupBy(*keys).agg(size, F.coalesce(F.sum(target), F.lit(0)).alias("fraud"), least(*last).alias("igc"), least(F.col(target).isNull(), -F.col(target), *first).alias("igf")).filter("n > 1")
+    # Per outcome first, then the rows of the greatest one; without any outcome there is no fraud and igf isn't asked for.
+    outcomes = rows.groupBy(*keys, F.col(target).alias("_y")).agg(size, F.min(last).alias("igc"), F.min(first).alias("igf"))
+    groups = outcomes.groupBy(*keys).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.col("_y") * F.col("n")), F.lit(0)).alias("fraud"), F.min("igc").alias("igc"), F.max_by("igf", "_y").alias("igf")).filter("n > 1")
+    groups = groups.withColumns({c: rid_of(F.col(c)) for c in ("igc", "igf")})
     out = rows
     for name, found, by in (("_exact", copies, whole), ("_tech", pairs, ["_t", "_m"]), ("_group", groups, keys)):
         if not by:
@@ -170,12 +187,16 @@ def tiers(df: DataFrame, size: str = "record_count", tiers_: tuple = N.RECORD_TI
 
 
 def exclusion_breakdown(tags: DataFrame, target: str = "is_fraud") -> DataFrame:
-    """Per tag, and for rows without TIN or MID: rows, fraud, non-fraud, fraud percent, share of all rows."""
-    reasons = F.array_compact(F.array(F.lit("(all)"), F.col("duplicate_tag"), F.when(blank("tin") | blank("mid"), "MISSING_ID")))
-    rows = tags.select(F.explode(reasons).alias("reason"), target).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(target) == 1).alias("fraud"))
-    gone = F.lit("MISSING_ID")
-    fixed = rows.filter("reason <> '(all)'").unionByName(rows.agg(F.count_if(F.col("reason") == gone).alias("k")).filter("k = 0").select(gone.alias("reason"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("fraud")))
-    out = fixed.join(F.broadcast(rows.filter("reason = '(all)'").select(F.col("n").alias("total"))), how="left")
+    """Per tag, and for rows without TIN or MID: rows, fraud, non-fraud, fraud percent, share of all rows.
+
+    The tags are read once: one row per tag carries all counts, and the total and the rows without an id are sums of those few rows.
+    """
+    gone, fraud = blank("tin") | blank("mid"), F.col(target) == 1
+    per = tags.groupBy("duplicate_tag").agg(F.count(F.lit(1)).alias("n"), F.count_if(fraud).alias("fraud"), F.count_if(gone).alias("gone"), F.count_if(gone & fraud).alias("gone_fraud"))
+    none = F.lit(0).cast("long")
+    one = per.agg(F.collect_list(F.struct(F.col("duplicate_tag").alias("reason"), "n", "fraud")).alias("tags"), F.sum("n").alias("total"), F.coalesce(F.sum("gone"), none).alias("gone"), F.coalesce(F.sum("gone_fraud"), none).alias("gone_fraud"))
+    missing = F.array(F.struct(F.lit("MISSING_ID").alias("reason"), F.col("gone").alias("n"), F.col("gone_fraud").alias("fraud")))
+    out = one.select("total", F.explode(F.concat("tags", missing)).alias("r")).select("total", "r.*")
     return out.select("reason", "n", "fraud", (F.col("n") - F.col("fraud")).alias("non_fraud"), F.round(F.coalesce(N.ratio(F.col("fraud"), F.col("n")), F.lit(0.0)) * 100, 2).alias("fraud_pct"), F.round(N.ratio(F.col("n"), F.col("total")) * 100, 2).alias("pct_of_total"))
 
 

@@ -163,6 +163,12 @@ def tin_summary(tags: DataFrame, rid: str = "rid", target: str = "is_fraud") ->
     return stats.join(listed, "tin").withColumns({k: joined(F.col(k)) for k in most})
 
 
+def tin_tags(tags: DataFrame) -> DataFrame:
+    """Per TIN record_count and its tags as :func:`tin_summary` lists them, from one aggregate of flags: all that :func:`browse` and :func:`decision` ask for."""
+    found = tags.filter(~blank("tin")).groupBy("tin").agg(F.count(F.lit(1)).alias("record_count"), *[F.max(F.col("duplicate_tag") == t).alias(t) for t in TAGS])
+    return found.select("tin", "record_count", F.array_join(F.array_compact(F.array(*[F.when(F.col(t), t) for t in sorted(TAGS)])), ", ").alias("tags"))
+
+
 def tag_counts(tags: DataFrame) -> DataFrame:
     """Every tag with its count, 0 where it doesn't occur."""
     fixed = tags.sparkSession.createDataFrame([(i, t) for i, t in enumerate(TAGS)], "priority int, duplicate_tag string")

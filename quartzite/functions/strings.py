@@ -5,6 +5,7 @@ All work on text and pass null on unless stated. Digits and white space are the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,6 +31,14 @@ STATES = {
 }
 
 
+def as_is(c: Column) -> Column:
+    return c
+
+
+# A standardizer's ``let`` is given each step that it reads more than once; a table can make a column of it.
+Let = Callable[[Column], Column]
+
+
 def text(c: Column) -> Column:
     return c.cast("string")
 
@@ -84,24 +93,24 @@ def tin_issue(c: Column) -> Column:
     return F.when(blank(c), False).otherwise(F.length(digits(drop_point_zero(text(c)))) != 9)
 
 
-def standardize_phone(c: Column) -> Column:
-    v = drop_point_zero(strip(c))
-    d = digits(v)
+def standardize_phone(c: Column, let: Let = as_is) -> Column:
+    v = let(drop_point_zero(strip(c)))
+    d = let(digits(v))
     spell = lambda at: F.concat(F.lit("("), F.substring(d, at, 3), F.lit(") "), F.substring(d, at + 3, 3), F.lit("-"), F.substring(d, at + 6, 4))
     return F.when(F.length(d) == 10, spell(1)).when((F.length(d) == 11) & d.startswith("1"), F.concat(F.lit("+1 "), spell(2))).otherwise(v)
 
 
-def standardize_zip(c: Column) -> Column:
+def standardize_zip(c: Column, let: Let = as_is) -> Column:
     """The first five digits, zero-padded; the value itself if it has none; null for the text nan."""
-    v = digits(drop_point_zero(strip(c)))
+    v = let(digits(drop_point_zero(strip(c))))
     return F.when(F.lower(strip(c)) == "nan", F.lit(None).cast("string")).when(F.length(v) == 0, text(c)).when(F.length(v) < 5, F.lpad(v, 5, "0")).otherwise(F.substring(v, 1, 5))
 
 
-def standardize_tin(c: Column) -> Column:
+def standardize_tin(c: Column, let: Let = as_is) -> Column:
     """DD-DDDDDDD, or DDD-DD-DDDD if it was written in parts of three, two and more digits; else as it is."""
-    v = drop_point_zero(text(c))
-    d = digits(v)
-    d = F.when(F.length(d) == 8, F.concat(F.lit("0"), d)).otherwise(d)
+    v = let(drop_point_zero(text(c)))
+    d = let(digits(v))
+    d = let(F.when(F.length(d) == 8, F.concat(F.lit("0"), d)).otherwise(d))
     ssn = v.rlike(r"^[^-]{3}-[^-]{2}-[^-]*$")
     return (
         F.when(F.length(d) != 9, v)
@@ -110,15 +119,15 @@ def standardize_tin(c: Column) -> Column:
     )
 
 
-def tin_digits(c: Column) -> Column:
+def tin_digits(c: Column, let: Let = as_is) -> Column:
     """Exactly nine digits, eight are padded, else empty; a trailing ``.0`` is not dropped. Null gives empty."""
-    d = digits(text(c))
+    d = let(digits(text(c)))
     return F.coalesce(F.when(F.length(d) == 9, d).when(F.length(d) == 8, F.concat(F.lit("0"), d)), F.lit(""))
 
 
-def standardize_state(c: Column, two_words: bool = False) -> Column:
+def standardize_state(c: Column, let: Let = as_is, two_words: bool = False) -> Column:
     """A state's code; other values stay. Names of two words are found only with ``two_words``."""
-    letters = F.regexp_replace(F.upper(text(c)), "[^A-Z]", "")
+    letters = let(F.regexp_replace(F.upper(text(c)), "[^A-Z]", ""))
     names = {k.replace(" ", "") if two_words else k: v for k, v in STATES.items()}
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return F.when(letters.isin(list(STATES.values())), letters).otherwise(F.coalesce(F.try_element_at(table, letters), text(c)))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,15 +86,49 @@ def issue_matrix(df: DataFrame, roles: dict[str, str], cols: list[str] | None =
     return df.withColumns(flags).withColumn("_tags", tags).withColumns({"_has_issue": F.col("_tags") != "", "_issue_tags": F.when(F.col("_tags") == "", "GOOD_DATA").otherwise(F.col("_tags"))}).drop("_tags")
 
 
-def clean_value(df: DataFrame, roles: dict[str, str], c: str) -> Column:
+# These read their argument and steps of it several times.
+STEPPED = (S.standardize_phone, S.standardize_zip, S.standardize_tin, S.standardize_state)
+
+
+class Steps:
+    """A table that grows by the steps of its expressions.
+
+    Each step is a column, so it is computed once per row, and only where it is asked for.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.out, self.kept, self.at, self.n = df, df.columns, "_s", 0
+        while any(c.lower().startswith(self.at) for c in df.columns):
+            self.at += "_"
+
+    def let(self, c: Column) -> Column:
+        self.n += 1
+        self.out = self.out.withColumn(f"{self.at}{self.n}", c)
+        return c_(f"{self.at}{self.n}")
+
+    def standard(self, f: Callable[..., Column], v: Column) -> Column:
+        return f(self.let(v), self.let) if f in STEPPED else f(v)
+
+    def done(self, cols: dict[str, Column]) -> DataFrame:
+        """The table as it was, with ``cols`` and without the steps."""
+        return self.out.withColumns(cols).select(*[c_(c) for c in dict.fromkeys([*self.kept, *cols])])
+
+
+def clean_value(df: DataFrame, roles: dict[str, str], c: str, standard: Callable[..., Column] = lambda f, v: f(v)) -> Column:
     """The standardized value of a column: cleaned text, then the standardizers of its roles in their order."""
     v = S.clean_text(c_(c)) if c in text_columns(df) else c_(c)
     for key, col in roles.items():
         if col == c and (f := STANDARD.get(role_of(key))):
-            v = f(v)
+            v = standard(f, v)
     return v
 
 
+def with_clean_values(df: DataFrame, roles: dict[str, str], cols: Sequence[str], names: Callable[[str], str] = lambda c: c) -> DataFrame:
+    """``df`` with the :func:`clean_value` of ``cols``, each under the name that ``names`` gives."""
+    steps = Steps(df)
+    return steps.done({names(c): clean_value(df, roles, c, steps.standard) for c in cols})
+
+
 def similarity(a: str, b: str) -> float:
     """Ratcliff-Obershelp ratio; the order of the arguments matters."""
     return SequenceMatcher(None, a, b).ratio()
@@ -112,14 +147,21 @@ def is_company(part: str, key: str, names: tuple[str, str]) -> bool:
     return best > 0.85 or (not part[:1].isdigit() and best > 0.65 and any(len(n) > 5 and n in key for n in names))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _without_company(parts: pd.Series, doubtful: pd.Series, legal: pd.Series, dba: pd.Series) -> pd.Series:
-    """The parts of each row without those that are doubtful and the company's name; rows without a doubtful part come as null."""
-    out = []
-    for ps, ds, a, b in zip(parts, doubtful, legal, dba, strict=True):
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _without_company(parts: pa.Array, doubtful: pa.Array, legal: pa.Array, dba: pa.Array) -> pa.Array:
+    """The parts of each row without those that are doubtful and the company's name; rows without a doubtful part come as null.
+
+    Only rows with a doubtful part become Python objects.
+    """
+    asked = np.flatnonzero(doubtful.is_valid().to_numpy(zero_copy_only=False))
+    some = [a.take(pa.array(asked)).to_pylist() for a in (parts, doubtful, legal, dba)]
+    kept = []
+    for ps, ds, a, b in zip(*some, strict=True):
         names = (a or "", b or "")
-        out.append(None if ds is None else [p for p, d in zip(ps, ds, strict=True) if d is None or not is_company(d, "".join(x for x in d.upper() if x.isascii() and x.isalnum()), names)])
-    return pd.Series(out)
+        kept.append([p for p, d in zip(ps, ds, strict=True) if d is None or not is_company(d, "".join(x for x in d.upper() if x.isascii() and x.isalnum()), names)])
+    at = np.full(len(doubtful), -1)
+    at[asked] = np.arange(len(asked))
+    return pa.array(kept, pa.list_(pa.string())).take(pa.array(at, mask=at < 0))
 
 
 def address_parts(addr: Column, legal: Column, dba: Column, fuzzy: bool = True, let: Callable[[str, Column], Column] = lambda name, c: c) -> dict[str, Column]:
@@ -178,7 +220,8 @@ PART_STANDARD = {"address_1": S.standardize_name, "address_2": S.standardize_nam
 def with_parsed_address(df: DataFrame, addr: str, legal: str | None, dba: str | None, suffix: str = "_std", fuzzy: bool = True) -> DataFrame:
     none = F.lit(None).cast("string")
     out = with_address_parts(df, c_(addr), c_(legal) if legal else none, c_(dba) if dba else none, fuzzy, "_part_")
-    return out.withColumns({f"{p}{suffix}": PART_STANDARD[p](F.col(f"_part_{p}")) for p in PARTS}).drop(*[f"_part_{p}" for p in PARTS])
+    steps = Steps(out)
+    return steps.done({f"{p}{suffix}": steps.standard(PART_STANDARD[p], F.col(f"_part_{p}")) for p in PARTS}).drop(*[f"_part_{p}" for p in PARTS])
 
 
 def duplicate_flag(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
@@ -204,16 +247,21 @@ def cleaned(df: DataFrame, roles: dict[str, str], suffix: str = "_std", fuzzy: b
     """
     find = lambda test: next((c for c in df.columns if test(c.lower())), None)
     addr = find(lambda c: "business_address" in c)
-    out = df
+    new, at = [c for c in df.columns if c not in untouched], "_new_"
+    while any(c.lower().startswith(at) for c in df.columns):
+        at += "_"
+    out = with_clean_values(df, roles, new, lambda c: at + c)
     if addr:
         legal = find(lambda c: "lgl_nm" in c)
         dba = find(lambda c: "dba_nm" in c or ("dba" in c and "lgl" not in c))
         out = with_parsed_address(out, addr, legal, dba, suffix, fuzzy)
-    out = out.withColumns({c: clean_value(df, roles, c) for c in df.columns if c not in untouched})
+    parts = [c for c in out.columns if c not in df.columns and not c.startswith(at)]
+    out = out.select(*[c_(at + c).alias(c) if c in new else c_(c) for c in df.columns], *[c_(c) for c in parts])
     tin, legal, dba = (find(lambda c, n=n: c == n) for n in ("tin", "lgl_nm", "dba_nm"))
     empty = F.lit("")
-    out = out.withColumns({
-        f"TIN{suffix}_no_format": S.tin_digits(c_(tin)) if tin else empty,
+    steps = Steps(out)
+    out = steps.done({
+        f"TIN{suffix}_no_format": S.tin_digits(c_(tin), steps.let) if tin else empty,
         f"lgl_nm{suffix}": S.standardize_name(c_(legal)) if legal else empty,
         f"dba_nm{suffix}": S.standardize_name(c_(dba)) if dba else empty,
     })
@@ -251,7 +299,7 @@ def quality_raw(df: DataFrame, roles: dict[str, str], cols: list[str] | None = N
 def quality_clean(df: DataFrame, roles: dict[str, str], cols: list[str] | None = None) -> DataFrame:
     """The same after standardizing: missing is null only, invalid what still has the wrong shape."""
     cols = cols or df.columns
-    clean = df.select(*[clean_value(df, roles, c).alias(c) for c in cols])
+    clean = with_clean_values(df, roles, cols).select(*[c_(c) for c in cols])
     aggs = [F.count(F.lit(1)).alias("n")]
     for k, c in enumerate(cols):
         shape = next((CLEAN_SHAPE.get(role_of(key)) for key, col in roles.items() if col == c), None)

@@ -37,3 +37,19 @@ def test_address_parts_as_columns(spark):
 def test_failed_samples_keep_order(spark, sf_dir):
     got = report.failed_samples(C.compare(spark, sf_dir), "zip", 3).collect()
     assert [r.rid for r in got] == sorted(r.rid for r in got) and {r.resolution for r in got} == {"Unresolved"}
+
+
+def test_standardizer_steps_are_columns(spark, sf_dir):
+    """The digits of a phone, a zip and a TIN are found once per row, not once per use."""
+    text = plan(C.export(spark, sf_dir))
+    assert text.count("regexp_replace(") < 90, text.count("regexp_replace(")
+
+
+def test_company_names_of_few_rows(spark):
+    """Rows without a doubtful part don't pass through Python objects; nulls and empty batches keep their places."""
+    rows = [None, "only street", "Acme Incorp|7 Oak Ave|Austin|TX|78701|US", "1 Main St|Austin|TX|78701|US", "", "Acme Inc|8 Oak Ave|Dallas|TX|1|US", "Other|9 Oak Ave|Dallas|TX|1|US"]
+    df = spark.createDataFrame([(i, a, "Acme Inc") for i, a in enumerate(rows)], "i int, addr string, lgl string").coalesce(1)
+    out = clean.with_address_parts(df, F.col("addr"), F.col("lgl"), F.lit(None).cast("string"))
+    assert [r.address_1 for r in out.orderBy("i").collect()] == ["", "only street", "7 Oak Ave", "1 Main St", "", "8 Oak Ave", "Other"]
+    none = clean.with_address_parts(df.filter("i in (0, 1, 4)"), F.col("addr"), F.col("lgl"), F.lit(None).cast("string"))
+    assert sorted(r.address_1 for r in none.collect()) == ["", "", "only street"]
